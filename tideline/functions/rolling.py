@@ -92,22 +92,25 @@ def add_ema(
     order: Sequence[str] = ("ts",),
     block_rows: int | None = None,
     adjust: bool = True,
+    keep_blocks: bool = False,
 ) -> DataFrame:
     """Add exponentially weighted means ``{name: (expression, span)}``.
 
     Inputs must be non-null from some row on: leading NULLs do not count, later ones raise
-    the age of the observations before them, as a missing row would.
+    the age of the observations before them, as a missing row would. ``keep_blocks`` leaves
+    the block columns in place, so that a second call (a mean of a mean) needs no new sort.
     """
     spans = [s for _, s in columns.values()]
     m = block_rows or ema_block_rows(spans)
     if max(m * -math.log(1 - 2 / (s + 1)) for s in spans if s > 1) > 600:
         raise ValueError("spans too far apart for one block length: add them in two calls")
-    w = series_window(keys, order)
-    pos, block = F.col("__p"), F.col("__b")
-    here = series_window([*keys, "__b"], order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("__b").rangeBetween(-1, -1)
-    d0 = df.withColumn("__n", F.row_number().over(w) - 1)
-    d0 = d0.withColumn("__b", F.floor(F.col("__n") / m)).withColumn("__p", F.col("__n") % m)
+    pos, block = F.col("__pos"), "__block"
+    here = series_window([*keys, block], order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(block).rangeBetween(-1, -1)
+    if block not in df.columns:
+        if "__row" not in df.columns:
+            df = df.withColumn("__row", F.row_number().over(series_window(keys, order)) - 1)
+        df = df.withColumns({block: F.floor(F.col("__row") / m), "__pos": F.col("__row") % m})
     out = {}
     for name, (x, span) in columns.items():
         alpha = 2 / (span + 1)
@@ -128,10 +131,7 @@ def add_ema(
             out[name] = F.when(x.isNotNull(), ratio(weighted(value), weighted(seen)))
         else:
             # y_0 = x_0, y_t = a x_t + d y_{t-1}: the first value carries weight 1
-            weight = F.when(F.col("__n") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+            weight = F.when(F.col("__row") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
             out[name] = F.when(x.isNotNull(), weighted(value * weight))
-    return d0.withColumns(out).drop("__n", "__b", "__p")
-
-
-def infinite(sign: int = 1) -> Column:
-    return F.lit(INF if sign > 0 else -INF)
+    added = df.withColumns(out)
+    return added if keep_blocks else added.drop("__row", block, "__pos")

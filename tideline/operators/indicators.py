@@ -1,313 +1,356 @@
 """Technical, volatility and volume features of bar series.
 
-Every operator takes ``(df, keys)`` and adds columns. They all use the same partitioning and
-order, so any number of them in one job costs one exchange and one sort; with a longer
-``keys`` (a chunk column, see ``ordered.over_chunks``) they run on pieces of a series.
+A feature is stated in three steps: ``prepare`` (values of a row and its predecessors),
+``roll`` (aggregates over the last n rows) and ``finish`` (what is made of them).
+``add_features`` merges the steps of any number of features, so a whole feature table costs
+one exchange and one sort, shared frames are evaluated once, and every frame length is
+walked once per row. With a longer ``keys`` (a chunk column, see ``ordered.over_chunks``)
+the same code runs on pieces of a series.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tideline.functions.nulls import flag, ratio
 from tideline.functions.rolling import (
-    add_ema, change, last_rows, log_return, mean_and_spread, pct_change, rolling, series_window,
-    sma, so_far, strength,
+    add_ema, change, last_rows, log_return, pct_change, rolling, series_window, sma, strength,
 )
 from tideline.operators.ordered import running
 
 KEYS = ("series_key",)
+Expr = Callable[[WindowSpec], Column]
 
 
-def _c(name: str) -> Column:
+def c(name: str) -> Column:
     return F.col(name)
 
 
-def moving_averages(df: DataFrame, keys: Sequence[str] = KEYS, sizes=(5, 10, 20, 50)) -> DataFrame:
-    w = series_window(keys)
-    return df.withColumns({f"sma_{n}": sma(_c("close"), n, w) for n in sizes})
+@dataclass
+class Feature:
+    """Columns by step; names with a leading underscore are helpers and dropped."""
 
+    prepare: dict[str, Expr] = field(default_factory=dict)
+    roll: dict[str, Expr] = field(default_factory=dict)
+    finish: dict[str, Expr] = field(default_factory=dict)
+    smooth: dict[str, Expr] = field(default_factory=dict)
 
-def exponential_averages(df: DataFrame, keys: Sequence[str] = KEYS, spans=(5, 10, 20)) -> DataFrame:
-    return add_ema(df, {f"ema_{n}": (_c("close"), n) for n in spans}, keys)
+
+def add_features(df: DataFrame, features: Sequence[Feature], keys: Sequence[str] = KEYS, order=("ts",)) -> DataFrame:
+    w = series_window(keys, order)
+    for step in ("prepare", "roll", "finish", "smooth"):
+        merged: dict[str, Expr] = {}
+        for f in features:
+            merged.update(getattr(f, step))
+        if merged:
+            df = df.withColumns({n: x(w) for n, x in merged.items() if n not in df.columns})
+    return df.drop(*[n for n in df.columns if n.startswith("_") and not n.startswith("__")])
+
+
+def _mean(x: str | Column, n: int) -> Expr:
+    x = c(x) if isinstance(x, str) else x
+    return lambda w: sma(x, n, w)
+
+
+def _roll(agg, x: str | Column, n: int) -> Expr:
+    x = c(x) if isinstance(x, str) else x
+    return lambda w: rolling(agg, x, n, w)
+
+
+def _row(x: Column) -> Expr:
+    return lambda w: x
 
 
-def rsi(df: DataFrame, keys: Sequence[str] = KEYS, sizes=(14, 30)) -> DataFrame:
+# --- features ----------------------------------------------------------------------------
+
+def moving_average_features(sizes=(5, 10, 20, 50)) -> Feature:
+    return Feature(roll={f"sma_{n}": _mean("close", n) for n in sizes})
+
+
+def rsi_features(sizes=(14, 30)) -> Feature:
     """Relative strength from simple means; the first row counts as no change."""
-    w = series_window(keys)
-    d = df.withColumn("__d", F.coalesce(change(_c("close"), w), F.lit(0.0)))
-    up, down = F.greatest(_c("__d"), F.lit(0.0)), F.greatest(-_c("__d"), F.lit(0.0))
-    d = d.withColumns({f"__u{n}": sma(up, n, w) for n in sizes} | {f"__l{n}": sma(down, n, w) for n in sizes})
-    d = d.withColumns({f"rsi_{n}": strength(_c(f"__u{n}"), _c(f"__l{n}")) for n in sizes})
-    return d.drop("__d", *[f"__u{n}" for n in sizes], *[f"__l{n}" for n in sizes])
-
-
-def macd(df: DataFrame, keys: Sequence[str] = KEYS, fast=12, slow=26, signal=9) -> DataFrame:
-    d = add_ema(df, {"__f": (_c("close"), fast), "__s": (_c("close"), slow)}, keys)
-    d = d.withColumn("macd", _c("__f") - _c("__s")).drop("__f", "__s")
-    d = add_ema(d, {"macd_signal": (_c("macd"), signal)}, keys)
-    return d.withColumn("macd_histogram", _c("macd") - _c("macd_signal"))
-
-
-def bollinger(df: DataFrame, keys: Sequence[str] = KEYS, n=20, k=2.0, relative_width=True) -> DataFrame:
-    w = series_window(keys)
-    mid, sd = mean_and_spread(_c("close"), n, w)
-    d = df.withColumns({"bb_middle": mid, "__sd": sd})
-    d = d.withColumns({"bb_upper": _c("bb_middle") + _c("__sd") * k, "bb_lower": _c("bb_middle") - _c("__sd") * k})
-    width = _c("bb_upper") - _c("bb_lower")
-    return d.withColumns(
-        {
-            "bb_width": ratio(width, _c("bb_middle")) if relative_width else width,
-            "bb_position": ratio(_c("close") - _c("bb_lower"), width),
-        }
-    ).drop("__sd")
+    d = {"_step": lambda w: F.coalesce(change(c("close"), w), F.lit(0.0))}
+    up, down = F.greatest(c("_step"), F.lit(0.0)), F.greatest(-c("_step"), F.lit(0.0))
+    return Feature(
+        d,
+        {f"_up{n}": _mean(up, n) for n in sizes} | {f"_down{n}": _mean(down, n) for n in sizes},
+        {f"rsi_{n}": _row(strength(c(f"_up{n}"), c(f"_down{n}"))) for n in sizes},
+    )
 
 
-def _range(w, n: int) -> tuple[Column, Column]:
-    return rolling(F.max, _c("high"), n, w), rolling(F.min, _c("low"), n, w)
+def bollinger_features(n=20, k=2.0, relative_width=True) -> Feature:
+    mid, sd = c(f"_mean{n}"), c(f"_std{n}")
+    upper, lower = mid + sd * k, mid - sd * k
+    return Feature(
+        roll={f"_mean{n}": _mean("close", n), f"_std{n}": _roll(F.stddev_samp, "close", n)},
+        finish={
+            "bb_upper": _row(upper), "bb_middle": _row(mid), "bb_lower": _row(lower),
+            "bb_width": _row(ratio(upper - lower, mid) if relative_width else upper - lower),
+            "bb_position": _row(ratio(c("close") - lower, upper - lower)),
+        },
+    )
 
 
-def stochastic(df: DataFrame, keys: Sequence[str] = KEYS, n=14, smooth=3) -> DataFrame:
-    w = series_window(keys)
-    top, bottom = _range(w, n)
-    d = df.withColumns({"__t": top, "__b": bottom})
-    d = d.withColumn("stoch_k", 100 * ratio(_c("close") - _c("__b"), _c("__t") - _c("__b"))).drop("__t", "__b")
-    return d.withColumn("stoch_d", sma(_c("stoch_k"), smooth, w))
+def _range_frames(n: int) -> dict[str, Expr]:
+    return {f"_top{n}": _roll(F.max, "high", n), f"_bottom{n}": _roll(F.min, "low", n)}
 
 
-def atr(df: DataFrame, keys: Sequence[str] = KEYS, n=14) -> DataFrame:
-    """Mean true range; the first row has no earlier close and uses high - low."""
-    w = series_window(keys)
-    before = F.lag("close").over(w)
-    d = df.withColumn(
-        "__tr",
-        F.greatest(_c("high") - _c("low"), F.abs(_c("high") - before), F.abs(_c("low") - before)),
+def stochastic_features(n=14, smooth=3) -> Feature:
+    k = 100 * ratio(c("close") - c(f"_bottom{n}"), c(f"_top{n}") - c(f"_bottom{n}"))
+    return Feature(
+        roll=_range_frames(n), finish={"stoch_k": _row(k)}, smooth={"stoch_d": _mean("stoch_k", smooth)}
     )
-    return d.withColumn("atr", sma(_c("__tr"), n, w)).drop("__tr")
 
 
-def williams_r(df: DataFrame, keys: Sequence[str] = KEYS, n=14) -> DataFrame:
-    top, bottom = _range(series_window(keys), n)
-    d = df.withColumns({"__t": top, "__b": bottom})
-    return d.withColumn("williams_r", -100 * ratio(_c("__t") - _c("close"), _c("__t") - _c("__b"))).drop("__t", "__b")
+def williams_features(n=14) -> Feature:
+    r = -100 * ratio(c(f"_top{n}") - c("close"), c(f"_top{n}") - c(f"_bottom{n}"))
+    return Feature(roll=_range_frames(n), finish={"williams_r": _row(r)})
 
 
-def returns(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    w = series_window(keys)
-    return df.withColumns({"returns": pct_change(_c("close"), w), "log_returns": log_return(_c("close"), w)})
+def atr_features(n=14) -> Feature:
+    """Mean true range; the first row has no earlier close and uses high - low."""
+
+    def true_range(w):
+        before = F.lag("close").over(w)
+        return F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before))
+
+    return Feature({"_true_range": true_range}, {"atr": _mean("_true_range", n)})
+
 
+_RETURNS: dict[str, Expr] = {
+    "returns": lambda w: pct_change(c("close"), w),
+    "log_returns": lambda w: log_return(c("close"), w),
+}
 
-def _need_returns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df if "returns" in df.columns else returns(df, keys)
 
+def return_features() -> Feature:
+    return Feature(_RETURNS)
 
-def realized_vol(df: DataFrame, keys: Sequence[str] = KEYS, sizes=(10, 30), per_year=252) -> DataFrame:
-    w = series_window(keys)
-    d = _need_returns(df, keys)
-    return d.withColumns(
-        {f"realized_vol_{n}": rolling(F.stddev_samp, _c("returns"), n, w) * math.sqrt(per_year) for n in sizes}
+
+def realized_vol_features(sizes=(10, 30), per_year=252) -> Feature:
+    return Feature(
+        _RETURNS,
+        {f"realized_vol_{n}": lambda w, n=n: rolling(F.stddev_samp, c("returns"), n, w) * math.sqrt(per_year) for n in sizes},
     )
 
 
-def garch_approx(df: DataFrame, keys: Sequence[str] = KEYS, n=100, per_year=252) -> DataFrame:
+def garch_features(n=100, per_year=252) -> Feature:
     """Rolling variance of returns, annualised: a simple stand-in for a fitted model."""
-    d = _need_returns(df, keys)
-    return d.withColumn(
-        "garch_vol", F.sqrt(rolling(F.var_samp, _c("returns"), n, series_window(keys)) * per_year)
-    )
+    return Feature(_RETURNS, {"garch_vol": lambda w: F.sqrt(rolling(F.var_samp, c("returns"), n, w) * per_year)})
 
 
-def parkinson_vol(df: DataFrame, keys: Sequence[str] = KEYS, n=30, per_year=252) -> DataFrame:
-    x = F.pow(F.ln(ratio(_c("high"), _c("low"))), F.lit(2.0)) / (4 * math.log(2))
-    return df.withColumn("parkinson_vol", F.sqrt(sma(x, n, series_window(keys)) * per_year))
+def parkinson_features(n=30, per_year=252) -> Feature:
+    x = F.pow(F.ln(ratio(c("high"), c("low"))), F.lit(2.0)) / (4 * math.log(2))
+    return Feature({"_park": _row(x)}, {"parkinson_vol": lambda w: F.sqrt(sma(c("_park"), n, w) * per_year)})
 
 
-def garman_klass_vol(df: DataFrame, keys: Sequence[str] = KEYS, n=30, per_year=252) -> DataFrame:
-    hl, co = F.ln(ratio(_c("high"), _c("low"))), F.ln(ratio(_c("close"), _c("open")))
-    d = df.withColumn("__gk", sma(0.5 * hl * hl - (2 * math.log(2) - 1) * co * co, n, series_window(keys)) * per_year)
-    return d.withColumn("garman_klass_vol", F.when(_c("__gk") >= 0, F.sqrt("__gk"))).drop("__gk")
+def garman_klass_features(n=30, per_year=252) -> Feature:
+    hl, co = F.ln(ratio(c("high"), c("low"))), F.ln(ratio(c("close"), c("open")))
+    return Feature(
+        {"_gk": _row(0.5 * hl * hl - (2 * math.log(2) - 1) * co * co)},
+        {"_gk_mean": lambda w: sma(c("_gk"), n, w) * per_year},
+        {"garman_klass_vol": _row(F.when(c("_gk_mean") >= 0, F.sqrt("_gk_mean")))},
+    )
 
 
-def price_impact(df: DataFrame, keys: Sequence[str] = KEYS, n=20) -> DataFrame:
-    d = _need_returns(df, keys)
-    return d.withColumn(
-        "price_impact", F.abs(_c("returns")) / (sma(_c("volume"), n, series_window(keys)) + 1e-8)
+def price_impact_features(n=20) -> Feature:
+    return Feature(
+        _RETURNS, {f"_vol_mean{n}": _mean("volume", n)},
+        {"price_impact": _row(F.abs(c("returns")) / (c(f"_vol_mean{n}") + 1e-8))},
     )
 
 
 def _typical() -> Column:
-    return (_c("high") + _c("low") + _c("close")) / 3
+    return (c("high") + c("low") + c("close")) / 3
+
 
 
-def vwap(df: DataFrame, keys: Sequence[str] = KEYS, n=20) -> DataFrame:
-    w = series_window(keys)
-    return df.withColumn(
-        "vwap", ratio(rolling(F.sum, _typical() * _c("volume"), n, w), rolling(F.sum, _c("volume"), n, w))
+def vwap_features(n=20) -> Feature:
+    return Feature(
+        {},
+        {f"_pv{n}": _roll(F.sum, _typical() * c("volume"), n), f"_v{n}": _roll(F.sum, "volume", n)},
+        {"vwap": _row(ratio(c(f"_pv{n}"), c(f"_v{n}")))},
     )
 
 
-def mfi(df: DataFrame, keys: Sequence[str] = KEYS, n=14) -> DataFrame:
+def mfi_features(n=14) -> Feature:
     """Money flow index; the first row counts as neither inflow nor outflow."""
-    w = series_window(keys)
-    step = change(_typical(), w)
-    d = df.withColumns({"__s": F.coalesce(step, F.lit(0.0)), "__m": _typical() * _c("volume")})
-    gain = F.when(_c("__s") > 0, _c("__m")).otherwise(0.0)
-    loss = F.when(_c("__s") < 0, _c("__m")).otherwise(0.0)
-    d = d.withColumns({"__g": rolling(F.sum, gain, n, w), "__l": rolling(F.sum, loss, n, w)})
-    return d.withColumn("mfi", strength(_c("__g"), _c("__l"))).drop("__s", "__m", "__g", "__l")
+    t = _typical()
+    flow = t * c("volume")
+    gain = F.when(c("_flow_step") > 0, flow).otherwise(0.0)
+    loss = F.when(c("_flow_step") < 0, flow).otherwise(0.0)
+    return Feature(
+        {"_flow_step": lambda w: F.coalesce(change(t, w), F.lit(0.0))},
+        {f"_gain{n}": _roll(F.sum, gain, n), f"_loss{n}": _roll(F.sum, loss, n)},
+        {"mfi": _row(strength(c(f"_gain{n}"), c(f"_loss{n}")))},
+    )
 
 
-def volume_ratio(df: DataFrame, keys: Sequence[str] = KEYS, n=10) -> DataFrame:
-    d = df.withColumn("volume_sma", sma(_c("volume"), n, series_window(keys)))
-    return d.withColumn("volume_ratio", ratio(_c("volume"), _c("volume_sma")))
+def volume_ratio_features(n=10) -> Feature:
+    return Feature(
+        roll={"volume_sma": _mean("volume", n)}, finish={"volume_ratio": _row(ratio(c("volume"), c("volume_sma")))}
+    )
 
 
-def lags(df: DataFrame, keys: Sequence[str] = KEYS, columns=("close", "volume", "high", "low"), steps=(1, 2, 3, 5, 10)) -> DataFrame:
-    w = series_window(keys)
-    return df.withColumns({f"{c}_lag_{n}": F.lag(c, n).over(w) for c in columns for n in steps})
+def lag_features(columns=("close", "volume", "high", "low"), steps=(1, 2, 3, 5, 10), name="{c}_lag_{n}") -> Feature:
+    return Feature(
+        {name.format(c=x, n=n): lambda w, x=x, n=n: F.lag(x, n).over(w) for x in columns for n in steps}
+    )
 
 
-def lag_series(df: DataFrame, keys: Sequence[str] = KEYS, columns=("close", "volume"), depth=10) -> DataFrame:
-    """The same values under the second naming scheme, ``lag_<column>_<n>``."""
-    w = series_window(keys)
-    return df.withColumns({f"lag_{c}_{n}": F.lag(c, n).over(w) for c in columns for n in range(1, depth + 1)})
+def candle_features() -> Feature:
+    body_top, body_bottom = F.greatest("open", "close"), F.least("open", "close")
+    return Feature(
+        {
+            "high_low_ratio": _row(ratio(c("high"), c("low"))),
+            "open_close_ratio": _row(ratio(c("open"), c("close"))),
+            "price_range": _row(c("high") - c("low")),
+            "body_size": _row(F.abs(c("close") - c("open"))),
+            "upper_shadow": _row(c("high") - body_top),
+            "lower_shadow": _row(body_bottom - c("low")),
+        }
+    )
 
 
-def candle_shape(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return df.withColumns(
+def pattern_features() -> Feature:
+    body = F.abs(c("close") - c("open"))
+    upper = c("high") - F.greatest("open", "close")
+    lower = F.least("open", "close") - c("low")
+    return Feature(
         {
-            "high_low_ratio": ratio(_c("high"), _c("low")),
-            "open_close_ratio": ratio(_c("open"), _c("close")),
-            "price_range": _c("high") - _c("low"),
-            "body_size": F.abs(_c("close") - _c("open")),
-            "upper_shadow": _c("high") - F.greatest("open", "close"),
-            "lower_shadow": F.least("open", "close") - _c("low"),
+            "doji": _row(flag(body <= 0.1 * (c("high") - c("low")))),
+            "hammer": _row(flag((lower > 2 * body) & (upper < body))),
         }
     )
 
 
-def rolling_dispersion(df: DataFrame, keys: Sequence[str] = KEYS, n=10) -> DataFrame:
-    w = series_window(keys)
-    return df.withColumns({f"{c}_std_{n}": rolling(F.stddev_samp, _c(c), n, w) for c in ("close", "volume")})
+def dispersion_features(n=10) -> Feature:
+    return Feature(roll={f"{x}_std_{n}": _roll(F.stddev_samp, x, n) for x in ("close", "volume")})
 
 
-def momentum(df: DataFrame, keys: Sequence[str] = KEYS, sizes=(5, 10, 14)) -> DataFrame:
-    w = series_window(keys)
-    out = {}
+def momentum_features(sizes=(5, 10, 14)) -> Feature:
+    out: dict[str, Expr] = {}
     for n in sizes:
-        r = ratio(_c("close"), F.lag("close", n).over(w))
-        out[f"momentum_{n}"] = r
-        out[f"roc_{n}"] = (r - 1) * 100
-    return df.withColumns(out)
+        out[f"momentum_{n}"] = lambda w, n=n: ratio(c("close"), F.lag("close", n).over(w))
+        out[f"roc_{n}"] = lambda w, n=n: (ratio(c("close"), F.lag("close", n).over(w)) - 1) * 100
+    return Feature(out)
 
 
-def volume_price_trend(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return df.withColumn("volume_price_trend", _c("volume") * pct_change(_c("close"), series_window(keys)))
+def volume_price_trend_features() -> Feature:
+    return Feature({"volume_price_trend": lambda w: c("volume") * pct_change(c("close"), w)})
 
 
-def obv(df: DataFrame, keys: Sequence[str] = KEYS, bucket: Column | None = None) -> DataFrame:
-    """On-balance volume: signed volume accumulated; the first row adds nothing."""
-    signed = F.coalesce(F.signum(change(_c("close"), series_window(keys))), F.lit(0.0)) * _c("volume")
-    d = df.withColumn("__sv", signed)
-    return running(d, keys, ["ts"], {"obv": ("sum", _c("__sv"))}, bucket).drop("__sv")
+def trend_flag_features() -> Feature:
+    return Feature(
+        roll={f"sma_{n}": _mean("close", n) for n in (20, 50)},
+        finish={
+            "above_sma_20": _row(flag(c("close") > c("sma_20"))),
+            "above_sma_50": _row(flag(c("close") > c("sma_50"))),
+            "sma_20_above_50": _row(flag(c("sma_20") > c("sma_50"))),
+        },
+    )
 
 
-def candle_patterns(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    body = F.abs(_c("close") - _c("open"))
-    upper = _c("high") - F.greatest("open", "close")
-    lower = F.least("open", "close") - _c("low")
-    return df.withColumns(
-        {
-            "doji": flag(body <= 0.1 * (_c("high") - _c("low"))),
-            "hammer": flag((lower > 2 * body) & (upper < body)),
-        }
+def ratio_to_mean_features(n=20) -> Feature:
+    return Feature(
+        roll={f"_vol_mean{n}": _mean("volume", n), f"_mean{n}": _mean("close", n)},
+        finish={
+            "volume_to_sma": _row(ratio(c("volume"), c(f"_vol_mean{n}"))),
+            "price_to_sma": _row(ratio(c("close"), c(f"_mean{n}"))),
+        },
     )
 
 
-def trend_flags(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    d = moving_averages(df, keys, (20, 50)) if "sma_50" not in df.columns else df
-    return d.withColumns(
+def calendar_features() -> Feature:
+    """Hour, weekday (Monday 0), day, month, quarter and circular encodings."""
+    hour, dow, tau = F.hour("ts"), F.weekday("ts"), 2 * math.pi
+    return Feature(
         {
-            "above_sma_20": flag(_c("close") > _c("sma_20")),
-            "above_sma_50": flag(_c("close") > _c("sma_50")),
-            "sma_20_above_50": flag(_c("sma_20") > _c("sma_50")),
+            "hour": _row(hour), "day_of_week": _row(dow), "day_of_month": _row(F.dayofmonth("ts")),
+            "month": _row(F.month("ts")), "quarter": _row(F.quarter("ts")),
+            "hour_sin": _row(F.sin(tau * hour / 24)), "hour_cos": _row(F.cos(tau * hour / 24)),
+            "dow_sin": _row(F.sin(tau * dow / 7)), "dow_cos": _row(F.cos(tau * dow / 7)),
         }
     )
 
 
-def ratio_features(df: DataFrame, keys: Sequence[str] = KEYS, n=20) -> DataFrame:
-    w = series_window(keys)
-    return df.withColumns(
+def enhance_features(n=24) -> Feature:
+    return Feature(
         {
-            "volume_to_sma": ratio(_c("volume"), sma(_c("volume"), n, w)),
-            "price_to_sma": ratio(_c("close"), sma(_c("close"), n, w)),
-        }
+            "price_lag_1": lambda w: F.lag("close").over(w),
+            "price_change": lambda w: pct_change(c("close"), w),
+            "hour": _row(F.hour("ts")), "day_of_week": _row(F.weekday("ts")),
+            "month": _row(F.month("ts")), "quarter": _row(F.quarter("ts")),
+        },
+        {"price_volatility": _roll(F.stddev_samp, "close", n)},
     )
 
 
-def calendar(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Hour, weekday (Monday 0), day, month, quarter and their circular encodings."""
-    tau = 2 * math.pi
-    d = df.withColumns(
-        {
-            "hour": F.hour("ts"), "day_of_week": F.weekday("ts"), "day_of_month": F.dayofmonth("ts"),
-            "month": F.month("ts"), "quarter": F.quarter("ts"),
-        }
-    )
-    return d.withColumns(
-        {
-            "hour_sin": F.sin(tau * _c("hour") / 24), "hour_cos": F.cos(tau * _c("hour") / 24),
-            "dow_sin": F.sin(tau * _c("day_of_week") / 7), "dow_cos": F.cos(tau * _c("day_of_week") / 7),
-        }
-    )
+def slope_features(n=10, column="close") -> Feature:
+    """How fast a value falls: -(last - first)/(n-1)/mean over n rows, within [-1, 1]."""
 
+    def slope(w):
+        f = last_rows(w, n)
+        s = -ratio((c(column) - F.first(column).over(f)) / (n - 1), F.avg(column).over(f))
+        return F.when(F.count(column).over(f) == n, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s)))
 
-def temporal_enhance(df: DataFrame, keys: Sequence[str] = KEYS, n=24) -> DataFrame:
-    w = series_window(keys)
-    return df.withColumns(
-        {
-            "price_lag_1": F.lag("close").over(w),
-            "price_change": pct_change(_c("close"), w),
-            "price_volatility": rolling(F.stddev_samp, _c("close"), n, w),
-            "hour": F.hour("ts"), "day_of_week": F.weekday("ts"),
-            "month": F.month("ts"), "quarter": F.quarter("ts"),
-        }
-    )
+    return Feature(roll={"normalised_slope": slope})
 
 
-def normalised_slope(df: DataFrame, keys: Sequence[str] = KEYS, n=10, column="close") -> DataFrame:
-    """How fast a value falls: -(last - first)/(n-1)/mean over n rows, within [-1, 1]."""
-    w = series_window(keys)
-    f = last_rows(w, n)
-    slope = -ratio((_c(column) - F.first(column).over(f)) / (n - 1), F.avg(column).over(f))
-    limited = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), slope))
-    return df.withColumn("normalised_slope", F.when(F.count(column).over(f) == n, limited))
+# --- exponential means, cumulative values --------------------------------------------------
+
+def exponential_averages(df: DataFrame, keys: Sequence[str] = KEYS, spans=(5, 10, 20)) -> DataFrame:
+    return add_ema(df, {f"ema_{n}": (c("close"), n) for n in spans}, keys)
+
 
+def macd(df: DataFrame, keys: Sequence[str] = KEYS, fast=12, slow=26, signal=9, emas: dict[str, int] | None = None) -> DataFrame:
+    """Difference of two exponential means and its own mean; ``emas`` adds further plain ones."""
+    first = {"_fast": (c("close"), fast), "_slow": (c("close"), slow)}
+    first |= {n: (c("close"), s) for n, s in (emas or {}).items()}
+    d = add_ema(df, first, keys, keep_blocks=True)
+    d = d.withColumn("macd", c("_fast") - c("_slow")).drop("_fast", "_slow")
+    d = add_ema(d, {"macd_signal": (c("macd"), signal)}, keys, block_rows=_block(first))
+    return d.withColumn("macd_histogram", c("macd") - c("macd_signal"))
 
-FEATURE_LOOKBACK = 2 * 520 + 100
 
-# 62 derived columns in addition to the six base columns
-_ALL = [
-    moving_averages, exponential_averages, rsi, macd, bollinger, stochastic, atr, williams_r, returns,
-    realized_vol, garch_approx, parkinson_vol, garman_klass_vol, price_impact, vwap, mfi, volume_ratio,
-    calendar, lags,
-]
+def _block(columns) -> int:
+    from tideline.functions.rolling import ema_block_rows
+
+    return ema_block_rows([s for _, s in columns.values()])
+
+
+def obv(df: DataFrame, keys: Sequence[str] = KEYS, bucket: Column | None = None) -> DataFrame:
+    """On-balance volume: signed volume accumulated; the first row adds nothing."""
+    signed = F.coalesce(F.signum(change(c("close"), series_window(keys))), F.lit(0.0)) * c("volume")
+    d = df.withColumn("__sv", signed)
+    return running(d, keys, ["ts"], {"obv": ("sum", c("__sv"))}, bucket).drop("__sv")
+
+
+# Rows of history that determine every feature of a row: two blocks of the slowest
+# exponential mean (span 26) or the longest frame plus one, whichever is larger.
+FEATURE_LOOKBACK = 2 * 520 + 101
 
 
 def all_features(df: DataFrame, keys: Sequence[str] = KEYS, drop_incomplete: bool = True) -> DataFrame:
-    """The full feature table of a bar table, rows without a full history dropped.
+    """The full feature table: 6 bar columns and 62 derived ones, incomplete rows dropped.
 
     Unused features cost nothing: a later ``select`` prunes their window expressions.
     """
-    d = df
-    for f in _ALL:
-        d = f(d, keys)
+    d = df.withColumn("__row", F.row_number().over(series_window(keys)) - 1)
+    d = add_features(
+        d,
+        [
+            moving_average_features(), rsi_features(), bollinger_features(), stochastic_features(), atr_features(),
+            williams_features(), return_features(), realized_vol_features(), garch_features(), parkinson_features(),
+            garman_klass_features(), price_impact_features(), vwap_features(), mfi_features(),
+            volume_ratio_features(), calendar_features(), lag_features(),
+        ],
+        keys,
+    )
+    d = macd(d, keys, emas={f"ema_{n}": n for n in (5, 10, 20)})
     return d.na.drop() if drop_incomplete else d
-
-
-def cumulative_max(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.max(column).over(so_far(series_window(keys))))

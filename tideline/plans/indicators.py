@@ -35,19 +35,17 @@ def _sql(outputs: dict[str, str], steps: list[dict[str, str]] = ()) -> str:
     return f"WITH {', '.join(ctes)} SELECT series_key, epoch(ts)::BIGINT AS ts, {cols} FROM {source}"
 
 
-def feature(name: str, fn: Callable, outputs: dict[str, str], steps=(), ints: str = "", digits: int = 6):
+def feature(name: str, made: Callable[[], ind.Feature], outputs: dict[str, str], steps=(), ints: str = "", digits: int = 6):
     floats = " ".join(c for c in outputs if c not in ints.split())
 
     @query(name, _sql(outputs, steps), floats, digits)
     def run(spark, d):
-        return epoch(fn(bars_d(spark, d))).select("series_key", "ts", *outputs)
+        return epoch(ind.add_features(bars_d(spark, d), [made()])).select("series_key", "ts", *outputs)
 
-    run.__doc__ = fn.__doc__
 
 
 
-
-feature("sma", ind.moving_averages, {f"sma_{n}": roll("avg", "close", n) for n in (5, 10, 20, 50)})
+feature("sma", ind.moving_average_features, {f"sma_{n}": roll("avg", "close", n) for n in (5, 10, 20, 50)})
 
 
 # The exponential means are stated as a join of each row with its history.
@@ -64,7 +62,7 @@ _NUMBERED = BARS_D + f", n AS (SELECT series_key, ts, close, row_number() OVER (
 
 
 @query("ema", f"WITH {_NUMBERED}, e AS ({_ema_join({'ema_5': 5, 'ema_10': 10, 'ema_20': 20}, 'close', 'n')}) "
-       "SELECT series_key, epoch(ts)::BIGINT AS ts, ema_5, ema_10, ema_20 FROM e", "ema_5 ema_10 ema_20")
+       "SELECT series_key, epoch(ts)::BIGINT AS ts, ema_5, ema_10, ema_20 FROM e", "ema_5 ema_10 ema_20", digits=4)
 def ema(spark, d):
     return epoch(ind.exponential_averages(bars_d(spark, d))).select("series_key", "ts", "ema_5", "ema_10", "ema_20")
 
@@ -72,7 +70,7 @@ def ema(spark, d):
 @query("macd", f"WITH {_NUMBERED}, e AS ({_ema_join({'f': 12, 's': 26}, 'close', 'n')}), "
        f"m AS (SELECT *, f - s AS macd FROM e), g AS ({_ema_join({'macd_signal': 9}, 'macd', 'm')}) "
        "SELECT series_key, epoch(m.ts)::BIGINT AS ts, macd, macd_signal, macd - macd_signal AS macd_histogram "
-       "FROM m JOIN g USING (series_key, rn)", "macd macd_signal macd_histogram")
+       "FROM m JOIN g USING (series_key, rn)", "macd macd_signal macd_histogram", digits=4)
 def macd(spark, d):
     return epoch(ind.macd(bars_d(spark, d))).select("series_key", "ts", "macd", "macd_signal", "macd_histogram")
 
@@ -81,7 +79,7 @@ def _rsi_out(n):
     return (f"CASE WHEN l{n} <> 0 THEN 100 - 100.0 / (1 + u{n} / l{n}) WHEN u{n} > 0 THEN 100.0 END")
 
 
-feature("rsi", ind.rsi, {f"rsi_{n}": _rsi_out(n) for n in (14, 30)}, [
+feature("rsi", ind.rsi_features, {f"rsi_{n}": _rsi_out(n) for n in (14, 30)}, [
     {"d": f"coalesce(close - {lag('close')}, 0.0)"},
     {"u": "greatest(d, 0.0)", "l": "greatest(-d, 0.0)"},
     {f"{s}{n}": roll("avg", s, n) for s in "ul" for n in (14, 30)},
@@ -89,66 +87,69 @@ feature("rsi", ind.rsi, {f"rsi_{n}": _rsi_out(n) for n in (14, 30)}, [
 _BB = [{"mid": roll("avg", "close", 20), "sd": roll("stddev_samp", "close", 20)},
        {"up": "mid + 2 * sd", "lo": "mid - 2 * sd"}]
 _BBO = {"bb_upper": "up", "bb_middle": "mid", "bb_lower": "lo", "bb_position": "(close - lo) / (up - lo)"}
-feature("bollinger", ind.bollinger, {**_BBO, "bb_width": "(up - lo) / mid"}, _BB)
-feature("bollinger_abs_width", lambda b: ind.bollinger(b, relative_width=False), {**_BBO, "bb_width": "up - lo"}, _BB)
+feature("bollinger", ind.bollinger_features, {**_BBO, "bb_width": "(up - lo) / mid"}, _BB)
+feature("bollinger_abs_width", lambda: ind.bollinger_features(relative_width=False), {**_BBO, "bb_width": "up - lo"}, _BB)
 _HL = {"hh": roll("max", "high", 14), "ll": roll("min", "low", 14)}
-feature("stochastic", ind.stochastic, {"stoch_k": "k", "stoch_d": roll("avg", "k", 3)},
+feature("stochastic", ind.stochastic_features, {"stoch_k": "k", "stoch_d": roll("avg", "k", 3)},
         [_HL, {"k": "CASE WHEN hh <> ll THEN 100 * (close - ll) / (hh - ll) END"}])
-feature("atr", ind.atr, {"atr": roll("avg", "tr", 14)}, [
+feature("atr", ind.atr_features, {"atr": roll("avg", "tr", 14)}, [
     {"pc": lag("close")}, {"tr": "greatest(high - low, abs(high - pc), abs(low - pc))"}])
-feature("williams_r", ind.williams_r, {"williams_r": "CASE WHEN hh <> ll THEN -100 * (hh - close) / (hh - ll) END"}, [_HL])
+feature("williams_r", ind.williams_features, {"williams_r": "CASE WHEN hh <> ll THEN -100 * (hh - close) / (hh - ll) END"}, [_HL])
 _RET = {"r": f"close / {lag('close')} - 1"}
-feature("returns", ind.returns, {"returns": "r", "log_returns": f"ln(close / {lag('close')})"}, [_RET])
-feature("realized_vol", ind.realized_vol,
+feature("returns", ind.return_features, {"returns": "r", "log_returns": f"ln(close / {lag('close')})"}, [_RET])
+feature("realized_vol", ind.realized_vol_features,
         {f"realized_vol_{n}": f"({roll('stddev_samp', 'r', n)}) * sqrt(252)" for n in (10, 30)}, [_RET])
-feature("garch_approx", ind.garch_approx, {"garch_vol": f"sqrt(({roll('var_samp', 'r', 100)}) * 252)"}, [_RET])
-feature("parkinson_vol", ind.parkinson_vol, {"parkinson_vol": f"sqrt(({roll('avg', 'x', 30)}) * 252)"},
+feature("garch_approx", ind.garch_features, {"garch_vol": f"sqrt(({roll('var_samp', 'r', 100)}) * 252)"}, [_RET])
+feature("parkinson_vol", ind.parkinson_features, {"parkinson_vol": f"sqrt(({roll('avg', 'x', 30)}) * 252)"},
         [{"x": "pow(ln(high / low), 2) / (4 * ln(2))"}])
-feature("garman_klass_vol", ind.garman_klass_vol,
+feature("garman_klass_vol", ind.garman_klass_features,
         {"garman_klass_vol": "CASE WHEN g >= 0 THEN sqrt(g) END"},
         [{"x": "0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2)"},
          {"g": f"({roll('avg', 'x', 30)}) * 252"}])
-feature("price_impact", ind.price_impact, {"price_impact": f"abs(r) / (({roll('avg', 'volume', 20)}) + 1e-8)"}, [_RET])
+feature("price_impact", ind.price_impact_features, {"price_impact": f"abs(r) / (({roll('avg', 'volume', 20)}) + 1e-8)"}, [_RET])
 _TP = {"tp": "(high + low + close) / 3"}
-feature("vwap", ind.vwap, {"vwap": f"({roll('sum', 'pv', 20)}) / ({roll('sum', 'volume', 20)})"},
+feature("vwap", ind.vwap_features, {"vwap": f"({roll('sum', 'pv', 20)}) / ({roll('sum', 'volume', 20)})"},
         [_TP, {"pv": "tp * volume"}])
-feature("mfi", ind.mfi, {"mfi": "CASE WHEN l <> 0 THEN 100 - 100.0 / (1 + g / l) WHEN g > 0 THEN 100.0 END"}, [
+feature("mfi", ind.mfi_features, {"mfi": "CASE WHEN l <> 0 THEN 100 - 100.0 / (1 + g / l) WHEN g > 0 THEN 100.0 END"}, [
     _TP, {"s": f"coalesce(tp - {lag('tp')}, 0.0)", "m": "tp * volume"},
     {"gain": "CASE WHEN s > 0 THEN m ELSE 0.0 END", "loss": "CASE WHEN s < 0 THEN m ELSE 0.0 END"},
     {"g": roll("sum", "gain", 14), "l": roll("sum", "loss", 14)}])
-feature("volume_ratio", ind.volume_ratio, {"volume_sma": "vs", "volume_ratio": "volume / vs"}, [{"vs": roll("avg", "volume", 10)}])
-feature("lags", ind.lags, {f"{c}_lag_{n}": lag(c, n) for c in ("close", "volume", "high", "low") for n in (1, 2, 3, 5, 10)})
-feature("lag_series", ind.lag_series, {f"lag_{c}_{n}": lag(c, n) for c in ("close", "volume") for n in range(1, 11)})
-feature("candle_shape", ind.candle_shape, {
+feature("volume_ratio", ind.volume_ratio_features, {"volume_sma": "vs", "volume_ratio": "volume / vs"}, [{"vs": roll("avg", "volume", 10)}])
+feature("lags", ind.lag_features, {f"{c}_lag_{n}": lag(c, n) for c in ("close", "volume", "high", "low") for n in (1, 2, 3, 5, 10)})
+feature("lag_series", lambda: ind.lag_features(("close", "volume"), range(1, 11), "lag_{c}_{n}"), {f"lag_{c}_{n}": lag(c, n) for c in ("close", "volume") for n in range(1, 11)})
+feature("candle_shape", ind.candle_features, {
     "high_low_ratio": "high / low", "open_close_ratio": "open / close", "price_range": "high - low",
     "body_size": "abs(close - open)", "upper_shadow": "high - greatest(open, close)",
     "lower_shadow": "least(open, close) - low"})
-feature("rolling_dispersion", ind.rolling_dispersion, {f"{c}_std_10": roll("stddev_samp", c, 10) for c in ("close", "volume")})
-feature("momentum", ind.momentum, {f"momentum_{n}": f"close / {lag('close', n)}" for n in (5, 10, 14)})
-feature("roc", ind.momentum, {f"roc_{n}": f"(close / {lag('close', n)} - 1) * 100" for n in (5, 10, 14)})
-feature("volume_price_trend", ind.volume_price_trend, {"volume_price_trend": f"volume * (close / {lag('close')} - 1)"})
-feature("obv", ind.obv, {"obv": f"sum(sv) OVER ({W} ROWS UNBOUNDED PRECEDING)"},
-        [{"sv": f"coalesce(sign(close - {lag('close')}), 0) * volume"}])
-feature("candle_patterns", ind.candle_patterns, {
+feature("rolling_dispersion", ind.dispersion_features, {f"{c}_std_10": roll("stddev_samp", c, 10) for c in ("close", "volume")})
+feature("momentum", ind.momentum_features, {f"momentum_{n}": f"close / {lag('close', n)}" for n in (5, 10, 14)})
+feature("roc", ind.momentum_features, {f"roc_{n}": f"(close / {lag('close', n)} - 1) * 100" for n in (5, 10, 14)})
+feature("volume_price_trend", ind.volume_price_trend_features, {"volume_price_trend": f"volume * (close / {lag('close')} - 1)"})
+@query("obv", _sql({"obv": f"sum(sv) OVER ({W} ROWS UNBOUNDED PRECEDING)"}, [{"sv": f"coalesce(sign(close - {lag('close')}), 0) * volume"}]), "obv")
+def obv(spark, d):
+    return epoch(ind.obv(bars_d(spark, d))).select("series_key", "ts", "obv")
+
+
+feature("candle_patterns", ind.pattern_features, {
     "doji": "CASE WHEN abs(close - open) <= 0.1 * (high - low) THEN 1 ELSE 0 END",
     "hammer": "CASE WHEN least(open, close) - low > 2 * abs(close - open) AND high - greatest(open, close) < abs(close - open) THEN 1 ELSE 0 END",
 }, ints="doji hammer")
-feature("trend_flags", ind.trend_flags, {
+feature("trend_flags", ind.trend_flag_features, {
     "above_sma_20": "CASE WHEN close > a THEN 1 ELSE 0 END", "above_sma_50": "CASE WHEN close > b THEN 1 ELSE 0 END",
     "sma_20_above_50": "CASE WHEN a > b THEN 1 ELSE 0 END",
 }, [{"a": roll("avg", "close", 20), "b": roll("avg", "close", 50)}], "above_sma_20 above_sma_50 sma_20_above_50")
-feature("ratio_features", ind.ratio_features, {
+feature("ratio_features", ind.ratio_to_mean_features, {
     "volume_to_sma": f"volume / ({roll('avg', 'volume', 20)})", "price_to_sma": f"close / ({roll('avg', 'close', 20)})"})
 _CAL = {"hour": "hour(ts)::INT", "day_of_week": "(isodow(ts) - 1)::INT", "month": "month(ts)::INT", "quarter": "quarter(ts)::INT"}
-feature("temporal_enhance", ind.temporal_enhance, {
+feature("temporal_enhance", ind.enhance_features, {
     "price_lag_1": lag("close"), "price_change": f"close / {lag('close')} - 1",
     "price_volatility": roll("stddev_samp", "close", 24), **_CAL}, ints="hour day_of_week month quarter")
-feature("cyclic_time", ind.calendar, {
+feature("cyclic_time", ind.calendar_features, {
     **_CAL, "day_of_month": "day(ts)::INT",
     "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)",
     "dow_sin": "sin(2 * pi() * (isodow(ts) - 1) / 7)", "dow_cos": "cos(2 * pi() * (isodow(ts) - 1) / 7)"},
     ints="hour day_of_week month quarter day_of_month")
-feature("normalised_slope", ind.normalised_slope, {"normalised_slope": "CASE WHEN n = 10 THEN greatest(-1.0, least(1.0, -((close - f) / 9 / a))) END"}, [
+feature("normalised_slope", ind.slope_features, {"normalised_slope": "CASE WHEN n = 10 THEN greatest(-1.0, least(1.0, -((close - f) / 9 / a))) END"}, [
     {"n": f"count(close) OVER ({W} ROWS 9 PRECEDING)", "f": f"first_value(close) OVER ({W} ROWS 9 PRECEDING)",
      "a": f"avg(close) OVER ({W} ROWS 9 PRECEDING)"}])
 
@@ -243,7 +244,7 @@ def tick_running(spark, d):
 
 
 @query("tick_ema", f"WITH {EVENT_TICKS}, n AS (SELECT series_key, seq AS ts, price, row_number() OVER ({_T}) AS rn FROM event_ticks), "
-       f"e AS ({_ema_join({'ema_20': 20}, 'price', 'n')}) SELECT series_key, ts AS seq, ema_20 FROM e", "ema_20")
+       f"e AS ({_ema_join({'ema_20': 20}, 'price', 'n')}) SELECT series_key, ts AS seq, ema_20 FROM e", "ema_20", digits=4)
 def tick_ema(spark, d):
     """Exponential mean of hot series: chunks carry enough history for double precision."""
 

@@ -26,12 +26,12 @@ def epoch(df: DataFrame, *columns: str) -> DataFrame:
 # --- ticks and bars --------------------------------------------------------------------
 
 def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One tick per line item: unit price of a supplier."""
+    """One tick per line item: unit price of a supplier, in whole cents."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("series_key"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_partkey") % 1048576).alias("seq"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        (F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100).alias("price"),
         F.col("l_quantity").alias("qty"),
     )
 
@@ -58,7 +58,7 @@ def bars_h(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_TICKS = """line_ticks AS (
   SELECT l_suppkey AS series_key, l_shipdate AS ts,
          (l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey % 1048576 AS seq,
-         l_extendedprice / l_quantity AS price, l_quantity AS qty
+         floor(l_extendedprice * 100 / l_quantity) / 100 AS price, l_quantity AS qty
   FROM lineitem)"""
 EVENT_TICKS = """event_ticks AS (
   SELECT event_type AS series_key, ts, event_id AS seq, value AS price, 1.0::DOUBLE AS qty FROM events)"""

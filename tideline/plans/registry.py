@@ -14,11 +14,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tie_shift(digits: int) -> float:
+    return 3 * 10.0 ** -(digits + 3)
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Round every DOUBLE: sums add up in another order on every run."""
+    """Round every DOUBLE: sums add up in another order on every run.
+
+    The small shift moves exact ties (prices are whole cents) off the rounding boundary.
+    """
     return df.select(
         *[
-            (F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+            (F.round(F.col(f.name) + F.lit(tie_shift(digits)), digits) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema.fields
@@ -42,7 +49,7 @@ def query(name: str, sql: str | None = None, floats: str = "", digits: int = 6):
         if sql is not None:
             cols = floats.split()
             ORACLES[name] = (
-                f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}' for c in cols)}) FROM (\n{sql}\n) AS answer"
+                f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE) + {tie_shift(digits)!r}::DOUBLE, {digits}) + 0.0 AS {c}' for c in cols)}) FROM (\n{sql}\n) AS answer"
                 if cols
                 else sql
             )
