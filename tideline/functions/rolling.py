@@ -28,8 +28,12 @@ def so_far(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def from_here(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(0, Window.unboundedFollowing)
+def from_end(keys: Sequence[str], order: Sequence[str] = ("ts",)) -> WindowSpec:
+    """Current row to the end of the series, as a growing frame over descending order.
+
+    A frame that ends in UNBOUNDED FOLLOWING is aggregated anew for every row.
+    """
+    return Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def rolling(agg: Callable[[Column], Column], x: Column, n: int, w: WindowSpec) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["indicators"]
+_MODULES = ["indicators", "cleaning", "joins"]
 
 
 def _load():
