@@ -130,11 +130,15 @@ def selector_transform(df: DataFrame, selected: Sequence[str], keys: Sequence[st
     return df.select(*[c for c in lead if c in df.columns], *[c for c in selected if c in df.columns and c not in lead])
 
 
-def source_counts(df: DataFrame, roles: dict[str, str], spark) -> DataFrame:
-    """Features per source from an explicit ``{column: source}`` map; others are price features."""
-    rows = [F.struct(F.lit(c).alias("feature"), F.lit(roles.get(c, "price")).alias("source")) for c in df.columns]
-    long = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return long.groupBy("source").agg(F.count("*").alias("n_features"))
+def source_counts(df: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """Features and present values per source, from an explicit ``{column: source}`` map.
+
+    Columns without an entry are price features.
+    """
+    row = df.agg(*[F.count(c).alias(f"__{i}") for i, c in enumerate(df.columns)])
+    items = {c: [F.lit(c), F.lit(roles.get(c, "price")), F.col(f"__{i}")] for i, c in enumerate(df.columns)}
+    long = _unstack(row, items, ["feature", "source", "n"])
+    return long.groupBy("source").agg(F.count("*").alias("n_features"), F.sum("n").alias("n_values"))
 
 
 def source_impact(correlations: DataFrame, roles: dict[str, str]) -> DataFrame:

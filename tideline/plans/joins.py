@@ -134,7 +134,7 @@ def param_cross(spark, d):
 
 @query("timeframe_lookup", f"""WITH {EVENT_TICKS}, tf(name, seconds) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in CADENCE_SECONDS.items())})
 SELECT c.name AS child, p.name AS parent, (p.seconds // c.seconds)::BIGINT AS ratio,
-  (SELECT count(DISTINCT (series_key, (epoch(ts) // c.seconds)::BIGINT)) FROM event_ticks) AS child_bars
+  (SELECT count(DISTINCT (series_key, floor(epoch(ts) / c.seconds))) FROM event_ticks) AS child_bars
 FROM tf c JOIN tf p ON p.seconds > c.seconds AND p.seconds % c.seconds = 0""")
 def timeframe_lookup(spark, d):
     """Parents, children and step ratios of the cadences, with the bars each child has."""
@@ -339,9 +339,11 @@ def fit_select(spark, d):
 _ROLES = {"avg_price": "orders", "n_orders": "orders", "filled": "orders"}
 
 
-@query("source_feature_count", """SELECT * FROM (VALUES ('orders', 1::BIGINT), ('price', 10::BIGINT)) AS t(source, n_features)""")
+@query("source_feature_count", f"""WITH {_ROWS} SELECT 'orders' AS source, 1::BIGINT AS n_features, count(avg_price) AS n_values FROM rows
+UNION ALL SELECT 'price', 9::BIGINT, (count(open) + count(high) + count(low) + count(close) + count(volume) + count(returns)
+  + count(close_lag_1) + count(close_lag_2) + count(bb_middle))::BIGINT FROM rows""")
 def source_feature_count(spark, d):
-    return sel.source_counts(_feature_rows(spark, d), _ROLES, spark)
+    return sel.source_counts(_feature_rows(spark, d).drop("series_key", "ts"), _ROLES)
 
 
 @query("source_impact_summary", f"""WITH {_ROWS}, t AS ({_TARGET}) SELECT
