@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["indicators", "cleaning", "joins", "quality"]
+_MODULES = ["indicators", "cleaning", "joins", "quality", "splits"]
 
 
 def _load():
