@@ -135,32 +135,42 @@ ORDER_DAYS = """order_days AS (
          sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) AS filled
   FROM orders GROUP BY 1)"""
 
-# --- forecasts of simple models, long form ---------------------------------------------
+# --- calm prices and forecasts of simple models, long form --------------------------------
 
-def forecasts(spark: SparkSession, sf_dir: str, source=bars_d) -> DataFrame:
+def calm_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars on a narrow price scale (10000 + price / 100), so that products of returns stay small."""
+    scale = {c: F.col(c) / 100 + 10000 for c in ("open", "high", "low", "close")}
+    return bars_d(spark, sf_dir).withColumns(scale)
+
+
+CALM = BARS_D + """,
+calm AS (SELECT series_key, ts, open / 100 + 10000 AS open, high / 100 + 10000 AS high, low / 100 + 10000 AS low,
+  close / 100 + 10000 AS close, volume FROM bars)"""
+
+
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, series_key, ts, t, actual, predicted): last value, mean of 10, 5-step trend."""
-    from tideline.functions.rolling import last_rows, series_window
+    from tideline.functions.rolling import series_window
 
     w = series_window(["series_key"])
-    b = source(spark, sf_dir).select("series_key", "ts", F.col("close").alias("actual"))
-    past = w.rowsBetween(-10, -1)
+    b = calm_bars(spark, sf_dir).select("series_key", "ts", F.col("close").alias("actual"))
     b = b.withColumns(
         {
             "t": F.row_number().over(w).cast("bigint"),
             "naive": F.lag("actual").over(w),
-            "mean10": F.avg("actual").over(past),
+            "mean10": F.avg("actual").over(w.rowsBetween(-10, -1)),
             "trend5": F.lag("actual").over(w) + (F.lag("actual").over(w) - F.lag("actual", 6).over(w)) / 5,
         }
     ).where("t > 10")
     return b.unpivot(["series_key", "ts", "t", "actual"], ["naive", "mean10", "trend5"], "model", "predicted")
 
 
-FORECASTS = BARS_D + """,
+FORECASTS = CALM + """,
 based AS (
   SELECT series_key, ts, close AS actual, row_number() OVER w AS t, lag(close) OVER w AS naive,
     avg(close) OVER (PARTITION BY series_key ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS mean10,
     lag(close) OVER w + (lag(close) OVER w - lag(close, 6) OVER w) / 5 AS trend5
-  FROM bars WINDOW w AS (PARTITION BY series_key ORDER BY ts)),
+  FROM calm WINDOW w AS (PARTITION BY series_key ORDER BY ts)),
 forecasts AS (
   SELECT series_key, ts, t, actual, model, predicted FROM (
     SELECT series_key, ts, t, actual, 'naive' AS model, naive AS predicted FROM based UNION ALL

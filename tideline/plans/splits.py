@@ -90,11 +90,11 @@ def panel(spark, d):
     e = table(spark, d, "embeddings")
     return e.select(
         F.col("vec_id").alias("series_id"), F.col("label").alias("grp"),
-        F.slice(F.transform("embedding", lambda x: x.cast("double")), F.lit(1), (F.lit(40) + F.col("vec_id") % 25).cast("int")).alias("vals"),
+        F.slice(F.col("embedding").cast("array<double>"), F.lit(1), (F.lit(40) + F.col("vec_id") % 25).cast("int")).alias("vals"),
     )
 
 
-PANEL = """panel AS (SELECT vec_id AS series_id, label AS grp, list_transform(embedding[1:(40 + vec_id % 25)], x -> x::DOUBLE) AS vals FROM embeddings)"""
+PANEL = """panel AS (SELECT vec_id AS series_id, label AS grp, embedding[1:(40 + vec_id % 25)]::DOUBLE[] AS vals FROM embeddings)"""
 
 
 @query("scan_panel", f"WITH {PANEL} SELECT series_id, grp, unnest(vals) AS value, generate_subscripts(vals, 1)::INT AS t FROM panel WHERE grp IN (0, 1, 2)", "value")
@@ -121,7 +121,7 @@ def instance_norm_last(spark, d):
     return n.select("series_id", F.element_at("vals", 1).alias("first"), F.element_at("vals", -1).alias("last"))
 
 
-@query("patches", f"""WITH {PANEL}, p AS (SELECT series_id, list_concat(vals, list_transform(range(8), i -> vals[-1])) AS v, ((len(vals) + 8 - 16) // 8 + 1) AS k FROM panel),
+@query("patches", f"""WITH {PANEL}, p AS (SELECT series_id, list_concat(vals, [vals[-1], vals[-1], vals[-1], vals[-1], vals[-1], vals[-1], vals[-1], vals[-1]]) AS v, ((len(vals) + 8 - 16) // 8 + 1) AS k FROM panel),
 q AS (SELECT series_id, v, unnest(range(k)) AS patch FROM p)
 SELECT series_id, patch::INT AS patch, v[patch * 8 + 1] AS first, v[patch * 8 + 16] AS last, list_sum(v[patch * 8 + 1:patch * 8 + 16]) AS total FROM q""", "first last total")
 def patches(spark, d):
