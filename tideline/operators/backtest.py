@@ -162,12 +162,15 @@ def sweep(df: DataFrame, confidences: Sequence[float], fees: Sequence[float], ch
     return r.withColumn("change", F.explode(F.array(*[F.lit(float(c)) for c in changes])))
 
 
-def top_k_sweep(results: DataFrame, k: int = 10, ties: Sequence[str] = ("model", "series_key", "confidence", "fee", "change")) -> DataFrame:
-    """Best k by return, by Sharpe and by (return / |drawdown|) * Sharpe; ties by parameters."""
+def top_k_sweep(results: DataFrame, k: int = 10, ties: Sequence[str] = ("model", "series_key", "confidence", "fee", "change"), digits: int = 9) -> DataFrame:
+    """Best k by return, by Sharpe and by (return / |drawdown|) * Sharpe; ties by parameters.
+
+    Scores are rounded first: equal combinations differ in the last bits.
+    """
     combined = ratio(F.col("total_return"), F.abs("max_drawdown")) * F.col("sharpe")
     out = None
     for ranking, x in (("return", F.col("total_return")), ("sharpe", F.col("sharpe")), ("combined", combined)):
-        top = results.withColumns({"score": x, "ranking": F.lit(ranking)}).orderBy(F.desc_nulls_last("score"), *ties).limit(k)
+        top = results.withColumns({"score": F.round(x, digits), "ranking": F.lit(ranking)}).orderBy(F.desc_nulls_last("score"), *ties).limit(k)
         out = top if out is None else out.unionByName(top)
     return out
 
