@@ -39,3 +39,13 @@ def flag(cond: Column) -> Column:
 def share(cond: Column) -> Column:
     """Aggregate: share of rows where the condition holds."""
     return F.avg(flag(cond).cast("double"))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson's r on rows where both are present, NULL when one is constant.
+
+    The built-in ``corr`` raises a division error on constant input under ANSI rules.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))

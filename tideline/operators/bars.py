@@ -28,10 +28,10 @@ def duration(every: str) -> str:
 
 
 def slot(every: str, ts: str = "ts") -> Column:
-    """Start of the bar a timestamp falls in; weeks start on Monday."""
+    """Event-time window of a bar; weeks start on Monday."""
     if every == "1W":
-        return F.window(F.col(ts), "7 days", None, "4 days").getField("start")
-    return F.window(F.col(ts), duration(every)).getField("start")
+        return F.window(F.col(ts), "7 days", None, "4 days")
+    return F.window(F.col(ts), duration(every))
 
 
 def resample_bars(ticks: DataFrame, every: str, keys: Sequence[str] = ("series_key",)) -> DataFrame:
@@ -40,7 +40,8 @@ def resample_bars(ticks: DataFrame, every: str, keys: Sequence[str] = ("series_k
     Open and close follow ``seq``, the feed's sequence number. It is one BIGINT on purpose:
     with a primitive ordering the partial aggregate is a hash aggregate, with a struct it
     would sort the whole input first. Partial aggregation makes a hot key harmless: what is
-    shuffled is at most one row per (key, bar) and input partition.
+    shuffled is at most one row per (key, bar) and input partition. The grouping keeps the
+    window column, so the same call runs on a stream with a watermark.
     """
     return (
         ticks.groupBy(*keys, slot(every).alias("bar"))
@@ -51,7 +52,7 @@ def resample_bars(ticks: DataFrame, every: str, keys: Sequence[str] = ("series_k
             F.max_by("price", "seq").alias("close"),
             F.sum("qty").alias("volume"),
         )
-        .withColumnRenamed("bar", "ts")
+        .select(*keys, F.col("bar.start").alias("ts"), "open", "high", "low", "close", "volume")
     )
 
 

@@ -117,11 +117,13 @@ def param_grid(spark, **lists) -> DataFrame:
     return d
 
 
-def rows_in_ranges(df: DataFrame, ranges: DataFrame, position: str, keys: Sequence[str] = KEYS) -> DataFrame:
+def rows_in_ranges(df: DataFrame, ranges: DataFrame, position: str, keys: Sequence[str] = KEYS, width: int = 256) -> DataFrame:
     """Rows joined to every range [lo, hi) of their series that holds their position.
 
+    Both sides are cut into position slices of ``width`` rows and joined on (key, slice), so
+    a row meets only ranges that reach its slice, and a hot series spreads over its slices.
     Ranges overlap (rolling windows), so a row may occur once per range.
     """
-    return df.join(ranges, list(keys), "inner").where((F.col(position) >= F.col("lo")) & (F.col(position) < F.col("hi")))
-
-
+    cut = ranges.withColumn("__slice", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    d = df.withColumn("__slice", F.floor(F.col(position) / width)).join(cut, [*keys, "__slice"], "inner")
+    return d.where((F.col(position) >= F.col("lo")) & (F.col(position) < F.col("hi"))).drop("__slice")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.nulls import INF, ratio
+from tideline.functions.nulls import INF, correlation, ratio
 from tideline.functions.rolling import series_window, so_far
 from tideline.operators.bars import PRICES
 
@@ -98,7 +98,7 @@ def measure(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", externa
         aggs[f"infinite_{c}"] = _n(F.abs(F.col(c)) == INF)
         aggs[f"skew_{c}"] = adjusted_skew(finite)
     for c in external:
-        aggs[f"corr_{c}"] = F.abs(F.corr(F.when(F.col("close").isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("close"))))
+        aggs[f"corr_{c}"] = F.abs(correlation(F.col(c), F.col("close")))
     return rows.join(quartiles, keys).groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
 
 

@@ -18,7 +18,7 @@ def _half(x: Column) -> Column:
 def post_rollup(posts: DataFrame, hour: Column | None = None) -> DataFrame:
     """Hourly mood and engagement of posts; polarity scaled to [0, 1], unknown is 0.5.
 
-    ``hour`` defaults to the floor of ``ts``; a stream passes its event-time window start.
+    ``hour`` defaults to the floor of ``ts``; a stream passes its event-time window.
     """
     return posts.groupBy((hour if hour is not None else F.date_trunc("hour", "ts")).alias("ts")).agg(
         _half((F.avg("polarity") + 1) / 2).alias("sentiment_score"),

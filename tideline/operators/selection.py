@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.nulls import ratio
+from tideline.functions.nulls import correlation, ratio
 from tideline.operators.ordered import value_buckets
 
 
@@ -19,7 +19,7 @@ def _complete(a: str, b: str) -> tuple[Column, Column]:
 
 
 def pair_corr(a: str, b: str) -> Column:
-    return F.corr(*_complete(a, b))
+    return correlation(F.col(a), F.col(b))
 
 
 def _unstack(row: DataFrame, items: dict[str, list[Column]], names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

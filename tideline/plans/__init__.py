@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["indicators", "cleaning", "joins", "quality", "splits", "evaluation", "trading"]
+_MODULES = ["indicators", "cleaning", "joins", "quality", "splits", "evaluation", "trading", "regimes", "trials", "io"]
 
 
 def _load():

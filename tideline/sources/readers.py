@@ -61,8 +61,8 @@ def scan_trial_json(spark: SparkSession, path: str, multi_line: bool = False) ->
     return df.select("study", F.explode("trials").alias("t")).select("study", "t.*")
 
 
-# Fixed value: the shape of a run name, e.g. GPT2_L6_1h_all_seq96_pred24_p16_s8_v1000
-RUN_ID = r"(?:^|.*?_)?([A-Za-z0-9.-]+)_L(\d+)_([A-Za-z0-9]+)_([A-Za-z]+)_seq(\d+)_pred(\d+)_p(\d+)_s(\d+)_v(\d+)"
+# Fixed value: the shape of a run name, e.g. GPT2_L6_1h_M_seq96_pred24_p16_s8_v1000
+RUN_ID = r"^(.+?)_L(\d+)_(.+?)_([A-Z]+)_seq(\d+)_pred(\d+)_p(\d+)_s(\d+)_v(\d+)"
 RUN_FIELDS = ["llm", "layers", "granularity", "features", "seq_len", "pred_len", "patch_len", "stride", "vocab"]
 
 
@@ -77,12 +77,12 @@ def parse_run_id(df: DataFrame, column: str) -> DataFrame:
 
 
 def parse_metric_log(lines: DataFrame, run: str = "run", line_no: str = "line_no", line: str = "line", default: float = 999.0) -> DataFrame:
-    """Last reported mae, mse and mape per run, from a ``FINAL_METRICS:{json}`` line if there
-    is one, else from ``name: value`` tokens; ``default`` when a run reports none.
+    """mae, mse and mape per run: from its first ``FINAL_METRICS:{json}`` line if there is one,
+    else the last ``name: value`` tokens; ``default`` when a run reports none.
 
-    Each line is parsed where it lies; the last value per run is a map-side aggregate.
+    Each line is parsed where it lies; the pick per run is a map-side aggregate.
     """
-    final = F.from_json(F.regexp_extract(line, r"FINAL_METRICS:\s*(\{.*\})", 1), "mae DOUBLE, mse DOUBLE, mape DOUBLE")
+    final = F.from_json(F.regexp_extract(line, r"^FINAL_METRICS:\s*(\{.*\})", 1), "mae DOUBLE, mse DOUBLE, mape DOUBLE")
 
     def token(n: str) -> Column:
         return F.expr(f"try_cast(regexp_extract(lower({line}), '(^|[^a-z]){n}:\\\\s*([0-9.]+)', 2) AS DOUBLE)")
@@ -91,15 +91,15 @@ def parse_metric_log(lines: DataFrame, run: str = "run", line_no: str = "line_no
     aggs = []
     for n in ("mae", "mse", "mape"):
         f, t = F.col("__f").getField(n), token(n)
-        aggs += [F.max_by(f, F.when(f.isNotNull(), F.col(line_no))).alias(f"__f_{n}"), F.max_by(t, F.when(t.isNotNull(), F.col(line_no))).alias(f"__t_{n}")]
+        aggs += [F.min_by(f, F.when(f.isNotNull(), F.col(line_no))).alias(f"__f_{n}"), F.max_by(t, F.when(t.isNotNull(), F.col(line_no))).alias(f"__t_{n}")]
     out = d.groupBy(run).agg(*aggs)
     return out.select(run, *[F.coalesce(f"__f_{n}", f"__t_{n}", F.lit(default)).alias(n) for n in ("mae", "mse", "mape")])
 
 
-def scan_templates(spark: SparkSession, path: str, shared_prefix: str = "ETT") -> DataFrame:
-    """One text per file, named after it; names with the shared prefix read the same text."""
+def scan_templates(spark: SparkSession, path: str, shared_prefix: str = "ETT", name_pattern: str = r"([^/]+)\.[^/.]*$") -> DataFrame:
+    """One text per file, named by the path; names with the shared prefix read the same text."""
     t = spark.read.text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), name_pattern, 1)
     return t.select(F.when(name.startswith(shared_prefix), shared_prefix).otherwise(name).alias("name"), F.trim("value").alias("template"))
 
 
