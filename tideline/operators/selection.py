@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.nulls import correlation, ratio
-from tideline.operators.ordered import value_buckets
+from tideline.functions.nulls import INF, correlation, ratio
 
 
 def _complete(a: str, b: str) -> tuple[Column, Column]:
@@ -27,12 +28,46 @@ def _unstack(row: DataFrame, items: dict[str, list[Column]], names: Sequence[str
     return row.select(*keys, F.explode(F.array(*cols)).alias("r")).select(*keys, *[f"r.{n}" for n in names])
 
 
-def corr_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every pair, on rows where both are present: one aggregate pass."""
-    pairs = list(itertools.combinations(columns, 2))
-    row = df.groupBy(*keys).agg(*[pair_corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
-    items = {f"{a}|{b}": [F.lit(a), F.lit(b), F.col(f"__{i}")] for i, (a, b) in enumerate(pairs)}
-    return _unstack(row, items, ["left_column", "right_column", "r"], keys)
+def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of columns, on rows where both are present.
+
+    Columns are centred first (their means are one broadcast row), each partition adds up
+    its sums of products as small matrices, and one row per pair and partition is shuffled.
+    Wide tables stay cheap: the work per batch is a few matrix products, not one expression
+    per pair.
+    """
+    columns = list(columns)
+    means = df.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)])
+    centred = df.select(*columns).crossJoin(F.broadcast(means)).select(  # one row
+        *[(F.col(c).cast("double") - F.col(f"__m{i}")).alias(f"x{i}") for i, c in enumerate(columns)]
+    )
+    n = len(columns)
+    left, right = np.triu_indices(n, 1)
+
+    def add_up(batches):
+        sums = np.zeros((4, n, n))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            seen = ~np.isnan(x)
+            m, x = seen.astype(float), np.where(seen, x, 0.0)
+            sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        count, total, square, product = sums
+        yield pd.DataFrame(
+            {
+                "i": left, "j": right, "n": count[left, right], "sx": total[left, right], "sy": total[right, left],
+                "sxx": square[left, right], "syy": square[right, left], "sxy": product[left, right],
+            }
+        )
+
+    figures = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    part = centred.mapInPandas(add_up, "i int, j int, " + ", ".join(f"{f} double" for f in figures))
+    t = part.groupBy("i", "j").agg(*[F.sum(f).alias(f) for f in figures])
+    c = F.col
+    cov = c("sxy") - ratio(c("sx") * c("sy"), c("n"))
+    spread = (c("sxx") - ratio(c("sx") * c("sx"), c("n"))) * (c("syy") - ratio(c("sy") * c("sy"), c("n")))
+    names = F.array(*[F.lit(x) for x in columns])
+    r = F.when(spread > 0, ratio(cov, F.sqrt(spread)))
+    return t.select(F.element_at(names, c("i") + 1).alias("left_column"), F.element_at(names, c("j") + 1).alias("right_column"), r.alias("r"))
 
 
 def high_corr_pairs(matrix: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -80,10 +115,13 @@ def binned_mutual_info(df: DataFrame, columns: Sequence[str], target: str) -> Da
 
 
 def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Bin numbers by approximate quantiles; the cut points are a few numbers per column."""
-    for c in columns:
-        df = value_buckets(df, c, bins)(df).withColumn(c, F.col("__bucket").cast("int")).drop("__bucket")
-    return df
+    """Bin numbers by approximate quantiles; one pass finds the few cut points of all columns."""
+    columns = list(columns)
+    cuts = df.approxQuantile(columns, [i / bins for i in range(1, bins)], 0.1 / bins)
+    splits = [[-INF, *sorted(set(c)), INF] for c in cuts]
+    names = [f"__bin{i}" for i in range(len(columns))]
+    binned = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=names, handleInvalid="keep").transform(df)
+    return binned.withColumns({c: F.col(n).cast("int") for c, n in zip(columns, names)}).drop(*names)
 
 
 def combined_score(scores: DataFrame, mi: DataFrame) -> DataFrame:
