@@ -53,14 +53,14 @@ def sequential(prices, signals, fee):
     return equity, trades
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_backtest_equals_a_loop(spark, seed):
+@pytest.mark.parametrize("seed,bucket", [(0, None), (1, None), (2, 3000), (3, 500)])
+def test_backtest_equals_a_loop(spark, seed, bucket):
     rng = np.random.RandomState(seed)
     p, s = 100 * np.cumprod(1 + rng.normal(0, 0.02, 400)), rng.choice([-1, 0, 1], 400, p=[0.1, 0.8, 0.1])
     df = stamped(spark, pd.DataFrame({"model": "m", "series_key": "s", "sec": np.arange(400) * 60, "close": p, "signal": s}))
-    t = bt.backtest(df, fee=0.001)
+    t = bt.backtest(df, fee=0.001, bucket=time_bucket(bucket) if bucket else None)
     want, trades = sequential(p, s, 0.001)
-    assert np.allclose(t.orderBy("ts").toPandas()["equity"], want, rtol=1e-12)
+    assert np.allclose(t.orderBy("ts").toPandas()["equity"], want, rtol=1e-11)
     m = bt.backtest_metrics(t).first()
     eq = pd.Series(want)
     r = eq.pct_change().fillna(0)

@@ -3,8 +3,8 @@
 A signal is 1 (buy), -1 (sell) or 0. A back-test is all in or all out: the position after a
 row is the last non-zero signal so far (out before the first), a trade happens where the
 position changes, and the equity is the running product of one factor per row. Cumulative
-values need one window per (series, model, strategy); these are bar tables, so the rows of a
-group are bounded by the calendar, not by the number of ticks.
+values need one window per (series, model, strategy); on bar tables the rows of a group are
+bounded by the calendar, not by the number of ticks. For ticks ``backtest`` takes a bucket.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions.nulls import ratio
 from tideline.functions.rolling import pct_change, series_window, sma, so_far
+from tideline.operators.ordered import running
+from tideline.session import written
 
 BY = ("model", "series_key")
 
@@ -76,14 +78,21 @@ def signal_buy_hold(df: DataFrame, by: Sequence[str] = BY, name="signal") -> Dat
 
 # --- back-test -----------------------------------------------------------------------------
 
-def backtest(df: DataFrame, by: Sequence[str] = BY, signal="signal", price="close", fee: float | Column = 0.0, capital: float = 1000.0) -> DataFrame:
-    """Add ``state, side, ret, equity, peak`` per row; ``side`` is buy, sell or NULL."""
-    w = series_window(by)
+def backtest(df: DataFrame, by: Sequence[str] = BY, signal="signal", price="close", fee: float | Column = 0.0, capital: float = 1000.0,
+             order: Sequence[str] = ("ts",), bucket: Column | None = None) -> DataFrame:
+    """Add ``state, side, ret, equity, peak, won`` per row; ``side`` is buy, sell or NULL.
+
+    ``bucket`` (a slice along the order) runs every cumulative step as a two-level scan, for
+    series without a row bound; the equity is then the exponential of a running sum.
+    """
     fee = F.lit(fee) if isinstance(fee, float) else fee
-    state = F.coalesce(F.last(F.when(F.col(signal) != 0, F.col(signal)), ignorenulls=True).over(so_far(w)), F.lit(-1))
-    d = df.withColumn("state", state)
-    held = F.coalesce(F.lag("state").over(w), F.lit(-1))
-    d = d.withColumns({"__held": held, "__before": F.lag(price).over(w)})
+    order = list(order)
+    cut = (lambda d: d) if bucket is None else written
+    nonzero = F.when(F.col(signal) != 0, F.col(signal))
+    first = {"state": ("last", nonzero), "__held": ("last", nonzero, True), "__before": ("last", F.col(price), True)}
+    d = cut(running(df, by, order, first, bucket))
+    out = F.lit(-1)
+    d = d.withColumns({"state": F.coalesce("state", out), "__held": F.coalesce("__held", out)})
     traded = F.col("state") != F.col("__held")
     growth = F.when(F.col("__held") == 1, F.col(price) / F.col("__before")).otherwise(F.lit(1.0))
     factor = growth * F.when(traded, 1 - fee).otherwise(F.lit(1.0))
@@ -92,11 +101,16 @@ def backtest(df: DataFrame, by: Sequence[str] = BY, signal="signal", price="clos
             "side": F.when(traded, F.when(F.col("state") == 1, "buy").otherwise("sell")),
             "__factor": factor,
             "ret": F.when(F.col("__before").isNull(), 0.0).otherwise(factor - 1),
-            "__entry": F.last(F.when(traded, F.col(price)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
-    d = d.withColumn("equity", capital * F.product("__factor").over(so_far(w)))
-    d = d.withColumn("peak", F.max("equity").over(so_far(w)))
+    second = {"__entry": ("last", F.when(F.col("side").isNotNull(), F.col(price)), True)}
+    if bucket is None:
+        d = running(d, by, order, second)
+        d = d.withColumn("equity", capital * F.product("__factor").over(so_far(series_window(by, order))))
+    else:
+        d = cut(running(d, by, order, second | {"__log": ("sum", F.ln("__factor"))}, bucket))
+        d = d.withColumn("equity", capital * F.exp("__log")).drop("__log")
+    d = running(d, by, order, {"peak": ("max", F.col("equity"))}, bucket)
     d = d.withColumn("won", F.when(F.col("side") == "sell", (F.col(price) > F.col("__entry")).cast("int")))
     return d.drop("__held", "__before", "__factor", "__entry")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.ordered import ordinal, running
+from tideline.operators.ordered import ordinal, running, time_bucket
 
 KEYS = ("series_key",)
+_SHARED_SLICE = 30 * 86_400
 
 
 def _tagged_union(left: DataFrame, sources: dict[str, tuple[DataFrame, list[str]]], keys: Sequence[str]) -> DataFrame:
@@ -49,7 +50,7 @@ def align_sources(
     Sources that have the key columns are merged in one union pass: one shuffle for all.
     Sources without keys are aligned with the distinct left times and joined on the time.
     A NULL field of a matched source row stays NULL. ``bucket`` (a slice of ``ts``) splits
-    series of unbounded length.
+    series of unbounded length; sources without keys are one series and always sliced.
     """
     taken, renames = set(left.columns), {}
     keyed, shared = {}, {}
@@ -59,20 +60,20 @@ def align_sources(
         renames[n] = _names(left, n, cols, taken)
         (keyed if is_keyed else shared)[n] = (df, cols)
 
-    def last_rows(rows: DataFrame, names, ks) -> DataFrame:
-        return running(rows, ks, ["ts", "__side", "__tie"], {f"__l_{n}": ("last", F.col(f"__{n}")) for n in names}, bucket)
+    def last_rows(rows: DataFrame, names, ks, cut) -> DataFrame:
+        return running(rows, ks, ["ts", "__side", "__tie"], {f"__l_{n}": ("last", F.col(f"__{n}")) for n in names}, cut)
 
     def unpack(names) -> list[Column]:
         return [F.col(f"__l_{n}")[c].alias(renames[n][c]) for n in names for c in renames[n]]
 
     out = left
     if keyed:
-        rows = last_rows(_tagged_union(left, keyed, list(keys)), keyed, keys).where("__side = 1")
+        rows = last_rows(_tagged_union(left, keyed, list(keys)), keyed, keys, bucket).where("__side = 1")
         own = [F.col("__left")[c].alias(c) for c in left.columns if c not in keys and c != "ts"]
         out = rows.select(*keys, "ts", *own, *unpack(keyed))
     if shared:
         times = left.select("ts").distinct()
-        rows = last_rows(_tagged_union(times.withColumn("__t", F.lit(1)), shared, []), shared, []).where("__side = 1")
+        rows = last_rows(_tagged_union(times.withColumn("__t", F.lit(1)), shared, []), shared, [], bucket if bucket is not None else time_bucket(_SHARED_SLICE)).where("__side = 1")
         out = out.join(rows.select("ts", *unpack(shared)), "ts", "left")
     return out
 

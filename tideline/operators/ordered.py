@@ -89,33 +89,34 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    exprs: dict[str, tuple[str, Column]],
+    exprs: dict[str, tuple],
     bucket: Column | None = None,
     before: bool = False,
 ) -> DataFrame:
     """Add cumulative values ``{name: (kind, expression)}`` along the order of each key.
 
-    ``before`` leaves the current row out. Without ``bucket`` this is a plain window.
+    ``before``, or a third member of a tuple, leaves the current row out. Without ``bucket``
+    this is a plain window. With one, the input is read twice: for the summaries (a few
+    columns, combined on the map side) and for the rows. Before a second call on the result
+    of a first, cut the lineage with ``session.written``.
     """
-    end = -1 if before else 0
+    end = {n: -1 if (e[2] if len(e) > 2 else before) else 0 for n, e in exprs.items()}
+
+    def frame(by: list[str], name: str):
+        return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end[name])
+
     if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumns({n: _over(k, x, w) for n, (k, x) in exprs.items()})
+        return df.withColumns({n: _over(e[0], e[1], frame(list(keys), n)) for n, e in exprs.items()})
     d = df.withColumn(_B, bucket)
     by = [*keys, _B]
-    local = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     across = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    summary = d.groupBy(*by).agg(*[_summary(k, x, order).alias(f"__s_{n}") for n, (k, x) in exprs.items()])
+    summary = d.groupBy(*by).agg(*[_summary(e[0], e[1], order).alias(f"__s_{n}") for n, e in exprs.items()])
     carry = summary.select(
-        *by, *[_over(k, F.col(f"__s_{n}"), across).alias(f"__c_{n}")
-               if k != "count" else F.sum(f"__s_{n}").over(across).alias(f"__c_{n}")
-               for n, (k, _) in exprs.items()]
+        *by, *[_over("sum" if e[0] == "count" else e[0], F.col(f"__s_{n}"), across).alias(f"__c_{n}") for n, e in exprs.items()]
     )
-    d = d.withColumns({f"__l_{n}": _over(k, x, local) for n, (k, x) in exprs.items()})
+    d = d.withColumns({f"__l_{n}": _over(e[0], e[1], frame(by, n)) for n, e in exprs.items()})
     d = d.join(carry, by, "left")
-    d = d.withColumns(
-        {n: _COMBINE[k](F.col(f"__c_{n}"), F.col(f"__l_{n}")) for n, (k, _) in exprs.items()}
-    )
+    d = d.withColumns({n: _COMBINE[e[0]](F.col(f"__c_{n}"), F.col(f"__l_{n}")) for n, e in exprs.items()})
     return d.drop(_B, *[f"__c_{n}" for n in exprs], *[f"__l_{n}" for n in exprs])
 
 

@@ -63,11 +63,14 @@ def measure(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", externa
         *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in PRICES],
         F.percentile("volume", F.lit(0.5)).alias("_median"),
     )
+    # distinct times by grouping: a distinct count beside other aggregates would expand every row
+    times = df.groupBy(*keys, "ts").agg(F.count("*").alias("_m")).groupBy(*keys).agg(F.count("*").alias("_times"))
+    quartiles = quartiles.join(times, keys)
     gap = (F.unix_timestamp("ts") - F.unix_timestamp("_before")).cast("double")
     months = F.months_between("ts", "_before")
     aggs = {
         "n": F.count("*"),
-        "n_distinct_ts": F.count_distinct("ts"),
+        "n_distinct_ts": F.max("_times"),
         "negative_volume": _n(F.col("volume") < 0),
         "volume_spikes": _n(F.col("_chg_volume") > MAX_VOLUME_SPIKE),
         "low_volume": _n(F.col("volume") < F.col("_median") * 0.01),
@@ -76,8 +79,8 @@ def measure(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", externa
         "large_gaps": _n(gap > MAX_GAP_HOURS * 3600),
         "unordered": _n(gap < 0),
         "n_steps": F.count(gap),
-        "distinct_steps": F.count_distinct(gap),
-        "distinct_months": F.count_distinct(months),
+        "one_step": F.coalesce((F.min(gap) == F.max(gap)).cast("int"), F.lit(0)),
+        "one_month_step": F.coalesce((F.min(months) == F.max(months)).cast("int"), F.lit(0)),
         "whole_months": _n(months == F.floor(months)),
         "shortest_step": F.min(gap),
         "first_ts": F.min("ts"), "last_ts": F.max("ts"),
@@ -151,8 +154,8 @@ def check_columns(external: Sequence[str] = ()) -> dict[str, Column]:
         (c("low_volume") > c("n") * 0.05, 0.2, _say(c("low_volume"), "rows of very low volume")),
         (c("volume_cv") < 0.1, 0.2, F.lit("volume too uniform")),
     ]
-    regular = ((c("distinct_steps") == 1) & (c("shortest_step") > 0)) | (
-        (c("distinct_months") == 1) & (c("whole_months") == c("n_steps")) & (c("shortest_step") > 0)
+    regular = ((c("one_step") == 1) & (c("shortest_step") > 0)) | (
+        (c("one_month_step") == 1) & (c("whole_months") == c("n_steps")) & (c("shortest_step") > 0)
     )
     temporal = [
         (c("max_gap_hours") > MAX_GAP_HOURS, 0.3, _say(c("large_gaps"), "gaps")),

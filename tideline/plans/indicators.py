@@ -190,6 +190,14 @@ def all_features(spark, d):
         "garch_vol", "garman_klass_vol")
 
 
+@query("all_features_chunked", f"WITH {BARS_D} SELECT series_key, epoch(ts)::BIGINT AS ts, {roll('avg', 'close', 20)} AS sma_20, "
+       f"{roll('stddev_samp', 'r', 10)} AS vol_10, {lag('volume', 3)} AS volume_lag_3 FROM (SELECT *, close / {lag('close')} - 1 AS r FROM bars)", "sma_20 vol_10 volume_lag_3")
+def all_features_chunked(spark, d):
+    """The feature table of long series: every series in chunks of 600 rows with their history."""
+    f = ind.all_features_any_length(bars_d(spark, d), 86400, chunk_rows=600, drop_incomplete=False)
+    return epoch(f).select("series_key", "ts", "sma_20", (F.col("realized_vol_10") / math.sqrt(252)).alias("vol_10"), "volume_lag_3")
+
+
 @query("dropna_features", f"SELECT series_key, count(*) AS n_rows, min(ts) AS first_ts FROM ({_dropna_sql('series_key, epoch(ts)::BIGINT AS ts')}) GROUP BY 1")
 def dropna_features(spark, d):
     f = epoch(ind.all_features(bars_d(spark, d)))

@@ -8,7 +8,8 @@ from tideline.operators import backtest as bt
 from tideline.operators import forecasting as fc
 from tideline.operators import indicators as ind
 from tideline.operators import splits as sp
-from tideline.plans.inputs import CALM, FORECASTS, calm_bars, epoch, forecasts
+from tideline.operators.ordered import time_bucket
+from tideline.plans.inputs import CALM, EVENT_TICKS, FORECASTS, calm_bars, epoch, event_ticks, forecasts
 from tideline.plans.registry import query
 from tideline.plans.splits import _WLK as WALK_SQL
 
@@ -103,6 +104,20 @@ def hold(spark, d):
 query("buy_hold_benchmark", f"WITH {CALM}, {_HOLD} SELECT * FROM hold", "max_drawdown total_return final_equity annual_return sharpe volatility win_rate")(hold)
 
 
+_TK = f"""{EVENT_TICKS}, tk AS (SELECT series_key, seq AS ts, 10000 + price AS close, CASE WHEN seq % 7 = 0 THEN 1 WHEN seq % 5 = 0 THEN -1 ELSE 0 END AS signal FROM event_ticks)"""
+
+
+@query("tick_backtest", f"WITH {_TK}, {_test('series_key', 'tk')} SELECT series_key, ts AS seq, state, side, equity, peak FROM b5", "equity peak", digits=4)
+def tick_backtest(spark, d):
+    """Back-test on the ticks of hot series: every cumulative step is a two-level scan."""
+    seq = F.col("seq")
+    t = event_ticks(spark, d).select(
+        "series_key", "ts", "seq", (F.col("price") + 10000).alias("close"), F.when(seq % 7 == 0, 1).when(seq % 5 == 0, -1).otherwise(0).alias("signal")
+    )
+    out = bt.backtest(t, ["series_key"], fee=0.001, order=["seq"], bucket=time_bucket(6 * 3600))
+    return out.select("series_key", "seq", "state", "side", "equity", "peak")
+
+
 # --- strategies x models -------------------------------------------------------------------
 
 _STRATS = {"threshold": "signal_threshold", "directional": "signal_directional", "hybrid": "signal_hybrid", "buy_hold": "signal_buy_hold"}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -29,6 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """The same rows, read back from a table in the shared folder.
+
+    Cuts the lineage between steps that read their input more than once; unlike a cache the
+    table survives the loss of executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str = "8", app: str = "tideline") -> SparkSession:
     """Single-machine session for tests and the benchmark."""
     spark = (
