@@ -22,6 +22,7 @@ from tideline.functions.rolling import (
     add_ema, change, last_rows, log_return, pct_change, rolling, series_window, sma, strength,
 )
 from tideline.operators.ordered import needs_chunks, over_chunks, running, time_bucket
+from tideline.session import written
 
 KEYS = ("series_key",)
 Expr = Callable[[WindowSpec], Column]
@@ -326,9 +327,11 @@ def _block(columns) -> int:
 
 def obv(df: DataFrame, keys: Sequence[str] = KEYS, bucket: Column | None = None) -> DataFrame:
     """On-balance volume: signed volume accumulated; the first row adds nothing."""
-    signed = F.coalesce(F.signum(change(c("close"), series_window(keys))), F.lit(0.0)) * c("volume")
-    d = df.withColumn("__sv", signed)
-    return running(d, keys, ["ts"], {"obv": ("sum", c("__sv"))}, bucket).drop("__sv")
+    d = running(df, keys, ["ts"], {"__before": ("last", c("close"), True)}, bucket)
+    d = d if bucket is None else written(d)
+    signed = F.coalesce(F.signum(c("close") - c("__before")), F.lit(0.0)) * c("volume")
+    d = d.withColumn("__sv", signed)
+    return running(d, keys, ["ts"], {"obv": ("sum", c("__sv"))}, bucket).drop("__sv", "__before")
 
 
 # Rows of history that determine every feature of a row: two blocks of the slowest
