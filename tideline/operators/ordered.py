@@ -160,7 +160,7 @@ def value_buckets(df: DataFrame, column: str, buckets: int = 256) -> Callable[[D
     The cut points are approximate quantiles: at most ``buckets`` numbers on the driver.
     """
     cuts = df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-    splits = [-INF, *sorted(set(cuts)), INF]
+    splits = [-INF, *(sorted(set(cuts)) or [0.0]), INF]
     model = Bucketizer(splits=splits, inputCol=column, outputCol=_B, handleInvalid="keep")
     return model.transform
 

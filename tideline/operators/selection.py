@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.nulls import INF, correlation, ratio
+from tideline.session import written
 
 
 def _complete(a: str, b: str) -> tuple[Column, Column]:
@@ -118,7 +119,7 @@ def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> Data
     """Bin numbers by approximate quantiles; one pass finds the few cut points of all columns."""
     columns = list(columns)
     cuts = df.approxQuantile(columns, [i / bins for i in range(1, bins)], 0.1 / bins)
-    splits = [[-INF, *sorted(set(c)), INF] for c in cuts]
+    splits = [[-INF, *(sorted(set(c)) or [0.0]), INF] for c in cuts]
     names = [f"__bin{i}" for i in range(len(columns))]
     binned = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=names, handleInvalid="keep").transform(df)
     return binned.withColumns({c: F.col(n).cast("int") for c, n in zip(columns, names)}).drop(*names)
@@ -148,10 +149,11 @@ def drop_collinear(names_by_strength: Sequence[str], matrix: dict[tuple[str, str
 def fit_select(df: DataFrame, columns: Sequence[str], target: str, k: int = 20, threshold: float = 0.9, bins: int = 10) -> DataFrame:
     """Selected features with their scores: collinear ones out, then the k best by mean score.
 
-    Everything over rows is an aggregate; only per-column numbers reach the driver.
+    Everything over rows is an aggregate; only per-column numbers reach the driver. The
+    complete rows are read several times, so they are written once.
     """
     columns = [c for c in columns if c != target]
-    complete = df.select(*columns, target).na.drop()
+    complete = written(df.select(*columns, target).na.drop(), "complete-rows")
     strength = {r["feature"]: r["abs_r"] or 0.0 for r in target_corr(complete, columns, target).collect()}
     ordered = sorted(columns, key=lambda c: (-strength[c], c))
     matrix = {(r["left_column"], r["right_column"]): r["r"] for r in corr_matrix(complete, columns).collect()}
