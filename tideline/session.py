@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,22 +14,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named in ``spark.checkpoint.dir``.
+    """Folder of this application that the driver and every executor can reach.
 
-    A local temporary folder, one per application, is used only where the session names
-    none, which is the case in tests on ``local[n]``.
+    It lies in ``spark.checkpoint.dir``, or in the warehouse folder where the session names no
+    checkpoint folder; a cluster shares both. A machine-local temporary folder is never used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_FOLDERS:
-            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tideline-")
-        named = _LOCAL_FOLDERS[app]
-    return named.rstrip("/")
+    named = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tideline-work"
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that this application wrote into its shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -44,14 +42,15 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_session(cores: str = "8", app: str = "tideline") -> SparkSession:
-    """Single-machine session for tests and the benchmark."""
+def local_session(cores: str = "8", app: str = "tideline", folder: str = "/tmp/tideline-work") -> SparkSession:
+    """Single-machine session for tests and the benchmark; ``folder`` takes its intermediate tables."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{folder}")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
