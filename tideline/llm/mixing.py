@@ -10,7 +10,8 @@ The reduction is a tree: documents are dealt by a hash to groups of about ``FAN`
 source needs, so a hot source is simply more groups; each group leaves one residual, and residuals
 are combined ``FAN`` at a time. About ``RESERVE`` documents of each source, chosen by a hash, enter
 only the last group of their source. There, as in every group, large documents come first, so that
-the last residual is among the small ones; it is rounded to the nearer whole number.
+the last residual is among the small ones. It is rounded to the nearer whole number, and documents of
+that last group are turned over to make up for the words of this rounding.
 
 Randomness is a hash of the seed and the two documents: reruns agree. Defined results: a null text
 has no words; documents without words are never taken; a null source is a source of its own, last in
@@ -112,6 +113,23 @@ def _folded(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return units.groupBy(*keys).agg(order.alias("units")).select(*keys, F.aggregate("units", start, lambda acc, x: _pair(acc, x, seed)).alias("r")).select(*keys, "r.held", "r.done")
 
 
+def _settled() -> Column:
+    """All documents of a last group: its residual is rounded to the nearer number, and the words this adds
+    or takes away are made up for by turning over decided documents, large ones first, that fit."""
+    up = F.col("held.p") >= 0.5
+    own = F.struct(F.col("held.size").alias("size"), F.col("held.doc_id").alias("doc_id"), F.when(up, 1).otherwise(0).alias("copies"))
+    missing = F.col("held.size") * (F.col("held.p") - F.when(up, 1.0).otherwise(0.0))
+
+    def turn(acc: Column, x: Column) -> Column:
+        more = (x["copies"] == 0) & (x["size"] <= acc["missing"])
+        less = (x["copies"] == 1) & (x["size"] <= -acc["missing"])
+        new = F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), F.when(more, 1).when(less, 0).otherwise(x["copies"]).alias("copies"))
+        return F.struct((acc["missing"] - F.when(more, x["size"]).when(less, -x["size"]).otherwise(0)).alias("missing"), F.concat(acc["out"], F.array(new)).alias("out"))
+
+    start = F.struct(missing.cast("double").alias("missing"), F.array(own).alias("out"))
+    return F.aggregate(F.reverse(F.array_sort("done")), start, turn)["out"]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row of ``docs``, which needs doc_id, source and text."""
     sized = written(sizes(docs.select(F.col("doc_id").cast("bigint"), "source", "text")), "sizes")
@@ -131,9 +149,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         if (left.agg(F.max("bucket")).first()[0] or 0) == 0:
             break
         level = written(_folded(left.withColumn("bucket", F.floor(F.col("bucket") / FAN)), ["source", "bucket"], seed), "mix")
-    last = written(_folded(left.select("source", "size", "doc_id", "p").unionByName(reserve), ["source"], seed), "mix")
-    rounded = F.struct(F.col("held.size").alias("size"), F.col("held.doc_id").alias("doc_id"), F.when(F.col("held.p") >= 0.5, 1).otherwise(0).alias("copies"))
-    decided.append(last.select("source", F.explode(F.concat("done", F.array(rounded))).alias("d")))
+    last = written(_folded(left.select("source", "size", "doc_id", "p").unionByName(reserve), ["source"], seed).select("source", _settled().alias("done")), "mix")
+    decided.append(last.select("source", F.explode("done").alias("d")))
     extra = decided[0]
     for d in decided[1:]:
         extra = extra.unionAll(d)
