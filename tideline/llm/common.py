@@ -28,9 +28,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def column_free(name: str, df: DataFrame) -> str:
-    """``name``, or a longer one that no column of ``df`` has."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def bounded_sample(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
+    """(doc_id, label) of at most ``per_label`` rows of each label, chosen by a hash of the id.
+
+    A threshold on the hash first brings each label down to about the bound, so that no label's
+    rows are gathered; the exact bound is then applied to what is left.
+    """
+    from pyspark.sql import Window as W
+
+    rows = labelled.select("doc_id", F.col(label).alias("label")).withColumn("u", uniform(F.lit(7), "doc_id"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    near = rows.join(F.broadcast(counts), "label").where(F.col("u") * F.col("n") <= 1.1 * per_label + 50)
+    order = F.row_number().over(W.partitionBy("label").orderBy("u", "doc_id"))
+    return near.withColumn("at", order).where(F.col("at") <= per_label).select("doc_id", "label")
+
