@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, langid, mixing, simhash, token_cache, toxicity, warc
+from tideline.llm import chat, langid, line_templates, mixing, simhash, token_cache, toxicity, warc
 from tideline.llm.common import held_out, table
 from tideline.session import shared_folder, written
 
@@ -67,6 +67,33 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+SPACE = "[\\x20\\x09-\\x0D]+"
+NOT_SPACE = "[^\\x20\\x09-\\x0D]*"
+
+
+@query("op5_line_templates", f"""
+WITH l AS (
+  SELECT doc_id, pos, string_split(text, chr(10))[pos] AS raw FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(pos)),
+m AS (SELECT *, trim(regexp_replace(CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_replace(raw, '{NOT_SPACE}[0-9]{NOT_SPACE}', '<*>', 'g') ELSE raw END, '{SPACE}', ' ', 'g')) AS masked FROM l),
+t AS (SELECT doc_id, pos, masked, string_split(masked, ' ') AS tokens FROM m WHERE masked <> ''),
+v AS (SELECT *, CAST(len(tokens) AS VARCHAR) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM t),
+cand AS (SELECT leaf FROM v GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
+w AS (SELECT leaf, masked, any_value(tokens) AS tokens, count(*) AS n FROM v SEMI JOIN cand USING (leaf) GROUP BY ALL),
+sev AS (SELECT leaf, sum(n) AS total FROM w GROUP BY leaf HAVING count(*) > 1),
+tok AS (SELECT leaf, total, i, tokens[i] AS token, sum(n) AS n FROM w JOIN sev USING (leaf), unnest(generate_series(1, len(tokens))) AS u(i) GROUP BY ALL),
+con AS (SELECT leaf, i, token FROM tok WHERE 2 * n > total),
+agree AS (SELECT x.leaf, x.masked, count(*) AS hits FROM (SELECT leaf, masked, i, tokens[i] AS token FROM w, unnest(generate_series(1, len(tokens))) AS u(i)) x JOIN con USING (leaf, i, token) GROUP BY ALL),
+named AS (SELECT w.leaf, w.masked, CASE WHEN coalesce(hits, 0) >= 0.8 * len(tokens) THEN w.leaf || '*' ELSE w.leaf || '=' || w.masked END AS template FROM w LEFT JOIN agree USING (leaf, masked)),
+often AS (SELECT template, min(doc_id) AS first FROM v JOIN named USING (leaf, masked) GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
+lost AS (SELECT doc_id, pos FROM v JOIN named USING (leaf, masked) JOIN often USING (template) WHERE doc_id <> first),
+kept AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.pos) FILTER (lost.pos IS NULL) AS text, count(*) AS n_lines, count(lost.pos) AS n_dropped FROM l LEFT JOIN lost USING (doc_id, pos) GROUP BY l.doc_id)
+SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped FROM kept""")
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose template recurs in five documents or more."""
+    out = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "n_lines", "n_dropped")
+
+
 MARKS = "<|im_end|><|im_start|>assistant ok"
 
 
