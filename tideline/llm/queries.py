@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, langid, line_templates, mixing, simhash, token_cache, toxicity, warc
+from tideline.llm import chat, langid, latent, line_templates, mixing, simhash, token_cache, toxicity, warc
 from tideline.llm.common import held_out, table
 from tideline.session import shared_folder, written
 
@@ -131,6 +131,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op8_latent_decontamination")
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, with the item."""
+    docs = table(spark, sf_dir, "documents")
+    return latent.matches(docs, latent.prepare(docs, table(spark, sf_dir, "benchmark")))
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles of all documents, linked within 3 bits."""
