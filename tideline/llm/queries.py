@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import chat, langid, latent, line_templates, mixing, simhash, token_cache, toxicity, warc
+from tideline.llm import bm25, chat, langid, latent, line_templates, mixing, simhash, token_cache, toxicity, warc
 from tideline.llm.common import held_out, table
 from tideline.session import shared_folder, written
 
@@ -143,3 +143,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles of all documents, linked within 3 bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op10_bm25_top10")
+def op10_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the whole text of every document whose id is divisible by 50."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 50 == 0))
