@@ -1,15 +1,57 @@
-"""Corpus pipeline: stages that take documents to a mixed training set."""
+"""Corpus pipeline: five stages that take the documents to a mixed training set.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last
+return the columns of the documents; the last adds how often each document is taken.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tideline.llm import langid, latent, line_templates, mixing, simhash
+from tideline.llm.common import table
+from tideline.session import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without letters and those whose language is told with a score below a half."""
+    return langid.reject_unknown(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines whose template recurs in five documents or more, but for the first document; no document goes."""
+    return line_templates.drop_recurring(docs).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group whose five-word shingles are similar to 0.8 or more."""
+    return simhash.one_of_each_group(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return latent.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with ``copies``, how often it does."""
+    return mixing.taken(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources", mix_sources),
+]
+#: The stages learn models and draw at random, which SQL cannot state; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over all documents; each result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return docs

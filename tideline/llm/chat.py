@@ -49,15 +49,18 @@ def _jumps(links: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     ``links`` has node, up (null at a root) and score.
     """
     state = written(links.select("node", "up", F.col("node").alias("last"), F.col("score").cast("double").alias("score")), "tree")
-    steps, n = [], state.count()
-    while open_ := state.where("up IS NOT NULL").limit(1).count():
-        if 1 << len(steps) > 2 * max(n, 1):
+    steps, n, ended = [], state.count(), state.where("up IS NULL")
+    state = state.where("up IS NOT NULL")
+    while state.limit(1).count():
+        if 1 << len(steps) > 2 * n:
             raise ValueError("messages answer each other in a circle")
-        steps.append(state.where("up IS NOT NULL").select("node", "up"))
-        above = state.select(F.col("node").alias("__node"), F.col("up").alias("__up"), F.col("last").alias("__last"), F.col("score").alias("__score"))
-        joined = state.join(above, F.col("up") == F.col("__node"), "left")
-        state = written(joined.select("node", F.col("__up").alias("up"), F.coalesce("__last", "last").alias("last"), (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score")), "tree")
-    return steps, state.select("node", F.col("last").alias("root"), "score")
+        steps.append(state.select("node", "up"))
+        above = state.unionAll(ended).select(F.col("node").alias("__node"), F.col("up").alias("__up"), F.col("last").alias("__last"), F.col("score").alias("__score"))
+        joined = state.join(above, F.col("up") == F.col("__node"))  # only messages that have not reached their root
+        state = written(joined.select("node", F.col("__up").alias("up"), F.col("__last").alias("last"), (F.col("score") + F.col("__score")).alias("score")), "tree")
+        ended = ended.unionAll(state.where("up IS NULL"))
+        state = state.where("up IS NOT NULL")
+    return steps, ended.select("node", F.col("last").alias("root"), "score")
 
 
 def branches(messages: DataFrame, best: int = 1) -> DataFrame:

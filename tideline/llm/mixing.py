@@ -158,3 +158,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     out = parts.join(of, F.col("source").eqNullSafe(F.col("__source")))
     whole = F.when(F.col("size") > 0, F.coalesce(F.floor("rate"), F.lit(0)) + F.col("copies")).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", whole.cast("int").alias("copies"))
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns and ``copies``.
+
+    Rows that repeat an id, source and size all get the most copies drawn among them.
+    """
+    drawn = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    drawn = drawn.select(*[F.col(c).alias(f"__{c}") for c in drawn.columns]).hint("shuffle_hash")
+    size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__doc_id")) & docs["source"].eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    return docs.join(drawn, same).select(*[docs[c] for c in docs.columns if c.lower() != "copies"], F.col("__copies").alias("copies"))

@@ -1,14 +1,20 @@
 """SimHash fingerprints and near-duplicate groups by tiled exact comparison.
 
-A fingerprint bit is set where over half of the shingle hashes have it. Equal fingerprints are
-merged first, so copies cost nothing further. Two different fingerprints within the radius r agree
-in at least one of r + 1 blocks of bits; each fingerprint is put under its value in every block, and
-the fingerprints under one value are compared in tiles: numpy exclusive-or and bit counts over all
-pairs of a tile pair. Tiles hold fingerprints of one population count (split further by a hash where
-there are many), and tile pairs whose population counts differ beyond the radius are never formed.
-A value with few fingerprints is one tile; a value that holds a large share of all rows becomes many
-tile pairs that are spread over tasks. The comparison is exact: no link is lost. Of a tile pair only
-a spanning forest of its links is passed on, which connects the same fingerprints.
+A fingerprint bit is set where over half of the shingle hashes have it. A fingerprint has 64 bits, or
+several words of 64, whose hashes are mixed anew for each word. Equal fingerprints are merged first,
+so copies cost nothing further. Each fingerprint is then put under its value in every block of
+bits, and the fingerprints under one value are compared in tiles: numpy exclusive-or and bit counts
+over all pairs of a tile pair. Tiles hold a band of population counts (split further by a hash where
+there are many), and tile pairs whose population counts differ beyond the radius are never formed. A
+value with few fingerprints is one tile; a value that holds a large share of all rows becomes many tile
+pairs that are spread over tasks. Of a tile pair only a spanning forest of its links is passed on,
+which connects the same fingerprints.
+
+With more blocks than the radius, as for 64 bits within 3, no link is lost: two fingerprints agree
+in one block at least. For shingle similarities such as 0.8 the radius is a sixth of the bits and
+``one_of_each_group`` uses blocks of 12 bits: of two texts whose shingle sets have Jaccard similarity
+J, a bit differs with probability p = arccos(2J / (1 + J)) / pi, so all of 30 blocks differ with
+probability (1 - (1 - p) ** 12) ** 30, 1 % at J = 0.8 and 0.1 % at J = 0.85.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked like
 any other; rows that repeat an id and text share their row's result; a null doc_id is never a
@@ -17,6 +23,7 @@ component_id unless all members' ids are null.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -32,6 +39,8 @@ from tideline.session import written
 BITS = 64
 #: Fingerprints of one block value that are compared as one tile, and the most of a tile elsewhere.
 TILE = 2048
+#: What a hash is multiplied by for each further word of a fingerprint.
+MIX = 0x9E3779B97F4A7C15
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(WORD.encode())
 
@@ -48,51 +57,59 @@ def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
     return np.fromiter((h(s, seed) for s in map(b" ".join, zip(*lists, strict=False))), np.uint64, len(words) - width + 1)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Bits set in over half of the hashes, as a signed 64-bit number."""
-    counts = np.zeros(BITS, np.int64)
-    for start in range(0, len(hashes), 1 << 16):
-        part = hashes[start : start + (1 << 16)]
-        counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(hashes))
-    return int(bits.view(">i8")[0])
+def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
+    """Bits set in over half of the hashes, as signed 64-bit words."""
+    out = []
+    for word in range(words):
+        counts = np.zeros(BITS, np.int64)
+        for start in range(0, len(hashes), 1 << 16):
+            part = hashes[start : start + (1 << 16)]
+            if word:
+                part = (part ^ (part >> np.uint64(29))) * np.uint64((MIX * (2 * word + 1)) % (1 << 64))
+                part ^= part >> np.uint64(32)
+            counts += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(hashes)).view(">i8")[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp bigint) of every row of ``docs``, which needs doc_id (bigint) and text."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
+    """(doc_id, fp) of every row of ``docs``, which needs doc_id (bigint) and text; fp is a bigint, or an array of ``words``."""
+    kind, arrow = ("bigint", pa.int64()) if words == 1 else ("array<bigint>", pa.list_(pa.int64()))
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(shingle_hashes(t.as_py(), width, seed)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = [fingerprint(shingle_hashes(t.as_py(), width, seed), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in fps] if words == 1 else fps, arrow)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, fp {kind}")
 
 
-def _tiled(fps: DataFrame, radius: int) -> DataFrame:
+def _tiled(fps: DataFrame, radius: int, words: int, blocks: int) -> DataFrame:
     """(pair, part, fp): the fingerprints of each tile pair; part tells its two sides, or 0 for one tile alone.
 
-    A pair's name is a hash; should two names meet, their fingerprints are compared with each other too.
+    ``blocks`` is the number of blocks in each word. A pair's name is a hash; should two names meet,
+    their fingerprints are compared with each other too.
     """
-    blocks = radius + 1
+    parts = [F.col("fp")] if words == 1 else [F.element_at("fp", i + 1) for i in range(words)]
     edges = [BITS * i // blocks for i in range(blocks + 1)]
-    values = [F.shiftrightunsigned(F.shiftleft("fp", BITS - b), BITS - b + a) for a, b in zip(edges, edges[1:], strict=False)]
-    rows = fps.select("fp", F.bit_count("fp").cast("int").alias("pop"), F.posexplode(F.array(*values)).alias("block", "value"))
-    counts = rows.groupBy("block", "value", "pop").agg(F.count("*").alias("n"))
-    counts = counts.groupBy("block", "value").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / TILE).cast("int")))).alias("tiles"))
+    values = [F.shiftrightunsigned(F.shiftleft(x, BITS - b), BITS - b + a) for x in parts for a, b in zip(edges, edges[1:], strict=False)]
+    pop = sum((F.bit_count(x) for x in parts[1:]), F.bit_count(parts[0]))
+    rows = fps.select("fp", F.floor(pop / (radius + 1)).cast("int").alias("band"), F.posexplode(F.array(*values)).alias("block", "value"))
+    counts = rows.groupBy("block", "value", "band").agg(F.count("*").alias("n"))
+    cuts = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / TILE).cast("int"))))  # a few bands
+    counts = counts.groupBy("block", "value").agg(F.sum("n").alias("total"), cuts.alias("tiles"))
     rows = rows.join(counts.where("total > 1"), ["block", "value"])
     small = rows.where(F.col("total") <= TILE).select(F.xxhash64("block", "value").alias("pair"), F.lit(0).alias("part"), "fp")
-    own = F.struct(F.col("pop"), F.pmod(F.xxhash64("fp"), F.element_at("tiles", F.col("pop"))).cast("int").alias("cut"))
-    near = F.filter(F.sequence(F.col("pop") - radius, F.col("pop") + radius), lambda p: F.map_contains_key("tiles", p))
-    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), F.element_at("tiles", p) - 1), lambda c: F.struct(p.alias("pop"), c.cast("int").alias("cut")))))
+    own = F.struct(F.col("band"), F.pmod(F.xxhash64("fp"), F.element_at("tiles", F.col("band"))).cast("int").alias("cut"))
+    near = F.filter(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda p: F.map_contains_key("tiles", p))
+    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), F.element_at("tiles", p) - 1), lambda c: F.struct(p.alias("band"), c.cast("int").alias("cut")))))
     large = rows.where(F.col("total") > TILE).select("block", "value", "fp", own.alias("own"), F.explode(others).alias("other"))
-    names = F.concat_ws(" ", *[F.concat_ws(".", f(F.col("own"), F.col("other"))["pop"], f(F.col("own"), F.col("other"))["cut"]) for f in (F.least, F.greatest)])
+    names = [f(F.col("own"), F.col("other")) for f in (F.least, F.greatest)]
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    large = large.select(F.xxhash64("block", "value", names).alias("pair"), side.alias("part"), "fp")
-    return small.unionAll(large)
+    return small.unionAll(large.select(F.xxhash64("block", "value", *names).alias("pair"), side.alias("part"), "fp"))
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> list[tuple[int, int]]:
+def _forest(a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> list[tuple[int, int]]:
     """The links among (a, b) that join two trees of ``parent``, which is updated."""
     kept = []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -109,55 +126,67 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> list[tu
     return kept
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints whose words are along the last axis."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32) if a.shape[-1] > 1 else np.bitwise_count(a[..., 0] ^ b[..., 0])
+
+
 def compare(fps: np.ndarray, part: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a tile (part 0) or between its two sides (1 and 2)."""
+    """Rows of a spanning forest of the links within a tile (part 0) or between its two sides (1 and 2)."""
     parent, kept = np.arange(len(fps)), []
     left = np.flatnonzero(part != 2)
     right = np.flatnonzero(part != 1)
     for start in range(0, len(left), 256):
         rows = left[start : start + 256]
-        a, b = np.nonzero(np.bitwise_count(fps[rows, None] ^ fps[None, right]) <= radius)
+        a, b = np.nonzero(_distance(fps[rows, None], fps[None, right]) <= radius)
         a, b = rows[a], right[b]
-        kept += _forest(len(fps), a[a < b], b[a < b], parent) if not part.any() else _forest(len(fps), a, b, parent)
-    return [(int(fps[i]), int(fps[j])) for i, j in kept]
+        once = a < b if not part.any() else a != b
+        kept += _forest(a[once], b[once], parent)
+    return kept
 
 
 def _shifted(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """All links within runs of equal keys, by comparing each row with the next, the one after, and so on."""
-    a, b, at, d = [], [], np.arange(len(keys)), 1
+    a, b, at, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(keys)), 1
     while len(at := at[at + d < len(keys)]) and len(at := at[keys[at] == keys[at + d]]):
-        hit = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= radius]
-        a.append(fps[hit])
-        b.append(fps[hit + d])
+        hit = at[_distance(fps[at], fps[at + d]) <= radius]
+        a.append(hit)
+        b.append(hit + d)
         d += 1
-    empty = np.empty(0, np.uint64)
-    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+    return np.concatenate(a), np.concatenate(b)
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links that connect all pairs of distinct ``fp`` within ``radius`` bits of each other."""
-    tiled = _tiled(fps, radius)
+def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None = None) -> DataFrame:
+    """(a, b): links that connect the pairs of distinct ``fp`` within ``radius`` bits of each other.
+
+    ``blocks`` per word is ``radius + 1`` unless given; with fewer blocks in all than that, pairs
+    that differ in every block are not found.
+    """
+    tiled = _tiled(fps, radius, words, blocks or radius + 1)
     dealt = tiled.repartition(tasks(fps.sparkSession), "pair").sortWithinPartitions("pair")
+    kind, arrow = ("bigint", pa.int64()) if words == 1 else ("array<bigint>", pa.list_(pa.int64()))
+
+    def rows_of(f):
+        return pa.array(f[:, 0].view(np.int64)) if words == 1 else pa.FixedSizeListArray.from_arrays(np.ascontiguousarray(f).view(np.int64).ravel(), words).cast(arrow)
 
     def solve(keys, part, f):
         """Runs of at most 32 rows at once, longer ones by their matrix."""
         cuts = np.flatnonzero(np.diff(keys)) + 1
         sizes = np.diff([0, *cuts, len(keys)])
-        long = np.repeat(sizes > 32, sizes)
-        plain = ~long & (part == 0)
-        out = [_shifted(keys[plain], f[plain], radius)]
+        plain = (np.repeat(sizes, sizes) <= 32) & (np.repeat(np.maximum.reduceat(part, np.r_[0, cuts]), sizes) == 0)
+        own = np.flatnonzero(plain)
+        out = [[own[x] for x in _shifted(keys[own], f[own], radius)]]
         for start, n in zip(np.r_[0, cuts], sizes, strict=True):
-            run = slice(start, start + n)
-            if not plain[start] or not plain[run].all():
-                if found := compare(f[run], part[run], radius):
-                    out.append(tuple(np.array(x, np.uint64) for x in zip(*found, strict=True)))
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if not plain[start] and (found := compare(f[start : start + n], part[start : start + n], radius)):
+                out.append([start + np.array(x, np.int64) for x in zip(*found, strict=True)])
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([rows_of(f[a]), rows_of(f[b])], names=["a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+            fp = batch.column(2) if words == 1 else batch.column(2).flatten()
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp.to_numpy().view(np.uint64).reshape(-1, words)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last pair may go on
             if last:
@@ -166,26 +195,31 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
         if held and len(held[0]):
             yield solve(*held)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, words: int = 1, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that links reach."""
-    prints = written(fingerprints(docs, width, seed), "fingerprints")
+    prints = written(fingerprints(docs, width, seed, words), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = written(components(links(classes.select("fp"), radius)), "roots")
+    roots = written(components(links(classes.select("fp"), radius, words, blocks)), "roots")
     grouped = roots.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     joined = roots.join(grouped, "root").select("node", "component_id")
     named = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, seed: int = 42, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest; all columns stay.
+def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 6, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each near-duplicate group does; all columns stay.
 
-    Rows that repeat this id stay as well unless their text is another one's copy; a row without
-    an id stays only if its whole component has none.
+    Links are fingerprints of ``words`` times 64 bits whose share of differing bits is that of shingle sets
+    of Jaccard ``similarity``, and two standard deviations of its estimate more, so that pairs at the threshold
+    are found. The document with the smallest id of a group stays, with all rows that repeat its id;
+    rows without an id stay only if no member of their group has one.
     """
-    groups = near_duplicates(docs, width, seed, radius)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = BITS * words
+    radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    groups = near_duplicates(docs, width, seed, radius, words, 5)
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__doc_id")), "left_semi")
+    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc_id")), "left_semi")
