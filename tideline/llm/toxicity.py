@@ -34,7 +34,7 @@ from tideline.llm.langid import LETTERS, words_of
 STEMS = (4, 5, 6, 7, 8)
 WINDOW = 6
 #: States of the automaton and words that a worker keeps.
-STATES, KEPT = 30_000, 300_000
+STATES, KEPT = 5_000, 100_000
 QUOTES = re.compile("[\"'«»“”„‟‘’‹›]")
 # Words of reporting and of address in four languages.
 REPORTING = frozenset("said says say called calls quoted quote wrote word term sagte sagt nannte schrieb zitat wort dit appelle cite mot terme dijo dice palabra cita".split())
@@ -183,16 +183,21 @@ def _labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
 def _term_counts(sample: DataFrame) -> DataFrame:
     """(stem, term, toxic, clean): in how many texts of each label a word or stem is."""
 
+    def rows(counts):
+        terms = list(counts[0].keys() | counts[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array([t[0] for t in terms], pa.bool_()), pa.array([t[1] for t in terms], pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], names=["stem", "term", "toxic", "clean"])
+
     def run(batches):
+        counts = {0: Counter(), 1: Counter()}
         for b in batches:
-            counts = {0: Counter(), 1: Counter()}
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words = set(words_of(text.as_py()))
                 counts[label].update((False, w) for w in words)
                 counts[label].update({(True, w[:n]) for w in words for n in STEMS if len(w) > n})
-            terms = list(counts[0].keys() | counts[1].keys())
-            if terms:
-                yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in terms]), pa.array([t[1] for t in terms]), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], names=["stem", "term", "toxic", "clean"])
+                if sum(map(len, counts.values())) > KEPT:
+                    yield rows(counts)
+                    counts = {0: Counter(), 1: Counter()}
+        yield rows(counts)
 
     return sample.mapInArrow(run, "stem boolean, term string, toxic bigint, clean bigint").groupBy("stem", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
