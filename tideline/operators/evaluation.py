@@ -46,17 +46,19 @@ def loss_weights(history: DataFrame, step: str = "step", keys: Sequence[str] = (
 
     Score = mean + 0.1 |last - first| + 0.05 std; lower is better. Scores are inverted,
     normalised, blended 0.3 to 0.7 with equal weights, limited and normalised again.
-    ``history`` is (keys, loss_name, step, value).
+    ``history`` is (keys, loss_name, step, value). As long as any loss of a series has fewer than
+    ``window`` values, its weights stay equal.
     """
     keys = list(keys)
     last = Window.partitionBy(*keys, "loss_name").orderBy(F.desc(step))
     recent = history.withColumn("__k", F.row_number().over(last)).where(f"__k <= {window}")
     s = recent.groupBy(*keys, "loss_name").agg(
-        (F.avg("value") + 0.1 * F.abs(F.max_by("value", step) - F.min_by("value", step)) + 0.05 * F.stddev_pop("value")).alias("score")
+        (F.avg("value") + 0.1 * F.abs(F.max_by("value", step) - F.min_by("value", step)) + 0.05 * F.stddev_pop("value")).alias("score"),
+        F.count("value").alias("__n"),
     )
     w = Window.partitionBy(*keys)  # one row per loss name
     inverted = F.max("score").over(w) - F.col("score") + F.min("score").over(w)
-    s = s.withColumns({"__inv": inverted, "__m": F.count("*").over(w), "__flat": F.max("score").over(w) <= F.min("score").over(w)})
+    s = s.withColumns({"__inv": inverted, "__m": F.count("*").over(w), "__flat": (F.max("score").over(w) <= F.min("score").over(w)) | (F.min("__n").over(w) < window)})
     share = ratio(F.col("__inv"), F.sum("__inv").over(w))
     limited = F.least(F.greatest(0.7 / F.col("__m") + 0.3 * share, F.lit(least)), F.lit(most))
     s = s.withColumn("__lim", limited)

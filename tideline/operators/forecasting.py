@@ -166,12 +166,16 @@ def dirichlet_draws(spark, n_models: int, draws: int = 1000, seed: int = 42) ->
     return d.select(*[(F.col(f"e{i}") / total).alias(f"w{i}") for i in range(n_models)])
 
 
-def ensemble_grid(forecasts: DataFrame, models: Sequence[str], by: Sequence[str] = KEYS, step: float = 0.1) -> DataFrame:
-    """Best weights on the grid (Dirichlet draws beyond three models), MSE(w) = w'Aw from the moments."""
+def ensemble_grid(forecasts: DataFrame, models: Sequence[str], by: Sequence[str] = KEYS, step: float = 0.1, draws: int | None = None) -> DataFrame:
+    """Best weights on the grid, MSE(w) = w'Aw from the moments.
+
+    The grid has C(1/step + n - 1, n - 1) weight rows. For many models ask for ``draws`` random
+    weights from the simplex instead; nothing switches by itself.
+    """
     spark = forecasts.sparkSession
     n = len(models)
-    grid = simplex_grid(spark, n, step) if n <= 3 else dirichlet_draws(spark, n)
-    d = moment_matrix(forecasts, models, by).crossJoin(F.broadcast(grid))  # at most 1000 weight rows
+    grid = simplex_grid(spark, n, step) if draws is None else dirichlet_draws(spark, n, draws)
+    d = moment_matrix(forecasts, models, by).crossJoin(F.broadcast(grid))  # weight rows: a number of models and steps, not of data
     mse = sum(
         F.col(f"w{i}") * F.col(f"w{j}") * F.col(f"m_{i}_{j}") * (1 if i == j else 2) for i in range(n) for j in range(i, n)
     )
@@ -182,8 +186,8 @@ def ensemble_grid(forecasts: DataFrame, models: Sequence[str], by: Sequence[str]
 
 def performance_ema(errors: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts",), keep: float = 0.9) -> DataFrame:
     """Running performance: p <- (1 - keep) / (1 + mse) + keep * p, starting from the first value."""
-    span = 2 / (1 - keep) - 1
-    return add_ema(errors, {"performance": (1 / (1 + F.col("mse")), round(span))}, keys, order, adjust=False)
+    span = 2 / (1 - keep) - 1  # need not be whole
+    return add_ema(errors, {"performance": (1 / (1 + F.col("mse")), span)}, keys, order, adjust=False)
 
 
 def prediction_interval(samples: DataFrame, by: Sequence[str], z: float = 1.96) -> DataFrame:

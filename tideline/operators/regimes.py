@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,62 +162,84 @@ def lower_median(a: Column) -> Column:
     return F.element_at(s, F.floor((F.size(a) + 1) / 2).cast("int"))
 
 
-def window_prompt(df: DataFrame, column: str, description: str, pred_len: int, k: int = 5) -> DataFrame:
-    """Text row of a window: range, median, trend and strongest lags in a fixed frame."""
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """``template`` with every ``{name}`` replaced by its column as text."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(x) if i % 2 == 0 else values[x].cast("string") for i, x in enumerate(parts)])
+
+
+WINDOW_TEMPLATE = (
+    "{about} The last {steps} values run from {low} to {high}, half of them at or below {median}; they end {trend} where they began "
+    "and resemble themselves most after {lags} steps. Continue the series for {horizon} steps."
+)
+
+
+def window_prompt(df: DataFrame, column: str, about: str, horizon: int, k: int = 5, template: str = WINDOW_TEMPLATE) -> DataFrame:
+    """Text row of a window: its statistics filled into ``template``.
+
+    Placeholders: about, steps, horizon, low, high, median, trend (above or below), lags.
+    Values are cut to two decimals.
+    """
     a = F.col(column)
-    d = autocorr_top_lags(df, column, k)
-    trend = F.when(F.element_at(a, -1) - F.element_at(a, 1) > 0, "upward").otherwise("downward")
-    lags = F.concat(F.lit("["), F.array_join(F.transform("top_lags", lambda x: x.getField("lag").cast("string")), ", "), F.lit("]"))
-    text = F.concat(
-        F.lit(f"<|start_prompt|>Dataset description: {description}Task description: forecast the next {pred_len} steps given the previous "),
-        F.size(a).cast("string"), F.lit(" steps information; Input statistics: min value "), F.array_min(a).cast("string"),
-        F.lit(", max value "), F.array_max(a).cast("string"), F.lit(", median value "), lower_median(a).cast("string"),
-        F.lit(", the trend of input is "), trend, F.lit(f", top {k} lags are : "), lags, F.lit("<|<end_prompt>|>"),
-    )
-    return d.withColumns({"trend": trend, "median": lower_median(a), "prompt": text})
-
-
-# Default phrases per label; pass other tables to ``context_prompt`` to use your own.
-REGIME_TEXT = {
-    f"{t}_{v}": f"{a} market with {b} volatility"
-    for t, a in (("bull", "rising"), ("bear", "falling"), ("sideways", "range-bound"))
-    for v, b in (("low_vol", "low"), ("med_vol", "moderate"), ("high_vol", "high"))
-}
-STYLE_TEXT = {
-    "scalping": "very short moves within the session", "day_trading": "moves closed within the day",
-    "swing_trading": "moves over several sessions", "position_trading": "long trends and cycles",
-}
-
-
-def phrase_table(spark: SparkSession, phrases: dict[str, str]) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).alias("phrase")) for k, v in phrases.items()])
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.label", "r.phrase")
-
-
-def context_prompt(df: DataFrame, horizon: int, style: str = "swing_trading", regimes: dict[str, str] | None = None, styles: dict[str, str] | None = None) -> DataFrame:
-    """Prompt per row from ``regime, volatility_level, context``: looked-up phrases and conditional sentences."""
-    phrases = phrase_table(df.sparkSession, regimes or REGIME_TEXT).select(F.col("label").alias("regime"), F.col("phrase").alias("__regime"))
-    d = df.join(F.broadcast(phrases), "regime", "left")  # one row per label
-    c = F.col("context")
-    mood = F.when(F.col("regime").contains("bull"), "rising confidence").when(F.col("regime").contains("bear"), "falling confidence").otherwise("indecision")
-    reach = "momentum" if horizon <= 6 else "regime and pattern balance" if horizon <= 24 else "regime changes and outside forces"
-    risk = F.concat_ws(
-        "; ",
-        F.when(F.col("volatility_level") == "high", "wide confidence intervals").when(F.col("volatility_level") == "low", "narrow intervals, watch for breakouts"),
-        F.when(F.col("regime").contains("high_vol"), "sudden reversals"), F.lit(f"focus on {reach}"),
-    )
-    text = F.concat_ws(
-        " ",
-        F.concat(F.lit("Regime: "), F.coalesce("__regime", F.lit("unknown")), F.lit(".")),
-        F.lit(f"Style: {(styles or STYLE_TEXT).get(style, 'balanced')}."),
-        F.concat(F.lit("Sentiment: "), sentiment_label(c["sentiment_score"]), F.lit(", "), fear_greed_label(c["fear_greed_index"]), F.lit(".")),
-        F.concat(F.lit("Environment: macro "), c["macro_environment"], F.lit(", network "), c["onchain_strength"], F.lit(".")),
-        F.concat(F.lit("Psychology: "), mood, F.lit(".")),
-        F.concat(F.lit("Time: "), F.translate(c["time_of_day"], "_", " "), F.lit(", "), c["day_of_week"], F.lit(".")),
-        F.concat(F.lit("Risk: "), risk, F.lit(".")),
-        F.lit(f"Objective: {horizon}-step forecast."),
-    )
-    return d.withColumn("prompt", text).drop("__regime")
+    rising = F.element_at(a, -1) - F.element_at(a, 1) > 0
+    money = lambda x: (F.floor(x * 100) / 100).cast("decimal(18,2)")
+    text = filled(template, {
+        "about": F.lit(about), "horizon": F.lit(horizon), "steps": F.size(a), "low": money(F.array_min(a)), "high": money(F.array_max(a)),
+        "median": money(lower_median(a)), "trend": F.when(rising, "above").otherwise("below"),
+        "lags": F.array_join(F.transform("top_lags", lambda x: x.getField("lag").cast("string")), ", "),
+    })
+    d = autocorr_top_lags(df, column, k, digits=2)  # sums of products of prices are exact to about that
+    return d.withColumns({"trend": F.when(rising, "upward").otherwise("downward"), "median": lower_median(a), "prompt": text})
+
+
+# Default phrases per kind of label; pass other tables to ``context_prompt`` to use your own.
+PHRASES = {
+    "regime": {
+        "bull_low_vol": "climbs calmly", "bull_med_vol": "climbs", "bull_high_vol": "climbs in leaps", "bear_low_vol": "slides calmly", "bear_med_vol": "slides",
+        "bear_high_vol": "drops in leaps", "sideways_low_vol": "stands still", "sideways_med_vol": "moves within a band", "sideways_high_vol": "swings without aim",
+        "unknown": "has too short a past to tell",
+    },
+    "volatility_level": {"low": "returns vary little", "medium": "returns vary as usual", "high": "returns vary a lot"},
+    "style": {
+        "scalping": "positions of minutes", "day_trading": "positions closed by the evening", "swing_trading": "positions of days", "position_trading": "positions of months",
+        "volatility_trading": "bets on the size of moves", "momentum_trading": "bets on moves that go on", "mean_reversion": "bets on moves that turn back",
+        "breakout_trading": "bets on leaving a band",
+    },
+    "source": {
+        "sentiment_driven": "opinions", "macro_influenced": "rates and stock prices", "onchain_focused": "network figures", "multi_source": "all sources at once",
+        "correlation_aware": "other assets", "event_driven": "announced events",
+    },
+    "macro_environment": {"bullish": "rates help", "bearish": "rates weigh", "neutral": "rates do neither"},
+    "onchain_strength": {"strong": "the network grows", "weak": "the network shrinks", "moderate": "the network is steady"},
+    "time_of_day": {"asian_session": "night", "european_session": "morning", "us_session": "afternoon"},
+    "day_of_week": {"monday": "start of the week", "friday": "end of the week", "weekend": "weekend", "weekday": "middle of the week"},
+}
+REACH = ((6, "the latest moves"), (24, "pattern and regime alike"), (None, "changes of regime"))
+CONTEXT_TEMPLATE = (
+    "Wanted: the next {horizon} steps, for {style}, seen through {source}; look at {reach}. The series {regime} and {volatility_level}. "
+    "Around it {macro_environment}, {onchain_strength}, opinion is {sentiment} and the mood {fear_greed}. Clock: {time_of_day}, {day_of_week}."
+)
+
+
+def reach(horizon: int) -> str:
+    return next(text for most, text in REACH if most is None or horizon <= most)
+
+
+def looked_up(phrases: dict[str, str], label: Column) -> Column:
+    """The phrase of a label, or the label itself without underscores."""
+    table = F.create_map(*[F.lit(x) for pair in phrases.items() for x in pair])
+    return F.coalesce(F.element_at(table, label), F.translate(label, "_", " "), F.lit("unknown"))
+
+
+def context_prompt(df: DataFrame, horizon: int, style: str = "swing_trading", source: str = "multi_source", phrases: dict[str, dict[str, str]] | None = None,
+                   template: str = CONTEXT_TEMPLATE) -> DataFrame:
+    """Prompt per row from ``regime, volatility_level, context``: phrases looked up by label, filled into ``template``."""
+    tables, c = PHRASES | (phrases or {}), F.col("context")
+    labels = {"regime": F.col("regime"), "volatility_level": F.col("volatility_level"), "style": F.lit(style), "source": F.lit(source)}
+    labels |= {k: c[k] for k in ("macro_environment", "onchain_strength", "time_of_day", "day_of_week")}
+    values = {k: looked_up(tables[k], x) for k, x in labels.items()}
+    values |= {"horizon": F.lit(horizon), "reach": F.lit(reach(horizon)), "sentiment": sentiment_label(c["sentiment_score"]), "fear_greed": fear_greed_label(c["fear_greed_index"])}
+    return df.withColumn("prompt", filled(template, values))
 
 
 def prompt_performance(scores: DataFrame, key: str, metric: str, k: int = 5) -> DataFrame:

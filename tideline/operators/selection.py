@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,13 +115,16 @@ def binned_mutual_info(df: DataFrame, columns: Sequence[str], target: str) -> Da
 
 
 def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Bin numbers by approximate quantiles; one pass finds the few cut points of all columns."""
-    columns = list(columns)
-    cuts = df.approxQuantile(columns, [i / bins for i in range(1, bins)], 0.1 / bins)
-    splits = [[-INF, *(sorted(set(c)) or [0.0]), INF] for c in cuts]
-    names = [f"__bin{i}" for i in range(len(columns))]
-    binned = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=names, handleInvalid="keep").transform(df)
-    return binned.withColumns({c: F.col(n).cast("int") for c, n in zip(columns, names)}).drop(*names)
+    """Bin numbers by exact quantiles: how many of the different cut points a value reaches; NULL stays NULL."""
+    from tideline.operators.ordered import exact_quantiles
+
+    long = df.unpivot([], list(columns), "__column", "__value")
+    cuts = exact_quantiles(long, ["__column"], "__value", [i / bins for i in range(1, bins)])
+    cuts = cuts.groupBy("__column").agg(F.array_sort(F.collect_set("quantile")).alias("__cuts"))  # bins - 1 numbers a column
+    wide = cuts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("__column", "__cuts"))).alias("__all"))
+    d = df.crossJoin(F.broadcast(wide))  # one row
+    reached = lambda c: F.size(F.filter(F.element_at("__all", F.lit(c)), lambda q: q <= F.col(c)))
+    return d.withColumns({c: F.when(F.col(c).isNotNull(), reached(c)) for c in columns}).drop("__all")
 
 
 def combined_score(scores: DataFrame, mi: DataFrame) -> DataFrame:

@@ -210,10 +210,14 @@ def purged_folds(lengths: DataFrame, train: int, val: int, test: int, step: int,
     return _folds(lengths, splits, roles, start + test + embargo <= F.col("n"), keys)
 
 
-def walk_forward_windows(lengths: DataFrame, train: int, val: int, step: int, most: int = 50, keys: Sequence[str] = KEYS) -> DataFrame:
-    start = F.col("fold") * step
-    roles = {"train": (start, start + train), "val": (start + train, start + train + val)}
-    return _folds(lengths, most, roles, start + train + val <= F.col("n"), keys)
+def walk_forward_windows(lengths: DataFrame, train: int, val: int, step: int, most: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Every window that fits, ``step`` rows apart; ``most`` limits them where that is wanted."""
+    last = F.floor((F.col("n") - train - val) / step)
+    last = last if most is None else F.least(last, F.lit(most - 1))
+    d = lengths.where(F.col("n") >= train + val).withColumn("fold", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    start = (F.col("fold") * step).cast("bigint")
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), (start + a).alias("lo"), (start + z).alias("hi")) for r, a, z in (("train", 0, train), ("val", train, train + val))])
+    return d.select(*keys, "fold", F.explode(roles).alias("f")).select(*keys, "fold", "f.*").where("hi > lo")
 
 
 def leakage_check(folds: DataFrame, gap: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -80,10 +80,10 @@ HIST = FORECASTS + f", hist AS (SELECT series_key, model AS loss_name, t AS step
 
 
 @query("loss_weights", f"""WITH {HIST}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_key, loss_name ORDER BY step DESC) AS k FROM hist) WHERE k <= 10),
-s AS (SELECT series_key, loss_name, avg(value) + 0.1 * abs(arg_max(value, step) - arg_min(value, step)) + 0.05 * stddev_pop(value) AS score FROM r GROUP BY 1, 2),
+s AS (SELECT series_key, loss_name, avg(value) + 0.1 * abs(arg_max(value, step) - arg_min(value, step)) + 0.05 * stddev_pop(value) AS score, count(value) AS k FROM r GROUP BY 1, 2),
 i AS (SELECT *, max(score) OVER p - score + min(score) OVER p AS inv, count(*) OVER p AS m FROM s WINDOW p AS (PARTITION BY series_key)),
 l AS (SELECT *, least(greatest(0.7 / m + 0.3 * inv / sum(inv) OVER p, 0.05), 0.8) AS lim FROM i WINDOW p AS (PARTITION BY series_key))
-SELECT series_key, loss_name, score, lim / sum(lim) OVER (PARTITION BY series_key) AS weight FROM l""", "score weight")
+SELECT series_key, loss_name, score, CASE WHEN min(k) OVER (PARTITION BY series_key) < 10 THEN 1.0 / m ELSE lim / sum(lim) OVER (PARTITION BY series_key) END AS weight FROM l""", "score weight")
 def loss_weights(spark, d):
     return ev.loss_weights(history(spark, d))
 

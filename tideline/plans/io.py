@@ -127,15 +127,14 @@ def parse_metric_log(spark, d):
     return rd.parse_metric_log(log_lines(spark, d))
 
 
-@query("scan_templates", "SELECT source AS name, min(doc_id) AS doc_id FROM documents GROUP BY 1".replace("min(doc_id) AS doc_id", "length(trim(arg_min(text, doc_id), ' ')) AS n_chars"))
+@query("scan_templates", "SELECT doc_id::VARCHAR AS name, length(trim(text, ' ')) AS n_chars FROM documents")
 def scan_templates(spark, d):
-    """A prompt bank of one text file per document source."""
+    """A prompt bank with a text for every document."""
     path = fresh(spark, "prompt-bank")
-    first = table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-    docs = table(spark, d, "documents").join(first, ["source", "doc_id"]).select(F.col("source").alias("name"), F.col("text").alias("value"))
-    docs.write.partitionBy("name").option("lineSep", "\u0001").text(path)
-    t = rd.scan_templates(spark, f"{path}/name=*", name_pattern=r"name=([^/]+)/")
-    return t.select("name", F.length(F.regexp_replace("template", "\u0001", "")).cast("bigint").alias("n_chars"))
+    docs = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("\u0001"), "text").alias("value"))
+    docs.write.option("lineSep", "\u0002").text(path)
+    t = rd.scan_template_bank(spark, path)
+    return t.select("name", F.length("template").cast("bigint").alias("n_chars"))
 
 
 @query("sink_report_json", f"WITH {M} SELECT series_key, check_name, score, severity FROM ({CHECKS_SQL})", "score")

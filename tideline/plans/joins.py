@@ -37,11 +37,14 @@ def resample_daily(spark, d):
 # --- as-of ------------------------------------------------------------------------------
 
 def _weekly(spark, d):
-    """Every seventh order day: a slow source without series."""
-    return order_days(spark, d).where(F.unix_timestamp("ts") / 86400 % 7 == 0)
+    """Orders by week, known at its end: a slow source without series."""
+    end = F.timestamp_seconds((F.floor(F.unix_timestamp("ts") / 604800) + 1) * 604800)
+    days = order_days(spark, d).withColumn("week", end)
+    return days.groupBy(F.col("week").alias("ts")).agg(F.avg("avg_price").alias("avg_price"), F.sum("n_orders").alias("n_orders"), F.sum("filled").alias("filled"))
 
 
-_WEEKLY = "weekly AS (SELECT * FROM order_days WHERE (epoch(ts) / 86400)::BIGINT % 7 = 0)"
+_WEEKLY = """weekly AS (SELECT make_timestamp((epoch(ts)::BIGINT // 604800 + 1) * 604800 * 1000000) AS ts, avg(avg_price) AS avg_price, sum(n_orders)::BIGINT AS n_orders,
+  sum(filled) AS filled FROM order_days GROUP BY 1)"""
 
 
 @query("asof_join", f"""WITH {BARS_D}, {ORDER_DAYS}, {_WEEKLY}
@@ -53,14 +56,14 @@ def asof_join(spark, d):
 
 
 @query("asof_join_keyed", f"""WITH {EVENT_TICKS},
-r AS (SELECT series_key, ts, seq, price AS mark FROM event_ticks WHERE seq % 7 = 0)
+r AS (SELECT series_key, ts + INTERVAL 90 SECOND AS ts, seq, price AS mark FROM event_ticks)
 SELECT l.series_key, l.seq, l.price, r.mark FROM event_ticks l ASOF LEFT JOIN r ON l.series_key = r.series_key AND l.ts >= r.ts""",
        "price mark")
 def asof_join_keyed(spark, d):
-    """Ticks of hot series against sparser marks of the same series, in hourly slices."""
+    """Ticks of hot series against all ticks of the same series as marks that come 90 seconds late, in hourly slices."""
     t = event_ticks(spark, d)
     left = t.select("series_key", "ts", F.col("seq").alias("id"), "price")
-    right = t.where("seq % 7 = 0").select("series_key", "ts", "seq", F.col("price").alias("mark"))
+    right = t.select("series_key", (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ts"), "seq", F.col("price").alias("mark"))
     return jn.asof_join(left, right, bucket=time_bucket(HOUR)).select("series_key", F.col("id").alias("seq"), "price", "mark")
 
 
@@ -286,10 +289,11 @@ def f_score(spark, d):
     return sel.f_score(_feature_rows(spark, d), _FEATURES, "close")
 
 
-_BINS = {"volume": 10, "high": 2000, "open": 2000}
+_WIDTHS = {"volume": 10.0, "returns": 0.01, "n_orders": 2.0, "filled": 20000.0}
+_BINS = {c: _WIDTHS.get(c, 2000.0) for c in _FEATURES}
 _MI = " UNION ALL ".join(f"""SELECT '{c}' AS feature, greatest(sum(n / t * ln(n * t / (nx * ny))), 0.0) AS mi FROM (
   SELECT n::DOUBLE AS n, sum(n) OVER () ::DOUBLE AS t, sum(n) OVER (PARTITION BY x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY y)::DOUBLE AS ny FROM (
-    SELECT floor({c} / {b}) AS x, floor(close / 2000) AS y, count(*) AS n FROM rows GROUP BY 1, 2))""" for c, b in _BINS.items())
+    SELECT floor({c} / {b}) AS x, floor(close / 2000) AS y, count(*) AS n FROM rows WHERE {c} IS NOT NULL AND close IS NOT NULL GROUP BY 1, 2))""" for c, b in _BINS.items())
 
 
 @query("mutual_info", f"WITH {_ROWS} {_MI}", "mi")
@@ -300,21 +304,32 @@ def mutual_info(spark, d):
     return sel.binned_mutual_info(binned, list(_BINS), "close")
 
 
-@query("mutual_info_quantile_bins")
+def _quantile_bins_sql(columns: list[str], source: str, bins: int = 10) -> str:
+    cut = lambda c: "list_sort(list_distinct([" + ", ".join(f"quantile_cont({c}::DOUBLE, {i / bins})" for i in range(1, bins)) + "]))"
+    return (f"qc AS (SELECT {', '.join(f'{cut(c)} AS q_{c}' for c in columns)} FROM {source}), "
+            f"qb AS (SELECT {', '.join(f'CASE WHEN {c} IS NOT NULL THEN len(list_filter(q_{c}, lambda q: q <= {c}::DOUBLE)) END AS {c}' for c in columns)} FROM {source}, qc)")
+
+
+def _mi_sql(columns: list[str], source: str) -> str:
+    return " UNION ALL ".join(f"""SELECT '{c}' AS feature, greatest(sum(n / t * ln(n * t / (nx * ny))), 0.0) AS mi FROM (
+  SELECT n::DOUBLE AS n, sum(n) OVER () ::DOUBLE AS t, sum(n) OVER (PARTITION BY x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY y)::DOUBLE AS ny FROM (
+    SELECT {c} AS x, close AS y, count(*) AS n FROM {source} WHERE {c} IS NOT NULL AND close IS NOT NULL GROUP BY 1, 2))""" for c in columns)
+
+
+@query("mutual_info_quantile_bins", f"WITH {_ROWS}, {_quantile_bins_sql([*_FEATURES, 'close'], 'rows')} {_mi_sql(_FEATURES, 'qb')}", "mi", digits=5)
 def mutual_info_quantile_bins(spark, d):
-    cols = ["open", "high", "volume", "close"]
-    return sel.binned_mutual_info(sel.quantile_bins(bars_d(spark, d).select(*cols), cols), cols[:3], "close")
+    r = _feature_rows(spark, d).select(*_FEATURES, "close")
+    return sel.binned_mutual_info(sel.quantile_bins(r, [*_FEATURES, "close"]), _FEATURES, "close")
 
 
 @query("combined_score", f"""WITH {_ROWS}, f AS ({" UNION ALL ".join(
     f"SELECT '{c}' AS feature, abs(corr({c}, close)) AS abs_r, pow(corr({c}, close), 2) / (1 - pow(corr({c}, close), 2)) * (count({c}) - 2) AS f FROM rows" for c in _BINS)}),
-m AS ({_MI}) SELECT feature, abs_r, mi, f, (abs_r + mi + f / (SELECT max(f) FROM f)) / 3 AS score FROM f JOIN m USING (feature) ORDER BY score DESC, feature LIMIT 2""",
+m AS ({_MI}) SELECT feature, abs_r, mi, f, (abs_r + mi + f / (SELECT max(f) FROM f)) / 3 AS score FROM f JOIN m USING (feature)""",
        "abs_r mi f score")
 def combined_score(spark, d):
     r = _feature_rows(spark, d)
     binned = r.select(F.floor(F.col("close") / 2000).alias("close"), *[F.floor(F.col(c) / b).alias(c) for c, b in _BINS.items()])
-    s = sel.combined_score(sel.f_score(r, list(_BINS), "close"), sel.binned_mutual_info(binned, list(_BINS), "close"))
-    return s.orderBy(F.desc("score"), "feature").limit(2)
+    return sel.combined_score(sel.f_score(r, list(_BINS), "close"), sel.binned_mutual_info(binned, list(_BINS), "close"))
 
 
 @query("drop_collinear")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tideline.functions.rolling import series_window
@@ -121,7 +123,26 @@ def market_context(spark, d):
     return epoch(context_rows(spark, d)).select("series_key", "ts", "context.*")
 
 
-@query("context_prompt")
+def _said(kind: str, label: str) -> str:
+    return f"CASE {label} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rg.PHRASES[kind].items()) + f" ELSE coalesce(replace({label}, '_', ' '), 'unknown') END"
+
+
+def _template(template: str, values: dict[str, str]) -> str:
+    """SQL text of a filled template."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"'{x}'" if i % 2 == 0 else f"({values[x]})" for i, x in enumerate(parts))
+
+
+_CONTEXT = {"horizon": "'24'", "reach": f"'{rg.reach(24)}'", "style": _said("style", "'swing_trading'"), "source": _said("source", "'multi_source'"),
+            "sentiment": _SEN, "fear_greed": _FG, "time_of_day": _said("time_of_day", _SES), "day_of_week": _said("day_of_week", _DAY)}
+_CONTEXT |= {k: _said(k, v) for k, v in (("regime", "regime"), ("volatility_level", "volatility_level"), ("macro_environment", _MAC), ("onchain_strength", _ONC))}
+
+
+@query("context_prompt", f"""WITH {_RG}, {_ENV.removeprefix('WITH ')}, vr AS (SELECT series_key, close / lag(close) OVER ({W}) - 1 AS vx FROM pr),
+vl AS (SELECT series_key, CASE WHEN count(*) < 10 THEN 'medium' WHEN stddev_pop(vx) < 0.015 THEN 'low' WHEN stddev_pop(vx) > 0.04 THEN 'high' ELSE 'medium' END AS volatility_level FROM vr GROUP BY 1),
+x AS (SELECT series_key, ts, regime, volatility_level, coalesce(rate / 10, 0.5) AS s, coalesce(trunc(rate * 10)::INT, 50) AS f, coalesce(rate, 5.0) AS rate, coalesce(risk, 0.0) AS risk,
+  coalesce(momentum, 0) AS momentum, coalesce(flow, 0) AS flow FROM rg LEFT JOIN env USING (ts) JOIN vl USING (series_key))
+SELECT series_key, {TS}, regime, {_template(rg.CONTEXT_TEMPLATE, _CONTEXT)} AS prompt FROM x""")
 def context_prompt(spark, d):
     c = rg.regime_rolling(context_rows(spark, d)).join(rg.volatility_level(prices(spark, d)), "series_key")
     return epoch(rg.context_prompt(c, 24)).select("series_key", "ts", "regime", "prompt")
@@ -136,11 +157,22 @@ def autocorr_top_lags(spark, d):
     return t.select("series_id", F.posexplode("top_lags").alias("p", "x")).select("series_id", (F.col("p") + 1).alias("place"), "x.lag", "x.value")
 
 
-@query("window_prompt")
+_WINDOW = {"about": "'Daily closes of one supplier.'", "horizon": "'24'", "steps": "n::VARCHAR", "low": "(floor(low * 100) / 100)::DECIMAL(18,2)::VARCHAR", "high": "(floor(high * 100) / 100)::DECIMAL(18,2)::VARCHAR",
+           "median": "(floor(median * 100) / 100)::DECIMAL(18,2)::VARCHAR", "trend": "CASE WHEN rise > 0 THEN 'above' ELSE 'below' END", "lags": "lags"}
+
+
+@query("window_prompt", f"""WITH {PRICES}, q AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ts DESC) AS k FROM pr),
+l AS (SELECT series_key, ts, close AS x, row_number() OVER ({W}) - 1 AS t, count(*) OVER (PARTITION BY series_key) AS n FROM q WHERE k <= 96),
+c AS (SELECT a.series_key, g.lag, round(sum(a.x * b.x), 2) AS value FROM l a JOIN (SELECT unnest(range(96)) AS lag) g ON g.lag < a.n
+  JOIN l b ON a.series_key = b.series_key AND b.t = (a.t + g.lag) % a.n GROUP BY 1, 2),
+top AS (SELECT series_key, string_agg(lag::VARCHAR, ', ' ORDER BY place) AS lags FROM (
+  SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY value DESC, lag) AS place FROM c) WHERE place <= 5 GROUP BY 1),
+st AS (SELECT series_key, count(*) AS n, min(x) AS low, max(x) AS high, quantile_disc(x, 0.5) AS median, arg_max(x, ts) - arg_min(x, ts) AS rise FROM l GROUP BY 1)
+SELECT series_key, CASE WHEN rise > 0 THEN 'upward' ELSE 'downward' END AS trend, median, {_template(rg.WINDOW_TEMPLATE, _WINDOW)} AS prompt FROM st JOIN top USING (series_key)""", "median")
 def window_prompt(spark, d):
     """Text rows over the last 96 closes of every series."""
     w = rg.window_arrays(prices(spark, d), "close", 96)
-    return rg.window_prompt(w, "values", "Daily closes of one supplier. ", 24).select("series_key", "trend", "median", "prompt")
+    return rg.window_prompt(w, "values", "Daily closes of one supplier.", 24).select("series_key", "trend", "median", "prompt")
 
 
 @query("window_statistics", f"""WITH {PRICES}, q AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ts DESC) AS k FROM pr)

@@ -321,12 +321,14 @@ def ensemble_grid(spark, d):
     return fc.ensemble_grid(forecasts(spark, d), MODELS)
 
 
-@query("ensemble_ema_score", f"""WITH {FORECASTS}, e AS (SELECT model, series_key, ts, t, 1 / (1 + pow((predicted - actual) / 100, 2)) AS x, row_number() OVER ({FW}) AS rn FROM forecasts)
-SELECT a.model, a.series_key, epoch(a.ts)::BIGINT AS ts, sum(b.x * CASE WHEN b.rn = 1 THEN 1.0 ELSE 0.1 END * pow(0.9, a.rn - b.rn)) AS performance
+for _keep, _name in ((0.9, "ensemble_ema_score"), (0.85, "ensemble_ema_score_85")):
+
+    @query(_name, f"""WITH {FORECASTS}, e AS (SELECT model, series_key, ts, t, 1 / (1 + pow((predicted - actual) / 100, 2)) AS x, row_number() OVER ({FW}) AS rn FROM forecasts)
+SELECT a.model, a.series_key, epoch(a.ts)::BIGINT AS ts, sum(b.x * CASE WHEN b.rn = 1 THEN 1.0 ELSE {1 - _keep:.2f} END * pow({_keep}, a.rn - b.rn)) AS performance
 FROM e a JOIN e b ON a.model = b.model AND a.series_key = b.series_key AND b.rn <= a.rn GROUP BY 1, 2, 3""", "performance")
-def ensemble_ema_score(spark, d):
-    e = forecasts(spark, d).withColumn("mse", F.pow((F.col("predicted") - F.col("actual")) / 100, F.lit(2.0)))
-    return epoch(fc.performance_ema(e, ["model", "series_key"])).select("model", "series_key", "ts", "performance")
+    def ensemble_ema_score(spark, d, keep=_keep):
+        e = forecasts(spark, d).withColumn("mse", F.pow((F.col("predicted") - F.col("actual")) / 100, F.lit(2.0)))
+        return epoch(fc.performance_ema(e, ["model", "series_key"], keep=keep)).select("model", "series_key", "ts", "performance")
 
 
 @query("prediction_interval", f"""WITH {FORECASTS} SELECT series_key, {TS}, avg(predicted) AS mean, avg(predicted) - 1.96 * stddev_samp(predicted) AS lower, avg(predicted) + 1.96 * stddev_samp(predicted) AS upper,
@@ -337,23 +339,23 @@ def prediction_interval(spark, d):
 
 
 def _level(spark, d, step: int):
-    f = forecasts(spark, d).where("model = 'naive'")
+    f = forecasts(spark, d)
     pos = F.floor((F.col("t") - 11) / step)
-    return f.groupBy("series_key", pos.alias("step")).agg(F.max("predicted").alias("predicted"))
+    return f.groupBy("model", "series_key", pos.alias("step")).agg(F.max("predicted").alias("predicted"))
 
 
-@query("reconcile", f"""WITH {FORECASTS}, lv AS (SELECT series_key, t - 11 AS u, predicted FROM forecasts WHERE model = 'naive'),
-h AS (SELECT series_key, u AS step, predicted FROM lv),
-f0 AS (SELECT series_key, u // 4 AS step, max(predicted) AS predicted FROM lv GROUP BY 1, 2), d0 AS (SELECT series_key, u // 24 AS step, max(predicted) AS predicted FROM lv GROUP BY 1, 2),
-f1 AS (SELECT f0.series_key, f0.step, CASE WHEN up IS NULL THEN predicted ELSE 0.7 * predicted + 0.3 * up END AS predicted FROM f0 LEFT JOIN (
-  SELECT series_key, step // 4 AS step, avg(predicted) AS up FROM h GROUP BY 1, 2 HAVING count(*) = 4) USING (series_key, step)),
-d1 AS (SELECT d0.series_key, d0.step, CASE WHEN up IS NULL THEN predicted ELSE 0.7 * predicted + 0.3 * up END AS predicted FROM d0 LEFT JOIN (
-  SELECT series_key, step // 6 AS step, avg(predicted) AS up FROM f1 GROUP BY 1, 2 HAVING count(*) = 6) USING (series_key, step))
-SELECT '4h' AS level, series_key, step::BIGINT AS step, predicted FROM f1 UNION ALL SELECT '1D', series_key, step::BIGINT, predicted FROM d1""", "predicted")
+@query("reconcile", f"""WITH {FORECASTS}, lv AS (SELECT model, series_key, t - 11 AS u, predicted FROM forecasts),
+h AS (SELECT model, series_key, u AS step, predicted FROM lv),
+f0 AS (SELECT model, series_key, u // 4 AS step, max(predicted) AS predicted FROM lv GROUP BY ALL), d0 AS (SELECT model, series_key, u // 24 AS step, max(predicted) AS predicted FROM lv GROUP BY ALL),
+f1 AS (SELECT f0.model, f0.series_key, f0.step, CASE WHEN up IS NULL THEN predicted ELSE 0.7 * predicted + 0.3 * up END AS predicted FROM f0 LEFT JOIN (
+  SELECT model, series_key, step // 4 AS step, avg(predicted) AS up FROM h GROUP BY ALL HAVING count(*) = 4) USING (model, series_key, step)),
+d1 AS (SELECT d0.model, d0.series_key, d0.step, CASE WHEN up IS NULL THEN predicted ELSE 0.7 * predicted + 0.3 * up END AS predicted FROM d0 LEFT JOIN (
+  SELECT model, series_key, step // 6 AS step, avg(predicted) AS up FROM f1 GROUP BY ALL HAVING count(*) = 6) USING (model, series_key, step))
+SELECT '4h' AS level, model, series_key, step::BIGINT AS step, predicted FROM f1 UNION ALL SELECT '1D', model, series_key, step::BIGINT, predicted FROM d1""", "predicted")
 def reconcile(spark, d):
     levels = {"1h": _level(spark, d, 1), "4h": _level(spark, d, 4), "1D": _level(spark, d, 24)}
-    out = fc.reconcile(levels, {("1h", "4h"): 4, ("4h", "1D"): 6})
-    cols = ["series_key", "step", "predicted"]
+    out = fc.reconcile(levels, {("1h", "4h"): 4, ("4h", "1D"): 6}, ["model", "series_key"])
+    cols = ["model", "series_key", "step", "predicted"]
     return out["4h"].select(F.lit("4h").alias("level"), *cols).unionByName(out["1D"].select(F.lit("1D").alias("level"), *cols))
 
 

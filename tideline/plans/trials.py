@@ -58,10 +58,10 @@ def param_corr_matrix(spark, d):
     return sel.corr_matrix(tr.numeric_params(trials(spark, d), ["layers", "rate"]), ["layers", "rate", "training_time"])
 
 
-@query("param_impact", f"""WITH {TRIALS}, u AS (SELECT 'layers' AS param, layers AS setting, value FROM trials UNION ALL SELECT 'model', model, value FROM trials UNION ALL SELECT 'fixed', '1', value FROM trials)
+@query("param_impact", f"""WITH {TRIALS}, u AS (SELECT 'layers' AS param, layers AS setting, value FROM trials UNION ALL SELECT 'model', model, value FROM trials UNION ALL SELECT 'fixed', '1', value FROM trials UNION ALL SELECT 'rate', rate::VARCHAR, value FROM trials)
 SELECT param, setting, avg(value) AS mean, stddev_pop(value) AS std, count(*) AS n, min(value) AS min, max(value) AS max FROM u GROUP BY 1, 2""", "mean std min max")
 def param_impact(spark, d):
-    return tr.param_impact(trials(spark, d)).where("param <> 'rate'")
+    return tr.param_impact(trials(spark, d))
 
 
 @query("value_distribution", f"""WITH {TRIALS}, q AS (SELECT study, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS md, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.9) AS p90 FROM trials GROUP BY 1)

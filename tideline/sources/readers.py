@@ -96,6 +96,14 @@ def parse_metric_log(lines: DataFrame, run: str = "run", line_no: str = "line_no
     return out.select(run, *[F.coalesce(f"__f_{n}", f"__t_{n}", F.lit(default)).alias(n) for n in ("mae", "mse", "mape")])
 
 
+def scan_template_bank(spark: SparkSession, path: str, line_sep: str = "\u0002", name_sep: str = "\u0001", shared_prefix: str = "ETT") -> DataFrame:
+    """Texts of files that hold many: each ends with ``line_sep`` and begins with its name and ``name_sep``."""
+    t = spark.read.option("lineSep", line_sep).text(path)
+    name = F.substring_index("value", name_sep, 1)
+    text = F.substr("value", F.instr("value", name_sep) + 1)
+    return t.select(F.when(name.startswith(shared_prefix), shared_prefix).otherwise(name).alias("name"), F.trim(text).alias("template"))
+
+
 def scan_templates(spark: SparkSession, path: str, shared_prefix: str = "ETT", name_pattern: str = r"([^/]+)\.[^/.]*$") -> DataFrame:
     """One text per file, named by the path; names with the shared prefix read the same text."""
     t = spark.read.text(path, wholetext=True)
