@@ -88,8 +88,3 @@ def test_exact_quantiles(skewed):
             assert got[(k, p)] == pytest.approx(np.quantile(g["x"], p)), (k, p)
     whole = od.exact_quantiles(rounded, [], "x", [0.5]).first()["quantile"]
     assert whole == pytest.approx(np.quantile(pdf["x"], 0.5))
-
-
-def test_needs_chunks_looks_at_the_span(skewed):
-    assert not od.needs_chunks(skewed, 60)
-    assert od.needs_chunks(skewed, 1) is (20000 * 60 > od.PLAIN_WINDOW_ROWS)

@@ -21,7 +21,7 @@ from tideline.functions.nulls import flag, ratio
 from tideline.functions.rolling import (
     add_ema, change, last_rows, log_return, pct_change, rolling, series_window, sma, strength,
 )
-from tideline.operators.ordered import needs_chunks, over_chunks, running, time_bucket
+from tideline.operators.ordered import over_chunks, running, time_bucket
 from tideline.session import written
 
 KEYS = ("series_key",)
@@ -360,18 +360,14 @@ def all_features(df: DataFrame, keys: Sequence[str] = KEYS, drop_incomplete: boo
 
 
 def all_features_any_length(
-    df: DataFrame, cadence_seconds: int, keys: Sequence[str] = KEYS, chunk_rows: int | None = None, drop_incomplete: bool = True
+    df: DataFrame, cadence_seconds: int, keys: Sequence[str] = KEYS, chunk_rows: int = 200_000, drop_incomplete: bool = True
 ) -> DataFrame:
-    """``all_features`` for bars of any cadence.
+    """``all_features`` for bars of any cadence and series of any length.
 
-    Where the time span allows more rows per series than one task should hold (or when
-    ``chunk_rows`` asks for it), every series is cut into chunks that bring the rows along
-    which their features look back at; results are the same.
+    Every series is cut into chunks of ``chunk_rows`` that bring the rows along which their features
+    look back at; results are those of ``all_features``.
     """
-    if chunk_rows is None and not needs_chunks(df, cadence_seconds):
-        return all_features(df, keys, drop_incomplete)
     d = over_chunks(
-        df, lambda x, k: all_features(x, k, False), keys, ["ts"], time_bucket(cadence_seconds * 50_000), FEATURE_LOOKBACK,
-        chunk_rows or 200_000,
+        df, lambda x, k: all_features(x, k, False), keys, ["ts"], time_bucket(cadence_seconds * 50_000), FEATURE_LOOKBACK, chunk_rows
     )
     return d.na.drop() if drop_incomplete else d

@@ -54,17 +54,18 @@ def isolation_flag(df: DataFrame, columns: Sequence[str], ids: Sequence[str], tr
                    contamination: float = 0.1, seed: int = 42) -> DataFrame:
     """Add ``anomaly_score`` and ``is_outlier`` (the share ``contamination`` with the highest score).
 
-    The forest needs ``trees * sample`` rows whatever the table holds; they are the rows with
-    the smallest seeded hash, one group per tree. The trees (at most 2 * sample nodes each)
-    are broadcast; every row is scored. NULL counts as 0.
+    ``trees`` and ``sample``, the rows a tree is grown from, are parameters of the algorithm. Hashes
+    of the ids deal all rows to trees and slots of a tree, and the row with the smallest hash takes
+    the slot: one aggregate, combined on the map side. The trees (at most 2 * sample nodes each) are
+    broadcast; every row is scored. NULL counts as 0.
     """
     spark = df.sparkSession
     values = df.withColumns({f"__x{i}": F.coalesce(c, F.lit(0.0)).cast("double") for i, c in enumerate(columns)})
     xs = [f"__x{i}" for i in range(len(columns))]
-    drawn = (
-        values.select(*xs, F.xxhash64(F.lit(seed), *ids).alias("__h")).orderBy("__h", *xs).limit(trees * sample)
-        .withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.lit(trees)).cast("int"))
-    )
+    seeded = lambda k: F.xxhash64(F.lit(seed + k), *ids)
+    place = {"tree": F.pmod(seeded(1), F.lit(trees)).cast("int"), "__slot": F.pmod(seeded(2), F.lit(sample)).cast("int")}
+    dealt = values.select(*xs, seeded(0).alias("__h"), *[c.alias(n) for n, c in place.items()])
+    drawn = dealt.groupBy("tree", "__slot").agg(F.min(F.struct("__h", *xs)).alias("r")).select("tree", "r.*")
     limit = math.ceil(math.log2(sample))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

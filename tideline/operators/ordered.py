@@ -29,9 +29,6 @@ from tideline.functions.nulls import INF
 
 _B = "__bucket"
 
-# Rows of one key a plain window may hold. Hourly bars reach it after 114 years.
-PLAIN_WINDOW_ROWS = 1_000_000
-
 
 def time_bucket(seconds: int, ts: str = "ts") -> Column:
     """Slice of the time axis; (key, ts) unique at a cadence c gives seconds/c rows at most."""
@@ -43,12 +40,6 @@ def id_bucket(column: str, width: int = 65_536) -> Column:
     return F.floor(F.col(column) / width)
 
 
-def needs_chunks(df: DataFrame, cadence_seconds: int, ts: str = "ts") -> bool:
-    """Whether the span of a bar table allows more rows per key than a plain window may hold."""
-    lo, hi = df.agg(F.min(F.unix_timestamp(ts)), F.max(F.unix_timestamp(ts))).first()
-    return lo is not None and (hi - lo) / cadence_seconds + 1 > PLAIN_WINDOW_ROWS
-
-
 _COMBINE = {
     "sum": lambda a, b: F.when(
         a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))

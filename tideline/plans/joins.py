@@ -332,7 +332,23 @@ def combined_score(spark, d):
     return sel.combined_score(sel.f_score(r, list(_BINS), "close"), sel.binned_mutual_info(binned, list(_BINS), "close"))
 
 
-@query("drop_collinear")
+_COMPLETE = "rows2 AS (SELECT * FROM rows WHERE returns IS NOT NULL AND close_lag_2 IS NOT NULL AND bb_middle IS NOT NULL AND avg_price IS NOT NULL)"
+
+
+def _greedy_sql(threshold: float) -> str:
+    """``kept``: the list of features that the greedy rule keeps, strongest first."""
+    pairs = [(a, b) for i, a in enumerate(_FEATURES) for b in _FEATURES[i + 1:]]
+    matrix = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM rows2" for a, b in pairs)
+    strength = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, close)) AS abs_r FROM rows2" for c in _FEATURES)
+    return f"""strength AS ({strength}), cm AS ({matrix}),
+clash AS (SELECT a AS feature, list(b) AS bad FROM (SELECT a, b, r FROM cm UNION ALL SELECT b, a, r FROM cm) WHERE abs(r) > {threshold} GROUP BY 1),
+ranked AS (SELECT feature, row_number() OVER (ORDER BY abs_r DESC, feature) AS k, coalesce(bad, []::VARCHAR[]) AS bad FROM strength LEFT JOIN clash USING (feature)),
+greedy AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS kept
+  UNION ALL SELECT ranked.k, CASE WHEN len(list_intersect(kept, bad)) = 0 THEN list_append(kept, feature) ELSE kept END FROM greedy JOIN ranked ON ranked.k = greedy.k + 1),
+kept AS (SELECT unnest(kept) AS feature FROM greedy WHERE k = {len(_FEATURES)})"""
+
+
+@query("drop_collinear", f"WITH RECURSIVE {_ROWS}, {_COMPLETE}, {_greedy_sql(0.5)} SELECT feature, abs_r FROM strength JOIN kept USING (feature)", "abs_r")
 def drop_collinear(spark, d):
     """Names kept by the greedy rule, with their strength."""
     s = sel.target_corr(_feature_rows(spark, d).na.drop(), _FEATURES, "close")
@@ -346,7 +362,13 @@ def _kept(spark, d):
     return sel.drop_collinear(sorted(_FEATURES, key=lambda c: (-strength[c], c)), matrix, 0.5)
 
 
-@query("fit_select")
+_F2 = " UNION ALL ".join(f"SELECT '{c}' AS feature, pow(corr({c}, close), 2) / (1 - pow(corr({c}, close), 2)) * (count({c}) - 2) AS f FROM rows2" for c in _FEATURES)
+
+
+@query("fit_select", f"""WITH RECURSIVE {_ROWS}, {_COMPLETE}, {_greedy_sql(0.9)}, {_quantile_bins_sql([*_FEATURES, 'close'], 'rows2')},
+fs AS (SELECT * FROM ({_F2}) JOIN kept USING (feature)), mi AS ({_mi_sql(_FEATURES, 'qb')}),
+al AS (SELECT feature, abs_r, mi, f, (abs_r + mi + f / (SELECT max(f) FROM fs)) / 3 AS score FROM fs JOIN strength USING (feature) JOIN mi USING (feature))
+SELECT * FROM al ORDER BY score DESC, feature LIMIT 5""", "abs_r mi f score", digits=5)
 def fit_select(spark, d):
     return sel.fit_select(_feature_rows(spark, d), _FEATURES, "close", k=5)
 
