@@ -49,3 +49,8 @@ def correlation(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
+
+
+def text_hash(*parts: Column) -> Column:
+    """52 bits of the MD5 digest of the parts' text joined by bars: a number that any SQL engine can state."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[x.cast("string") for x in parts])), 1, 13), 16, 10).cast("bigint")

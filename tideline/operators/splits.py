@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.nulls import text_hash
 from tideline.functions.rolling import series_window
 from tideline.operators.ordered import ordinal
 
@@ -164,7 +165,7 @@ def panel_window_sample(panel: DataFrame, key: str, values: str, seq_len: int, l
     """A seeded random cut per series with padded windows before and after it and their masks."""
     a, n = F.col(values), F.size(values)
     low = F.greatest(F.lit(1), n - limit)
-    cut = low + F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.greatest(n - low, F.lit(1))).cast("int")
+    cut = low + (text_hash(F.lit(seed), F.col(key)) % F.greatest(n - low, F.lit(1))).cast("int")
     d = panel.withColumn("cut", cut)
     c = F.col("cut")
     start, first = F.greatest(F.lit(0), c - seq_len), F.greatest(F.lit(0), c - label_len)

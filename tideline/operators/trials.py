@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.nulls import INF, correlation, ratio
+from tideline.functions.nulls import INF, correlation, ratio, text_hash
 from tideline.operators.ordered import exact_quantiles, id_bucket, running, value_buckets
 
 
@@ -188,7 +188,7 @@ def random_params(rows: DataFrame, key: str, space: dict[str, dict], seed: int =
     Draws are hashes of (seed, key, name): the same again when a lost task is run anew.
     """
     def uniform(name: str) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.lit(name)), F.lit(2**52)) / float(2**52)
+        return text_hash(F.lit(seed), F.col(key), F.lit(name)) / float(2**52)
 
     out = {}
     for name, s in space.items():

@@ -149,7 +149,7 @@ def context_prompt(spark, d):
 
 
 @query("autocorr_top_lags", f"""WITH {PANEL}, l AS (SELECT series_id, len(vals) AS n, unnest(vals) AS x, generate_subscripts(vals, 1) - 1 AS t FROM panel),
-c AS (SELECT a.series_id, k.lag, round(sum(a.x * b.x), 6) AS value FROM l a JOIN (SELECT unnest(range(64)) AS lag) k ON k.lag < a.n
+c AS (SELECT a.series_id, k.lag, round(sum(a.x * b.x), 6) AS value FROM l a JOIN (SELECT unnest(range(128)) AS lag) k ON k.lag < a.n
   JOIN l b ON a.series_id = b.series_id AND b.t = (a.t + k.lag) % a.n GROUP BY 1, 2)
 SELECT series_id, place::INT AS place, lag::INT AS lag, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value DESC, lag) AS place FROM c) WHERE place <= 5""", "value")
 def autocorr_top_lags(spark, d):

@@ -84,17 +84,17 @@ def sliding_windows(spark, d):
     return epoch(out).select("series_key", "feature", "ts", "x_first", "x_last", "x_sum", "y_first", "y_last", "y_sum")
 
 
-# --- panel of arrays: embeddings cut to ragged lengths -----------------------------------
+# --- panel of arrays: whole embeddings, with some first values again so that lengths differ -----------------------------------
 
 def panel(spark, d):
     e = table(spark, d, "embeddings")
     return e.select(
         F.col("vec_id").alias("series_id"), F.col("label").alias("grp"),
-        F.slice(F.col("embedding").cast("array<double>"), F.lit(1), (F.lit(40) + F.col("vec_id") % 25).cast("int")).alias("vals"),
+        F.concat("embedding", F.slice("embedding", F.lit(1), (F.col("vec_id") % 25).cast("int"))).cast("array<double>").alias("vals"),
     )
 
 
-PANEL = """panel AS (SELECT vec_id AS series_id, label AS grp, embedding[1:(40 + vec_id % 25)]::DOUBLE[] AS vals FROM embeddings)"""
+PANEL = """panel AS (SELECT vec_id AS series_id, label AS grp, (embedding || embedding[1:vec_id % 25])::DOUBLE[] AS vals FROM embeddings)"""
 
 
 @query("scan_panel", f"WITH {PANEL} SELECT series_id, grp, unnest(vals) AS value, generate_subscripts(vals, 1)::INT AS t FROM panel WHERE grp IN (0, 1, 2)", "value")
@@ -129,16 +129,18 @@ def patches(spark, d):
     return q.select("series_id", "patch", F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"), sp.array_sum(F.col("v")).alias("total"))
 
 
-@query("last_insample_window", f"""WITH {PANEL}, p AS (SELECT series_id, vals, greatest(50 - len(vals), 0) AS pad, vals[-least(50, len(vals)):] AS w FROM panel)
-SELECT series_id, 50 AS width, (50 - pad)::DOUBLE AS mask_sum, CASE WHEN pad > 0 THEN 0.0 ELSE w[1] END AS first, w[-1] AS last, list_sum(w) AS total FROM p""",
+@query("last_insample_window", f"""WITH {PANEL}, p AS (SELECT series_id, vals, greatest(80 - len(vals), 0) AS pad, vals[-least(80, len(vals)):] AS w FROM panel)
+SELECT series_id, 80 AS width, (80 - pad)::DOUBLE AS mask_sum, CASE WHEN pad > 0 THEN 0.0 ELSE w[1] END AS first, w[-1] AS last, list_sum(w) AS total FROM p""",
        "mask_sum first last total")
 def last_insample_window(spark, d):
-    w = sp.last_insample_window(panel(spark, d), "vals", 50)
+    w = sp.last_insample_window(panel(spark, d), "vals", 80)
     return w.select("series_id", F.size("insample").alias("width"), sp.array_sum(F.col("insample_mask")).alias("mask_sum"),
                     F.element_at("insample", 1).alias("first"), F.element_at("insample", -1).alias("last"), sp.array_sum(F.col("insample")).alias("total"))
 
 
-@query("m4_window_sample")
+@query("m4_window_sample", f"""WITH {PANEL}, c AS (SELECT series_id, len(vals) AS n, greatest(1, len(vals) - 30) AS low,
+  ('0x' || substr(md5('7|' || series_id), 1, 13))::BIGINT AS h FROM panel), k AS (SELECT *, (low + h % greatest(n - low, 1))::INT AS cut FROM c)
+SELECT series_id, cut, 20 AS n_in, 15 AS n_out, least(cut, 20)::DOUBLE AS in_mask, (least(n, cut + 10) - greatest(0, cut - 5))::DOUBLE AS out_mask FROM k""", "in_mask out_mask")
 def m4_window_sample(spark, d):
     w = sp.panel_window_sample(panel(spark, d), "series_id", "vals", 20, 5, 10, 30, seed=7)
     return w.select("series_id", "cut", F.size("insample").alias("n_in"), F.size("outsample").alias("n_out"),

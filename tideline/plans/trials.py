@@ -139,7 +139,23 @@ SPACE = {
 }
 
 
-@query("random_params")
+def _drawn_sql() -> str:
+    def draw(name: str, s: dict) -> str:
+        u = f"(('0x' || substr(md5('42|' || trial_id || '|{name}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+        if s["type"] == "categorical":
+            return f"list_extract({s['choices']}, floor({u} * {len(s['choices'])})::INT + 1) AS {name}"
+        if s["type"] == "int":
+            return f"(floor({u} * {s['high'] - s['low'] + 1}) + {s['low']})::INT AS {name}"
+        if s["type"] == "float":
+            return f"{u} * ({s['high']}::DOUBLE - {s['low']}::DOUBLE) + {s['low']}::DOUBLE AS {name}"
+        return f"exp({u} * (ln({s['high']}::DOUBLE) - ln({s['low']}::DOUBLE)) + ln({s['low']}::DOUBLE)) AS {name}"
+
+    return "SELECT trial_id, " + ", ".join(draw(n, s) for n, s in SPACE.items()) + " FROM trials"
+
+
+@query("random_params", f"""WITH {TRIALS}, r AS ({_drawn_sql()})
+SELECT trial_id, kind, seq_len, patch_len, least(stride, patch_len) AS stride, greatest((d_model // n_heads) * n_heads, n_heads) AS d_model, n_heads, dropout, rate,
+  least(seq_len // 2, 48)::INT AS label_len FROM r""", "dropout rate", digits=8)
 def random_params(spark, d):
     """One seeded, consistent parameter set per trial."""
     return tr.random_params(trials(spark, d), "trial_id", SPACE)
