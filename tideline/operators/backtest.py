@@ -119,13 +119,8 @@ def trades(tested: DataFrame, by: Sequence[str] = BY, price="close") -> DataFram
     return tested.where("side IS NOT NULL").select(*by, "ts", F.col(price).alias("price"), "side")
 
 
-def backtest_metrics(tested: DataFrame, by: Sequence[str] = BY, capital: float = 1000.0, per_year: int = 252) -> DataFrame:
-    """Return, Sharpe, drawdown, volatility, win rate, trades and final equity per group."""
-    g = tested.groupBy(*by).agg(
-        F.count("*").alias("__n"), F.max_by("equity", "ts").alias("final_equity"), F.avg("ret").alias("__m"), F.stddev_samp("ret").alias("__s"),
-        F.min(F.col("equity") / F.col("peak") - 1).alias("max_drawdown"),
-        F.coalesce(F.avg(F.col("won").cast("double")), F.lit(0.0)).alias("win_rate"), F.count("side").alias("num_trades"),
-    )
+def figures(g: DataFrame, capital: float, per_year: int = 252) -> DataFrame:
+    """Figures of a group from its row count ``__n``, final equity, and mean ``__m`` and spread ``__s`` of returns."""
     g = g.withColumn("total_return", F.col("final_equity") / capital - 1)
     return g.withColumns(
         {
@@ -137,6 +132,16 @@ def backtest_metrics(tested: DataFrame, by: Sequence[str] = BY, capital: float =
     ).drop("__n", "__m", "__s")
 
 
+def backtest_metrics(tested: DataFrame, by: Sequence[str] = BY, capital: float = 1000.0, per_year: int = 252) -> DataFrame:
+    """Return, Sharpe, drawdown, volatility, win rate, trades and final equity per group."""
+    g = tested.groupBy(*by).agg(
+        F.count("*").alias("__n"), F.max_by("equity", "ts").alias("final_equity"), F.avg("ret").alias("__m"), F.stddev_samp("ret").alias("__s"),
+        F.min(F.col("equity") / F.col("peak") - 1).alias("max_drawdown"),
+        F.coalesce(F.avg(F.col("won").cast("double")), F.lit(0.0)).alias("win_rate"), F.count("side").alias("num_trades"),
+    )
+    return figures(g, capital, per_year)
+
+
 def buy_hold_benchmark(df: DataFrame, by: Sequence[str] = BY, price="close", capital: float = 1000.0, per_year: int = 252) -> DataFrame:
     """The same figures for holding from the first to the last row without fees."""
     w = series_window(by)
@@ -158,22 +163,39 @@ def buy_hold_benchmark(df: DataFrame, by: Sequence[str] = BY, price="close", cap
     ).drop("__n", "__a", "__z", "__m", "__s")
 
 
-def sweep(df: DataFrame, confidences: Sequence[float], fees: Sequence[float], changes: Sequence[float], by: Sequence[str] = BY, price="close") -> DataFrame:
+def sweep(df: DataFrame, confidences: Sequence[float], fees: Sequence[float], changes: Sequence[float], by: Sequence[str] = BY, price="close", capital: float = 1000.0) -> DataFrame:
     """Directional strategy over all parameter combinations, one result row each.
 
-    The relative move of the prediction is computed once, then compared with every
-    confidence; fees multiply the rows of the cheap equity step only; ``change`` does not
-    enter this signal, so its values copy finished result rows.
+    Only confidences multiply rows. A fee changes no signal: the equity is the growth of the held
+    position times (1 - fee) to the number of trades so far, so fees are columns side by side until the
+    figures are finished. ``change`` does not enter this signal; its values copy finished rows.
     """
-    w = series_window(by)
+    w, keys = series_window(by), [*by, "confidence"]
     d = df.withColumn("__p", _filled("predicted", w))
     d = d.withColumns({"__move": pct_change(F.col("__p"), w)}).drop("__p")
     d = d.withColumn("confidence", F.explode(F.array(*[F.lit(float(c)) for c in confidences])))
-    d = d.withColumn("signal", F.coalesce(_sign_beyond(F.col("__move"), F.col("confidence")), F.lit(0))).drop("__move")
-    d = d.withColumn("fee", F.explode(F.array(*[F.lit(float(f)) for f in fees])))
-    keys = [*by, "confidence", "fee"]
-    r = backtest_metrics(backtest(d, keys, price=price, fee=F.col("fee")), keys)
-    return r.withColumn("change", F.explode(F.array(*[F.lit(float(c)) for c in changes])))
+    d = d.withColumn("signal", F.coalesce(_sign_beyond(F.col("__move"), F.col("confidence")), F.lit(0)))
+    d = d.select(*keys, "ts", F.col(price).alias("__price"), F.when(F.col("signal") != 0, F.col("signal")).alias("__signal"))
+    d = running(d, keys, ["ts"], {"__state": ("last", F.col("__signal")), "__held": ("last", F.col("__signal"), True), "__before": ("last", F.col("__price"), True)})
+    state, held = F.coalesce("__state", F.lit(-1)), F.coalesce("__held", F.lit(-1))
+    d = d.withColumns({"__growth": F.when(held == 1, F.col("__price") / F.col("__before")).otherwise(F.lit(1.0)), "__trade": (state != held).cast("int"), "__sells": (state != held) & (state != 1)})
+    entry = F.when(F.col("__trade") == 1, F.col("__price"))
+    here = so_far(series_window(keys, ["ts"]))
+    d = running(d, keys, ["ts"], {"__entry": ("last", entry, True), "__trades": ("sum", F.col("__trade"))}).withColumn("__grown", F.product("__growth").over(here))
+    equity = {f"__e{i}": capital * F.col("__grown") * F.pow(F.lit(1.0 - f), F.col("__trades").cast("double")) for i, f in enumerate(fees)}
+    d = d.withColumns(equity)
+    d = d.withColumns({f"__peak{i}": F.max(f"__e{i}").over(here) for i in range(len(fees))})
+    ret = {f"__r{i}": F.when(F.col("__before").isNull(), 0.0).otherwise(F.col("__growth") * F.when(F.col("__trade") == 1, 1.0 - f).otherwise(1.0) - 1) for i, f in enumerate(fees)}
+    won = F.when(F.col("__sells"), (F.col("__price") > F.col("__entry")).cast("double"))
+    g = d.withColumns(ret).groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.coalesce(F.avg(won), F.lit(0.0)).alias("win_rate"), F.sum("__trade").cast("bigint").alias("num_trades"),
+        *[F.struct(
+            F.lit(float(f)).alias("fee"), F.max_by(f"__e{i}", "ts").alias("final_equity"), F.avg(f"__r{i}").alias("__m"), F.stddev_samp(f"__r{i}").alias("__s"),
+            F.min(F.col(f"__e{i}") / F.col(f"__peak{i}") - 1).alias("max_drawdown"),
+        ).alias(f"__f{i}") for i, f in enumerate(fees)],
+    )
+    g = g.withColumn("__f", F.explode(F.array(*[F.col(f"__f{i}") for i in range(len(fees))]))).select(*keys, "__n", "win_rate", "num_trades", "__f.*")
+    return figures(g, capital).withColumn("change", F.explode(F.array(*[F.lit(float(c)) for c in changes])))
 
 
 def top_k_sweep(results: DataFrame, k: int = 10, ties: Sequence[str] = ("model", "series_key", "confidence", "fee", "change"), digits: int = 9) -> DataFrame:

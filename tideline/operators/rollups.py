@@ -85,18 +85,15 @@ NEGATIVE = ["bad", "crash", "drop", "fall", "fear", "loss", "low", "risk", "down
 def lexicon_polarity(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Mean polarity of the lexicon words of a text and the share of its words they make.
 
-    Words are counted per text before the join. ``lexicon`` is ``(word, polarity)``.
+    ``lexicon`` is ``(word, polarity)``, one row per word; Spark broadcasts it if it is small. The words of
+    a text are summed up where they are read, so that one row per text is shuffled.
     """
     words = texts.select(key, F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    scored = counts.join(lexicon, "word", "left")
-    hit = F.when(F.col("polarity").isNotNull(), F.col("n")).otherwise(0)
-    out = scored.groupBy(key).agg(
-        F.coalesce(ratio(F.sum(F.col("n") * F.col("polarity")), F.sum(hit).cast("double")), F.lit(0.0)).alias("polarity"),
-        ratio(F.sum(hit).cast("double"), F.sum("n").cast("double")).alias("subjectivity"),
-        F.sum("n").alias("n_words"),
+    return words.join(lexicon, "word", "left").groupBy(key).agg(
+        F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("polarity"),
+        ratio(F.count("polarity").cast("double"), F.count("*").cast("double")).alias("subjectivity"),
+        F.count("*").alias("n_words"),
     )
-    return out
 
 
 def lexicon_table(spark, positive=POSITIVE, negative=NEGATIVE) -> DataFrame:
