@@ -168,3 +168,20 @@ def test_equal_results_from_seeded_draws(spark):
     pd.testing.assert_frame_equal(a, b)
     assert (a["stride"] <= a["patch_len"]).all() and (a["d_model"] % a["n_heads"] == 0).all()
     assert (a["label_len"] <= 48).all() and a["rate"].between(1e-5, 1e-2).all()
+
+
+def test_enhance_leaves_complete_consistent_rows(spark):
+    rows = [("a", i, i, 10.0 + i % 3, 9.0 if i % 11 == 0 else 12.0 + i % 3, 8.0, None if i % 7 == 0 else 10.0 + i % 2, -5.0 if i % 13 == 0 else 100.0, None if i % 5 == 0 else float(i)) for i in range(120)]
+    rows += [("a", 5, 500, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "series_key string, day int, seq int, open double, high double, low double, close double, volume double, rate double")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("day").cast("long") * 86400)).drop("day")
+    out = cl.enhance(df, "2000-01-01", ["rate"], flagged=F.col("seq") == 3).toPandas()
+    assert len(out) == 120 and not out[["open", "high", "low", "close", "volume", "rate"]].isna().any().any()
+    assert (out.high >= out[["open", "close"]].max(axis=1)).all() and (out.volume >= 0).all() and (out.missing_data_ratio == 0).all()
+
+
+def test_more_windows_than_fifty(spark):
+    lengths = spark.createDataFrame([("long", 2400), ("short", 259), ("exact", 260)], "series_key string, n int")
+    out = sp.walk_forward_windows(lengths, 200, 60, 24).toPandas()
+    assert (out[out.series_key == "long"].fold.nunique(), out[out.series_key == "exact"].fold.nunique()) == (90, 1) and "short" not in set(out.series_key)
+    assert sp.walk_forward_windows(lengths, 200, 60, 24, most=3).toPandas().fold.max() == 2

@@ -214,6 +214,24 @@ def row_quality(df: DataFrame, as_of: str, values: Sequence[str] = (*PRICES, "vo
     return d.withColumn("data_quality_score", score)
 
 
+def enhance(df: DataFrame, as_of: str, external: Sequence[str] = (), flagged: Column | None = None, keys: Sequence[str] = KEYS, order=("ts", "seq")) -> DataFrame:
+    """Whole repair of bars: fill gaps, limit outliers, make rows consistent, one row per time, quality columns.
+
+    External columns are filled from neighbouring rows. ``flagged`` names the outliers; without it an
+    isolation forest over prices and volume does.
+    """
+    from tideline.operators.isolation import isolation_flag
+
+    values = [*PRICES, "volume"]
+    d = impute_chain(df, external, keys, order)
+    if flagged is None:
+        d = isolation_flag(d, values, [*keys, *order]).drop("anomaly_score")
+        flagged = F.col("is_outlier") == 1
+    d = winsorise(d, values, flagged, keys).drop("is_outlier")
+    d = dedup_timestamp(enforce_ohlc(clip_volume(d)), [*values, *external], keys=keys)
+    return row_quality(d, as_of)
+
+
 def common_time_range(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Rows between the latest common start and the earliest common end of all tables."""
     bounds = None

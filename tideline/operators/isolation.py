@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.ordered import exact_quantiles
+from tideline.session import written
 
 
 def _path_length(n: float) -> float:
@@ -86,7 +87,7 @@ def isolation_flag(df: DataFrame, columns: Sequence[str], ids: Sequence[str], tr
         mean = np.mean([_depths(x, t) for t in shared.value], axis=0)
         return pd.Series(np.round(2.0 ** (-mean / max(norm, 1e-12)), 9))
 
-    scored = values.withColumn("anomaly_score", score(*xs)).drop(*xs)
+    scored = written(values.withColumn("anomaly_score", score(*xs)).drop(*xs), "scored")  # read by every pass over the scores
     cut = exact_quantiles(scored, [], "anomaly_score", [1 - contamination]).select(F.col("quantile").alias("__cut"))
     return scored.crossJoin(F.broadcast(cut)).withColumn(  # one row
         "is_outlier", F.when(F.col("anomaly_score") > F.col("__cut"), 1).otherwise(0)

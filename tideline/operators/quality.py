@@ -208,6 +208,9 @@ def overall_score(results: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return results.groupBy(*keys).agg((F.sum(F.col("score") * weight) / sum(WEIGHTS.values())).alias("overall_score"))
 
 
+ADVICE_CORRELATED = "leave out columns that repeat others"
+
+
 def recommendations(results: DataFrame, indicators: DataFrame, keys: Sequence[str] = KEYS, has_external: bool = False) -> DataFrame:
     """Advice for failed checks and for the profile."""
     advice = F.create_map(*[F.lit(x) for kv in ADVICE.items() for x in kv])
@@ -294,6 +297,19 @@ def drift(baseline: DataFrame, current: DataFrame, columns: Sequence[str] = tupl
     return d.withColumn("significant", F.when(F.col("drift_score") > 0.1, 1).otherwise(0))
 
 
+def drift_summary(drifted: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean drift per series and the names of its significantly drifted columns."""
+    named = F.array_sort(F.collect_list(F.when(F.col("significant") == 1, F.col("column"))))  # of a series' columns
+    return drifted.groupBy(*keys).agg(F.avg("drift_score").alias("overall_drift"), F.array_join(named, ", ").alias("drifted_columns"))
+
+
+def correlation_summary(matrix: DataFrame, high: float = 0.8, many: int = 5) -> DataFrame:
+    """One row: largest and mean absolute correlation, number of pairs above ``high``, and advice if they are many."""
+    r = F.abs("r")
+    g = matrix.agg(F.max(r).alias("max_abs_r"), F.avg(r).alias("mean_abs_r"), F.count(F.when(r > high, 1)).alias("high_pairs"))
+    return g.withColumn("advice", F.when(F.col("high_pairs") > many, F.lit(ADVICE_CORRELATED)))
+
+
 def quality_improvement(before: DataFrame, after: DataFrame, columns: Sequence[str], extra_columns: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Reduction of missing cells, gain in completeness and share of added columns."""
     def missing(df: DataFrame, side: str, width: int) -> DataFrame:

@@ -212,6 +212,14 @@ def iforest_flag(spark, d):
     return out.select("series_key", "seq", "anomaly_score", "is_outlier")
 
 
+@query("enhance")
+def enhance(spark, d):
+    """The whole repair, with order figures as external columns; the forest's flags have no SQL."""
+    bars = dirty_bars(spark, d).join(order_days(spark, d).select("ts", "avg_price"), "ts", "left")
+    out = cl.enhance(bars, "2002-01-01", ["avg_price"])
+    return epoch(out).select("series_key", "ts", *PV, "avg_price", "missing_data_ratio", "data_quality_score")
+
+
 @query("row_quality", f"""WITH {DIRTY}, m AS (SELECT *,
   ((CASE WHEN open IS NULL THEN 1 ELSE 0 END) + (CASE WHEN high IS NULL THEN 1 ELSE 0 END) + (CASE WHEN low IS NULL THEN 1 ELSE 0 END)
   + (CASE WHEN close IS NULL THEN 1 ELSE 0 END) + (CASE WHEN volume IS NULL THEN 1 ELSE 0 END)) / 5.0::DOUBLE AS missing_data_ratio FROM dirty)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import joins as jn
 from tideline.operators import rollups as ro
+from tideline.operators import quality as qu
 from tideline.operators import selection as sel
 from tideline.operators.bars import CADENCE_SECONDS, resample_bars
 from tideline.operators.ordered import time_bucket
@@ -258,6 +259,12 @@ def corr_matrix(spark, d):
     return sel.corr_matrix(_feature_rows(spark, d), [*_FEATURES, "close"])
 
 
+@query("corr_summary", f"""WITH {_ROWS}, m AS ({_MATRIX}) SELECT max(abs(r)) AS max_abs_r, avg(abs(r)) AS mean_abs_r, count(*) FILTER (abs(r) > 0.3) AS high_pairs,
+  CASE WHEN count(*) FILTER (abs(r) > 0.3) > 5 THEN '{qu.ADVICE_CORRELATED}' END AS advice FROM m""", "max_abs_r mean_abs_r")
+def corr_summary(spark, d):
+    return qu.correlation_summary(sel.corr_matrix(_feature_rows(spark, d), [*_FEATURES, "close"]), high=0.3)
+
+
 @query("high_corr_pairs", f"WITH {_ROWS} SELECT * FROM ({_MATRIX}) WHERE abs(r) > 0.5", "r")
 def high_corr_pairs(spark, d):
     return sel.high_corr_pairs(sel.corr_matrix(_feature_rows(spark, d), [*_FEATURES, "close"]), 0.5)

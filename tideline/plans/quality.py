@@ -164,6 +164,15 @@ def drift(spark, d):
     return qu.drift(b, b.withColumns({"close": F.col("close") * 1.2, "volume": F.col("volume") * 2}))
 
 
+@query("drift_summary", f"""WITH {BARS_D}, long AS ({' UNION ALL '.join(f"SELECT series_key, '{c}' AS column, {c} AS x, {c} * {k} AS y FROM bars" for c, k in zip(N, (1, 1, 1, 1.2, 2)))}),
+s AS (SELECT series_key, "column", avg(x) AS bm, stddev_samp(x) AS bs, avg(y) AS cm, stddev_samp(y) AS cs FROM long GROUP BY 1, 2),
+t AS (SELECT series_key, "column", (abs(bm - cm) / abs(bm) + abs(bs - cs) / abs(bs)) / 2 AS score FROM s)
+SELECT series_key, avg(score) AS overall_drift, coalesce(string_agg("column", ', ' ORDER BY "column") FILTER (score > 0.1), '') AS drifted_columns FROM t GROUP BY 1""", "overall_drift")
+def drift_summary(spark, d):
+    b = bars_d(spark, d)
+    return qu.drift_summary(qu.drift(b, b.withColumns({"close": F.col("close") * 1.2, "volume": F.col("volume") * 2})))
+
+
 @query("quality_improvement", f"""WITH {DIRTY}, u AS (SELECT DISTINCT series_key, ts FROM dirty),
 a AS (SELECT series_key, sum((open IS NULL)::INT + (high IS NULL)::INT + (low IS NULL)::INT + (close IS NULL)::INT + (volume IS NULL)::INT) AS miss, count(*) * 5 AS cells FROM dirty GROUP BY 1)
 SELECT series_key, CASE WHEN miss > 0 THEN 1.0 ELSE 0.0 END AS missing_data_reduction, miss / cells AS data_completeness_improvement, 0.6 AS additional_features_ratio FROM a""",
