@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from tideline.llm.langid import LETTERS, words_of
 STEMS = (4, 5, 6, 7, 8)
 WINDOW = 6
 #: States of the automaton and words that a worker keeps.
-STATES, KEPT = 5_000, 100_000
+STATES, KEPT = 15_000, 150_000
 QUOTES = re.compile("[\"'«»“”„‟‘’‹›]")
 # Words of reporting and of address in four languages.
 REPORTING = frozenset("said says say called calls quoted quote wrote word term sagte sagt nannte schrieb zitat wort dit appelle cite mot terme dijo dice palabra cita".split())
@@ -72,8 +73,8 @@ class Automaton:
         return v
 
     def _restart(self) -> None:
-        self.ids: dict[frozenset, int] = {}
-        self.sets: list[frozenset] = []
+        self.ids: dict[tuple, int] = {}
+        self.sets: list[tuple] = []  # of 4 * node + edits
         self.steps: list[dict[str, int]] = []
         self.first = self._state({0: 0})
 
@@ -88,7 +89,7 @@ class Automaton:
                 if e < self.reach[w] and e + 1 < at.get(w, 99):
                     at[w] = e + 1
                     todo.append((w, e + 1))
-        key = frozenset(at.items())
+        key = tuple(sorted(4 * v + e for v, e in at.items()))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
@@ -97,7 +98,7 @@ class Automaton:
 
     def _step(self, state: int, c: str) -> int:
         at: dict[int, int] = {}
-        for v, e in self.sets[state]:
+        for v, e in map(divmod, self.sets[state], repeat(4)):
             if (w := self.child[v].get(c)) is not None:
                 at[w] = min(e, at.get(w, 99))
             if e < self.reach[v]:
@@ -125,7 +126,7 @@ class Automaton:
                 return None
         if v >= 0 and self.ends[v] >= 0:
             return "words"
-        return "fuzzy" if any(e <= self.ends[w] for w, e in self.sets[state]) else None
+        return "fuzzy" if any(x % 4 <= self.ends[x // 4] for x in self.sets[state]) else None
 
 
 class Lexicon:
