@@ -88,3 +88,16 @@ def test_one_of_each_group_with_odd_rows(spark, frame, odd):
     ids = [r["doc_id"] for r in simhash.one_of_each_group(frame(odd)).collect()]
     assert sorted(ids) == [1, 4, 5, 6, 6, 8, 9, 10]
     assert simhash.one_of_each_group(frame([])).count() == 0
+
+
+def test_one_of_each_group_counts_repeated_lines_once(spark, frame):
+    """A line repeated many times neither links texts with nothing else in common nor parts texts of the same shingles."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    line = prose(16)
+    loop = "\n".join([line] * 2)
+    apart = [(i, prose(304) + "\n" + "\n".join([line] * 50), "en", "a") for i in range(6)]
+    text = prose(300)
+    same = [(10, text + "\n" + loop, "en", "a"), (11, text + "\n" + "\n".join([line] * 50), "en", "a")]
+    assert sorted(r["doc_id"] for r in simhash.one_of_each_group(frame(apart + same)).collect()) == [0, 1, 2, 3, 4, 5, 10]

@@ -72,13 +72,17 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``, which needs doc_id (bigint) and text; fp is a bigint, or an array of ``words``."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, words: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row of ``docs``, which needs doc_id (bigint) and text; fp is a bigint, or an array of ``words``.
+
+    With ``distinct`` a shingle counts once however often the text repeats it.
+    """
     kind, arrow = ("bigint", pa.int64()) if words == 1 else ("array<bigint>", pa.list_(pa.int64()))
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(shingle_hashes(t.as_py(), width, seed), words) for t in b.column(1)]
+            hashes = (shingle_hashes(t.as_py(), width, seed) for t in b.column(1))
+            fps = [fingerprint(np.unique(h) if distinct else h, words) for h in hashes]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in fps] if words == 1 else fps, arrow)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, fp {kind}")
@@ -198,9 +202,9 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None =
     return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, words: int = 1, blocks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, words: int = 1, blocks: int | None = None, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that links reach."""
-    prints = written(fingerprints(docs, width, seed, words), "fingerprints")
+    prints = written(fingerprints(docs, width, seed, words, distinct), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = written(components(links(classes.select("fp"), radius, words, blocks)), "roots")
     grouped = roots.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
@@ -212,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
 def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 6, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group does; all columns stay.
 
-    Links are fingerprints of ``words`` times 64 bits whose share of differing bits is that of shingle sets
+    Links are fingerprints of ``words`` times 64 bits, of the distinct shingles, whose share of differing bits is that of shingle sets
     of Jaccard ``similarity``, and two standard deviations of its estimate more, so that pairs at the threshold
     are found. The document with the smallest id of a group stays, with all rows that repeat its id;
     rows without an id stay only if no member of their group has one.
@@ -220,6 +224,6 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = BITS * words
     radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-    groups = near_duplicates(docs, width, seed, radius, words, 5)
+    groups = near_duplicates(docs, width, seed, radius, words, 5, distinct=True)
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc_id")).distinct()
     return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc_id")), "left_semi")
