@@ -101,3 +101,24 @@ def test_one_of_each_group_counts_repeated_lines_once(spark, frame):
     text = prose(300)
     same = [(10, text + "\n" + loop, "en", "a"), (11, text + "\n" + "\n".join([line] * 50), "en", "a")]
     assert sorted(r["doc_id"] for r in simhash.one_of_each_group(frame(apart + same)).collect()) == [0, 1, 2, 3, 4, 5, 10]
+
+
+def test_one_of_each_group_equals_exact_jaccard(spark, frame, monkeypatch):
+    """Pairs and chains from 0.6 to 0.95, against groups by the exact similarity of all pairs; tiles of both kinds."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for family in range(40):
+        base = [word() for _ in range(200)]
+        for _ in range(6):
+            texts.append(" ".join(base))
+            for k in rng.sample(range(200), 1 + family % 10):
+                base[k] = word()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    want = set(classes(pairs, range(len(texts))).values())
+    assert 40 < len(want) < 240
+    docs = frame([(i, t, "en", "a") for i, t in enumerate(texts)])
+    assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == want
+    monkeypatch.setattr(simhash, "TILE", 3)
+    assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == want

@@ -11,10 +11,12 @@ pairs that are spread over tasks. Of a tile pair only a spanning forest of its l
 which connects the same fingerprints.
 
 With more blocks than the radius, as for 64 bits within 3, no link is lost: two fingerprints agree
-in one block at least. For shingle similarities such as 0.8 the radius is a sixth of the bits and
-``one_of_each_group`` uses blocks of 12 bits: of two texts whose shingle sets have Jaccard similarity
-J, a bit differs with probability p = arccos(2J / (1 + J)) / pi, so all of 30 blocks differ with
-probability (1 - (1 - p) ** 12) ** 30, 1 % at J = 0.8 and 0.1 % at J = 0.85.
+in one block at least. For shingle similarities such as 0.8 ``one_of_each_group`` uses fingerprints
+of 512 bits only to search for candidates, in 48 blocks of 10 or 11 bits and with a radius of three
+standard deviations more than the bits that differ at the threshold: of two texts whose shingle sets have
+Jaccard similarity J, a bit differs with probability p = arccos(2J / (1 + J)) / pi, so all blocks
+differ with probability 0.0001 at J = 0.8, and the radius misses 0.0013. Every candidate is then verified by
+the exact Jaccard similarity of the two shingle sets.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked like
 any other; rows that repeat an id and text share their row's result; a null doc_id is never a
@@ -72,22 +74,45 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, words: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``, which needs doc_id (bigint) and text; fp is a bigint, or an array of ``words``.
-
-    With ``distinct`` a shingle counts once however often the text repeats it.
-    """
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, words: int = 1) -> DataFrame:
+    """(doc_id, fp) of every row of ``docs``, which needs doc_id (bigint) and text; fp is a bigint, or an array of ``words``."""
     kind, arrow = ("bigint", pa.int64()) if words == 1 else ("array<bigint>", pa.list_(pa.int64()))
 
     def run(batches):
         for b in batches:
-            hashes = (shingle_hashes(t.as_py(), width, seed) for t in b.column(1))
-            fps = [fingerprint(np.unique(h) if distinct else h, words) for h in hashes]
+            fps = [fingerprint(shingle_hashes(t.as_py(), width, seed), words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in fps] if words == 1 else fps, arrow)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, f"doc_id bigint, fp {kind}")
 
 
+def set_fingerprints(docs: DataFrame, width: int, seed: int, words: int) -> DataFrame:
+    """(doc_id, row, fp): fingerprints of the distinct shingles, with a digest of their set as one more word; ``row`` tells an id's texts apart."""
+
+    def run(batches):
+        for b in batches:
+            fps = []
+            for t in b.column(1):
+                own = np.unique(shingle_hashes(t.as_py(), width, seed))
+                fps.append([*fingerprint(own, words), xxhash.xxh64_intdigest(own.tobytes(), seed) - (1 << 63)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "row", "fp"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id bigint, row bigint, fp array<bigint>")
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """(fp, hashes): the distinct shingle hashes of the texts that ``rows`` (doc_id, row, fp) names, one text for each fp."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), width, seed)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    found = texts.join(rows, F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("row"))).select("fp", "text")
+    return found.mapInArrow(run, "fp array<bigint>, hashes array<bigint>").groupBy("fp").agg(F.first("hashes").alias("hashes"))
+
+
 def _tiled(fps: DataFrame, radius: int, words: int, blocks: int) -> DataFrame:
     """(pair, part, fp): the fingerprints of each tile pair; part tells its two sides, or 0 for one tile alone.
 
@@ -135,8 +160,11 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32) if a.shape[-1] > 1 else np.bitwise_count(a[..., 0] ^ b[..., 0])
 
 
-def compare(fps: np.ndarray, part: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Rows of a spanning forest of the links within a tile (part 0) or between its two sides (1 and 2)."""
+def compare(fps: np.ndarray, part: np.ndarray, radius: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Rows of a spanning forest of the links within a tile (part 0) or between its two sides (1 and 2).
+
+    With ``label`` all links between rows of different labels instead.
+    """
     parent, kept = np.arange(len(fps)), []
     left = np.flatnonzero(part != 2)
     right = np.flatnonzero(part != 1)
@@ -145,7 +173,11 @@ def compare(fps: np.ndarray, part: np.ndarray, radius: int) -> list[tuple[int, i
         a, b = np.nonzero(_distance(fps[rows, None], fps[None, right]) <= radius)
         a, b = rows[a], right[b]
         once = a < b if not part.any() else a != b
-        kept += _forest(a[once], b[once], parent)
+        if label is not None:
+            once &= label[a] != label[b]
+            kept += zip(a[once].tolist(), b[once].tolist(), strict=True)
+        else:
+            kept += _forest(a[once], b[once], parent)
     return kept
 
 
@@ -160,18 +192,20 @@ def _shifted(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None = None, more: int = 0, labelled: bool = False) -> DataFrame:
     """(a, b): links that connect the pairs of distinct ``fp`` within ``radius`` bits of each other.
 
     ``blocks`` per word is ``radius + 1`` unless given; with fewer blocks in all than that, pairs
-    that differ in every block are not found.
+    that differ in every block are not found. ``fp`` may have ``more`` words that do not count as bits;
+    if ``labelled``, the last of them is a label, and all links between different labels are given.
     """
     tiled = _tiled(fps, radius, words, blocks or radius + 1)
     dealt = tiled.repartition(tasks(fps.sparkSession), "pair").sortWithinPartitions("pair")
-    kind, arrow = ("bigint", pa.int64()) if words == 1 else ("array<bigint>", pa.list_(pa.int64()))
+    whole = words + more
+    kind, arrow = ("bigint", pa.int64()) if whole == 1 else ("array<bigint>", pa.list_(pa.int64()))
 
     def rows_of(f):
-        return pa.array(f[:, 0].view(np.int64)) if words == 1 else pa.FixedSizeListArray.from_arrays(np.ascontiguousarray(f).view(np.int64).ravel(), words).cast(arrow)
+        return pa.array(f[:, 0].view(np.int64)) if whole == 1 else pa.FixedSizeListArray.from_arrays(np.ascontiguousarray(f).view(np.int64).ravel(), whole).cast(arrow)
 
     def solve(keys, part, f):
         """Runs of at most 32 rows at once, longer ones by their matrix."""
@@ -179,9 +213,12 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None =
         sizes = np.diff([0, *cuts, len(keys)])
         plain = (np.repeat(sizes, sizes) <= 32) & (np.repeat(np.maximum.reduceat(part, np.r_[0, cuts]), sizes) == 0)
         own = np.flatnonzero(plain)
-        out = [[own[x] for x in _shifted(keys[own], f[own], radius)]]
+        bits, label = f[:, :words], f[:, -1] if labelled else None
+        a, b = (own[x] for x in _shifted(keys[own], bits[own], radius))
+        out = [[a, b] if label is None else [a[label[a] != label[b]], b[label[a] != label[b]]]]
         for start, n in zip(np.r_[0, cuts], sizes, strict=True):
-            if not plain[start] and (found := compare(f[start : start + n], part[start : start + n], radius)):
+            stretch = slice(start, start + n)
+            if not plain[start] and (found := compare(bits[stretch], part[stretch], radius, None if label is None else label[stretch])):
                 out.append([start + np.array(x, np.int64) for x in zip(*found, strict=True)])
         a, b = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([rows_of(f[a]), rows_of(f[b])], names=["a", "b"])
@@ -189,8 +226,8 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None =
     def run(batches):
         held = None
         for batch in batches:
-            fp = batch.column(2) if words == 1 else batch.column(2).flatten()
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp.to_numpy().view(np.uint64).reshape(-1, words)]
+            fp = batch.column(2) if whole == 1 else batch.column(2).flatten()
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), fp.to_numpy().view(np.uint64).reshape(-1, whole)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             last = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last pair may go on
             if last:
@@ -202,28 +239,71 @@ def links(fps: DataFrame, radius: int = 3, words: int = 1, blocks: int | None =
     return dealt.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, words: int = 1, blocks: int | None = None, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that links reach."""
-    prints = written(fingerprints(docs, width, seed, words, distinct), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = written(components(links(classes.select("fp"), radius, words, blocks)), "roots")
+def _named(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``prints``: the smallest doc_id of the fingerprint's component."""
     grouped = roots.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     joined = roots.join(grouped, "root").select("node", "component_id")
     named = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 6, seed: int = 42) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each near-duplicate group does; all columns stay.
+def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: component_id is the smallest doc_id that links reach."""
+    prints = written(fingerprints(docs, width, seed), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = written(components(links(classes.select("fp"), radius)), "roots")
+    return _named(prints, classes, roots)
 
-    Links are fingerprints of ``words`` times 64 bits, of the distinct shingles, whose share of differing bits is that of shingle sets
-    of Jaccard ``similarity``, and two standard deviations of its estimate more, so that pairs at the threshold
-    are found. The document with the smallest id of a group stays, with all rows that repeat its id;
-    rows without an id stay only if no member of their group has one.
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
+    """(a, b, same): whether the shingle sets of each pair have Jaccard ``similarity``; written."""
+    nodes = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp"))).distinct()
+    rows = classes.join(nodes, "fp").select("text_of.doc_id", "text_of.row", "fp")
+    sets = written(shingle_sets(docs, rows, width, seed), "sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    same = F.coalesce(shared / F.nullif(F.size("x") + F.size("y") - shared, F.lit(0)) >= similarity, F.lit(False))
+    return written(both.select("a", "b", same.alias("same")), "verified")
+
+
+def similar_groups(docs: DataFrame, width: int, similarity: float, words: int, seed: int) -> DataFrame:
+    """(doc_id, fp, component_id) of every row, linked where the shingle sets have Jaccard ``similarity``.
+
+    Links within ``radius`` are candidates. A forest of them is verified first. A component whose forest holds is
+    connected whatever its other candidates are; in the others every candidate between what is not connected yet
+    is verified too. So no candidate that could join two groups is left out, and a group of n
+    near copies costs about n checks, not its pairs.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = BITS * words
-    radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-    groups = near_duplicates(docs, width, seed, radius, words, 5, distinct=True)
+    radius = int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    prints = written(set_fingerprints(docs, width, seed, words), "fingerprints")
+    one_text = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("text_of")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), one_text), "classes")
+    forest = written(links(classes.select("fp"), radius, words, 6, 1).distinct(), "candidates")
+    checked = _verified(forest, docs, classes, width, seed, similarity)
+    roots = written(components(checked.where("same")), "roots")
+    if checked.where("NOT same").limit(1).count():
+        reached = written(components(forest), "reached")
+        bad = checked.where("NOT same").join(reached, F.col("a") == F.col("node")).select("root").distinct()
+        open_nodes = reached.join(bad, "root").select(F.col("node").alias("fp"))
+        label = F.xxhash64(F.coalesce("root", "fp"))
+        labelled = open_nodes.join(roots, F.col("fp") == F.col("node"), "left").select(F.concat("fp", F.array(label)).alias("fp"))
+        pairs = links(written(labelled, "open"), radius, words, 6, 2, True).select(*[F.slice(c, 1, words + 1).alias(c) for c in ("a", "b")])
+        others = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        again = _verified(written(others, "candidates"), docs, classes, width, seed, similarity)
+        roots = written(components(checked.where("same").unionAll(again.where("same")).select("a", "b")), "roots")
+    return _named(prints, classes, roots)
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, words: int = 8, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each near-duplicate group does; all columns stay.
+
+    Two texts are linked if the sets of their shingles have Jaccard ``similarity`` or more, by exact comparison of
+    the pairs that fingerprints of ``words`` times 64 bits propose. The document with the smallest id of a
+    group stays, with all rows that repeat its id; rows without an id stay only if no member of
+    their group has one.
+    """
+    groups = similar_groups(docs, width, similarity, words, seed)
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc_id")).distinct()
     return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc_id")), "left_semi")
