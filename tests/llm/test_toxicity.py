@@ -79,3 +79,19 @@ def test_odd_rows(spark, frame, labelled, odd):
     empty = tox.fit(docs, labels.where("false"))
     assert empty.words == [] and tox.score(docs, empty).where("score >= 0.5").count() == 0
     assert tox.score(frame([]), lexicon).count() == 0
+
+
+def test_misspelt_first_letters_of_words_with_a_stem(spark, frame):
+    rng = random.Random(15)
+    rows, labels = [], []
+    for i in range(600):
+        ws = ["".join(rng.choice(["ta", "ne", "ri", "so", "lu"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+        if i % 6 == 0:
+            for k in rng.sample(range(60), 8):
+                ws[k] = rng.choice(["idiot", "idiots", "idiotic", "idiocy"])
+        rows.append((i, " ".join(ws), "en", "a"))
+        labels.append((i, 1, int(i % 6 == 0)))
+    lexicon = tox.fit(frame(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert "idio" in lexicon.stems
+    s = tox.Scorer(lexicon)
+    assert s.kind("idiotical") == "stems" and [s.kind(w) for w in ("idot", "iidiot", "xdiot", "odiotic")] == ["fuzzy"] * 4 and s.kind("radio") is None

@@ -248,8 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 5000, most_terms: i
     several = {(r["stem"], r["term"]) for r in _contexts(sample.where("label = 1"), found).where(F.col("n") >= contexts).collect()}
     terms = [r for r in rows if (r["stem"], r["term"]) in several][:most_terms]
     stems = {r["term"] for r in terms if r["stem"]}
-    covered = lambda t, own: any(t[:n] in stems for n in STEMS if n < len(t) + own)
-    lexicon = Lexicon([r["term"] for r in terms if not r["stem"] and not covered(r["term"], 0)], [t for t in stems if not covered(t, 0)])
+    covered = lambda t: any(t[:n] in stems for n in STEMS if n < len(t))
+    # Words with a stem stay, so that misspelt first letters are found; the stem only adds exact beginnings.
+    lexicon = Lexicon([r["term"] for r in terms if not r["stem"]], [t for t in stems if not covered(t)])
 
     def near(batches):
         scorer = Automaton(lexicon.words, lexicon.stems)
