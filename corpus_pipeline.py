@@ -24,8 +24,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group whose five-word shingles are similar to 0.8 or more."""
-    return simhash.one_of_each_group(docs)
+    """Keep one document of each group whose five-word shingles are similar to 0.8 or more; of these drop passages that an earlier one has."""
+    kept = written(simhash.one_of_each_group(docs), "near-dedup-kept")
+    return line_templates.drop_passages(kept).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

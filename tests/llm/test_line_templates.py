@@ -85,3 +85,14 @@ def test_odd_rows(frame, odd):
 
 def test_main_path_is_native(frame):
     assert "Python" not in lt.drop_recurring(frame([(1, "a b", "en", "a")]))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_passages_of_two_documents(frame):
+    """Over 50 tokens from two documents on; shorter lines, and repeats within one document, stay."""
+    words = lambda c, n: " ".join(f"{c}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+    two, four, short, own = words("t", 51), words("f", 60), words("s", 50), words("o", 70)
+    rows = [(i, "\n".join([f"intro {'abcdef'[i]}", *[two] * (i in (1, 4)), *[four] * (i in (0, 2, 3, 5)), short, *[own] * (2 * (i == 2))]), "en", "a") for i in range(6)]
+    out = lt.drop_passages(frame([*rows, (None, two, "en", "a"), (7, None, "en", "a")]))
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert [i for i in range(6) if two in got[i]] == [1] and [i for i in range(6) if four in got[i]] == [0]
+    assert all(short in got[i] for i in range(6)) and got[2].count(own) == 2 and got[None] == "" and got[7] is None

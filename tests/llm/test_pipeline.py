@@ -39,3 +39,13 @@ def test_stages_take_effect(spark, frame):
 def test_run_reads_documents(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copies"]
+
+
+def test_passage_of_two_documents_stays_in_one(spark, frame):
+    rng = random.Random(17)
+    prose = lambda n: " ".join("".join(rng.choice("bcdfgklmnprstaeiou") for _ in range(6)) for _ in range(n))
+    passage = prose(60)
+    docs = frame([(i, f"{prose(90)}\n{passage}\n{prose(40)}", "en", "a") for i in range(2)])
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.simhash_near_dedup):
+        docs = stage(spark, docs, "")
+    assert sorted((r["doc_id"], passage in r["text"]) for r in docs.collect()) == [(0, True), (1, False)]

@@ -7,6 +7,10 @@ belongs to its leaf's template if it has the constant token at ``SIMILAR`` of al
 least; otherwise it is a template of its own. Templates that recur in ``least`` documents or more are
 dropped from all but the document with the smallest id, which keeps its lines.
 
+``drop_passages`` is for lines long enough that no two documents have them by chance: a masked line of over
+``tokens`` tokens is dropped word for word from two documents on. The pipeline runs it once near
+copies are gone; before, it would leave rests of copies that are no longer near any document.
+
 Digests of lines are shuffled, not texts; equal lines are counted before the shuffle, so a hot line
 or leaf is a few rows. Only leaves with ``least`` documents get their lines' tokens looked at. Texts
 move once, to meet the places of their dropped lines; documents that lose nothing meet none.
@@ -34,17 +38,22 @@ def tokens_of(masked: Column) -> Column:
     return F.split(masked, " ")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, over: int = 0) -> DataFrame:
     """(doc_id, row, at, masked, leaf, line): the lines with a token, ``row`` telling a doc_id's texts apart.
 
     ``masked`` has variable fields for tokens with digits and single spaces; ``leaf`` is a hash of the
     leaf (should two meet, their lines are compared, no more), ``line`` the MD5 digest of the masked line.
+    Only lines of more than ``over`` tokens.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    if over:
+        rows = rows.where(F.length("raw") > 2 * over)  # so many tokens and the spaces between them
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
     spaced = F.trim(F.regexp_replace(masked, SPACE, " "))
     rows = rows.select("doc_id", "row", "at", spaced.alias("masked")).where("masked <> ''")
     gaps = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    if over:
+        rows = rows.where(gaps >= over)
     leaf = F.concat_ws(" ", gaps.cast("string"), F.substring_index("masked", " ", DEPTH))
     return rows.withColumns({"leaf": F.xxhash64(leaf), "line": F.unhex(F.md5("masked"))})
 
@@ -78,11 +87,8 @@ def templates(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     return named.join(often, "template").select("line", "template", "docs", "first")
 
 
-def drop_recurring(docs: DataFrame, least: int = 5) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with ``text`` lacking recurring lines, and n_lines and n_dropped."""
-    texts = docs.select("doc_id", "text")
-    lines = written(lines_of(texts).drop("masked"), "lines")
-    often = templates(texts, lines, least).select("line", "first")
+def _without(docs: DataFrame, lines: DataFrame, often: DataFrame) -> DataFrame:
+    """``docs`` without the ``lines`` that are in ``often`` (line, first), but for the first document, and n_lines and n_dropped."""
     lost = lines.select("doc_id", "row", "at", "line").join(often, "line").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     lost = lost.groupBy(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row")).agg(F.collect_set("at").alias("__lost"))  # of one document
     kept = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__row")), "left")
@@ -94,3 +100,17 @@ def drop_recurring(docs: DataFrame, least: int = 5) -> DataFrame:
         F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("__lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+
+
+def drop_recurring(docs: DataFrame, least: int = 5) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with ``text`` lacking recurring lines, and n_lines and n_dropped."""
+    texts = docs.select("doc_id", "text")
+    lines = written(lines_of(texts).drop("masked"), "lines")
+    return _without(docs, lines, templates(texts, lines, least).select("line", "first"))
+
+
+def drop_passages(docs: DataFrame, tokens: int = 50) -> DataFrame:
+    """As ``drop_recurring``, of the lines with over ``tokens`` tokens that two documents have, variable fields masked."""
+    lines = written(lines_of(docs.select("doc_id", "text"), tokens).select("doc_id", "row", "at", "line"), "passages")
+    seen = lines.select("line", "doc_id").distinct().groupBy("line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    return _without(docs, lines, seen.where("docs > 1").select("line", "first"))
