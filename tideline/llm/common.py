@@ -42,3 +42,25 @@ def bounded_sample(labelled: DataFrame, label: str, per_label: int) -> DataFrame
     order = F.row_number().over(W.partitionBy("label").orderBy("u", "doc_id"))
     return near.withColumn("at", order).where(F.col("at") <= per_label).select("doc_id", "label")
 
+
+#: Rows of one key from which a lookup deals them out, and over how many parts.
+HEAVY, SALTS = 1000, 64
+
+
+def salted_lookup(rows: DataFrame, facts: DataFrame, key: str, count: str, spread: Column) -> DataFrame:
+    """``rows`` with the columns of the row of ``facts`` that has their ``key``; rows without one go.
+
+    ``facts`` has one row for each key, and ``count`` tells how many rows have it. Keys of more than HEAVY
+    rows are copied to SALTS parts, among which ``spread`` deals the rows, so no task gets all rows of a
+    key. They are at most one in HEAVY rows, so the copies are fewer than the rows themselves.
+    """
+    own = rows.columns
+    found = F.struct(*[c for c in facts.columns if c != key])
+    many = facts.where(F.col(count) > HEAVY).select(F.col(key).alias("__many_key"), found.alias("__many"), F.explode(F.sequence(F.lit(1), F.lit(SALTS))).alias("__part"))
+    # the zero comes from a column, so that it stays a part of the join's key
+    few = facts.where(F.col(count) <= HEAVY).select(F.col(key).alias("__few_key"), found.alias("__few"), F.pmod(F.col(count), F.lit(1)).cast("int").alias("__zero"))
+    dealt = rows.withColumn("__salt", (F.pmod(spread, F.lit(SALTS)) + 1).cast("int"))
+    dealt = dealt.join(many, (F.col(key) == F.col("__many_key")) & (F.col("__salt") == F.col("__part")), "left")
+    dealt = dealt.withColumn("__salt", F.when(F.col("__many").isNull(), 0).otherwise(F.col("__salt")))
+    both = dealt.join(few, (F.col(key) == F.col("__few_key")) & (F.col("__salt") == F.col("__zero")), "left").withColumn("__fact", F.coalesce("__many", "__few"))
+    return both.where("__fact IS NOT NULL").select(*own, "__fact.*")

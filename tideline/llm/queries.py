@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bm25, chat, langid, latent, line_templates, mixing, simhash, token_cache, toxicity, warc
+from tideline.llm import bm25, chat, covertree, crosspolytope, langid, latent, line_templates, mixing, simhash, token_cache, toxicity, warc
 from tideline.llm.common import held_out, table
 from tideline.session import shared_folder, written
 
@@ -150,3 +150,35 @@ def op10_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for the whole text of every document whose id is divisible by 50."""
     docs = table(spark, sf_dir, "documents")
     return bm25.search(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
+@query("op11_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of all vectors whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return covertree.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op13_vector_near_dedup", """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x, coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding) AND len(list_filter(embedding, lambda c: c <> 0)) > 0, false) AS usable
+  FROM embeddings),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE a.usable AND b.usable AND list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.95),
+c AS (SELECT r, r AS reached FROM v UNION SELECT c.r, l.b FROM c JOIN l ON c.reached = l.a),
+g AS (SELECT c.r, min(v.vec_id) AS component_id FROM c JOIN v ON c.reached = v.r GROUP BY c.r),
+n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN g USING (r) LEFT JOIN n USING (r)""")
+def op13_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.95 or more."""
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
