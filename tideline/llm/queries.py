@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bm25, chat, covertree, crosspolytope, langid, latent, line_templates, mixing, simhash, token_cache, toxicity, warc
+from tideline.llm import alignment, bm25, chat, covertree, crosspolytope, langid, latent, line_templates, mixing, simhash, token_cache, toxicity, warc
 from tideline.llm.common import held_out, table
 from tideline.session import shared_folder, written
 
@@ -182,3 +182,11 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 def op13_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with a cosine of 0.95 or more."""
     return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of two tokenizers, linked and grouped by the bytes they stand for."""
+    import public_tokenizers
+
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
