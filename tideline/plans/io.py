@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tideline.plans.quality import _ALL as CHECKS_SQL
 from tideline.plans.quality import EXT, M, rows
 from tideline.plans.registry import query
 from tideline.session import shared_folder
+from tideline.sources import fetch as fe
 from tideline.sources import readers as rd
 from tideline.sources import writers as wr
 from tideline.streaming import jobs
@@ -199,3 +201,95 @@ def stream_post_rollup(spark, d):
     return epoch(spark.read.parquet(f"{path}/table")).select("ts", "sentiment_score", "post_count", "avg_score")
 
 
+# --- sources by time range and datasets by name ---------------------------------------------
+
+def event_slices(d) -> fe.SlicedSource:
+    """Events as a service that is asked for one day at a time."""
+
+    def fetch_data(start, end):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        a, b = (pa.scalar(t.replace(tzinfo=None), pa.timestamp("us")) for t in (start, end))
+        rows = ds.dataset(f"{d}/events.parquet").to_table(columns=["ts", "event_id", "event_type", "value"], filter=(pc.field("ts") >= a) & (pc.field("ts") < b))
+        yield from rows.set_column(0, "ts", rows.column("ts").cast(pa.timestamp("us", tz="UTC"))).to_batches()
+
+    first, last = datetime(2023, 12, 1), datetime(2024, 3, 1)
+    return fe.SlicedSource("event_slices", "ts timestamp, event_id bigint, event_type string, value double", fetch_data, first, last, timedelta(days=5))
+
+
+def order_files(d) -> fe.TableSource:
+    return fe.TableSource(f"{d}/orders.parquet", "o_orderdate", (("price", "o_totalprice"), ("status", "o_orderstatus")))
+
+
+def datasets(d) -> fe.Datasets:
+    """Preparations of the sources of ``d`` by name."""
+    sets = fe.Datasets()
+
+    @sets.register("orders")
+    def orders(spark, start, end):
+        return order_files(d).fetch(spark, start, end)
+
+    @sets.register("orders_by_day")
+    def orders_by_day(spark, start, end, status=None):
+        rows = orders(spark, start, end)
+        rows = rows if status is None else rows.where(F.col("status") == status)
+        return rows.groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.count("*").alias("n"), F.avg("price").alias("level"))
+
+    @sets.register("events_by_hour")
+    def events_by_hour(spark, start, end):
+        rows = event_slices(d).fetch(spark, start, end)
+        return rows.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.count("*").alias("n"), F.avg("value").alias("level"))
+
+    return sets
+
+
+@query("source_range", """SELECT 'orders' AS source, epoch(o_orderdate)::BIGINT AS ts, o_totalprice AS value FROM orders
+WHERE o_orderdate >= TIMESTAMP '1996-03-01 12:00:00' AND o_orderdate < TIMESTAMP '1999-03-01'
+UNION ALL SELECT 'events', floor(epoch(ts))::BIGINT, value FROM events WHERE ts >= TIMESTAMP '2024-01-04 06:00:00' AND ts < TIMESTAMP '2024-01-20'""", "value")
+def source_range(spark, d):
+    """Rows of one time range of each source: of the files by the scan's filter, of the slices by the calls that are made."""
+    o = order_files(d).fetch(spark, datetime(1996, 3, 1, 12), datetime(1999, 3, 1)).select(F.lit("orders").alias("source"), "ts", F.col("price").alias("value"))
+    e = event_slices(d).fetch(spark, datetime(2024, 1, 4, 6), datetime(2024, 1, 20)).select(F.lit("events").alias("source"), "ts", "value")
+    return epoch(o.unionByName(e))
+
+
+@query("dataset_registry", """SELECT 'orders_by_day' AS dataset, epoch(date_trunc('day', o_orderdate))::BIGINT AS ts, count(*) AS n, avg(o_totalprice) AS level FROM orders GROUP BY ALL
+UNION ALL SELECT 'finished_by_day', epoch(date_trunc('day', o_orderdate))::BIGINT, count(*), avg(o_totalprice) FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL
+UNION ALL SELECT 'events_by_hour', epoch(date_trunc('hour', ts))::BIGINT, count(*), avg(value) FROM events GROUP BY ALL""", "level", digits=4)
+def dataset_registry(spark, d):
+    """Whole datasets by name, one with a setting of its preparation."""
+    sets, start, end = datasets(d), datetime(1990, 1, 1), datetime(2030, 1, 1)
+    asked = {"orders_by_day": ("orders_by_day", {}), "finished_by_day": ("orders_by_day", {"status": "F"}), "events_by_hour": ("events_by_hour", {})}
+    parts = [sets.load(spark, name, start, end, **more).select(F.lit(n).alias("dataset"), "ts", "n", "level") for n, (name, more) in asked.items()]
+    return epoch(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+_HOURLY_EVENTS = "(SELECT date_trunc('hour', ts) AS ts, count(*) AS n, avg(value) AS level FROM events GROUP BY 1)"
+
+
+@query("source_aligned", f"""WITH {EVENT_TICKS}, h AS {_HOURLY_EVENTS}, o AS (SELECT o_orderdate + INTERVAL 8500 DAY AS ts, o_totalprice AS price, o_orderkey AS seq FROM orders),
+x AS (SELECT ts, arg_max(price, seq) AS price FROM o GROUP BY 1)
+SELECT h.series_key, h.seq, e.n_events, e.level, x.price FROM (SELECT * FROM event_ticks WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25') h
+ASOF LEFT JOIN (SELECT ts + INTERVAL 1 HOUR AS ts, n AS n_events, level FROM (SELECT * FROM {_HOURLY_EVENTS} WHERE ts >= TIMESTAMP '2024-01-01')) e ON h.ts >= e.ts
+ASOF LEFT JOIN x ON h.ts >= x.ts""", "level price", digits=4)
+def source_aligned(spark, d):
+    """Ticks of a range with the last closed hour of the event service and the last order, both fetched by time range."""
+
+    class Hours:
+        def fetch(self, spark, start, end):
+            hours = datasets(d).load(spark, "events_by_hour", start, end)
+            return hours.select((F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.col("n").alias("n_events"), "level")
+
+    class Orders:
+        """Orders as if they came 8500 days later; the last one of a moment counts."""
+
+        def fetch(self, spark, start, end):
+            late = timedelta(days=8500)
+            rows = fe.TableSource(f"{d}/orders.parquet", "o_orderdate", (("price", "o_totalprice"), ("seq", "o_orderkey"))).fetch(spark, datetime(1990, 1, 1), end - late)
+            return rows.select((F.col("ts") + F.expr("INTERVAL 8500 DAYS")).alias("ts"), "seq", "price")
+
+    ticks = table(spark, d, "events").select(F.col("event_type").alias("series_key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
+    out = fe.aligned(spark, ticks, {"hours": Hours(), "orders": Orders()}, datetime(2024, 1, 3), datetime(2024, 1, 25), timedelta(days=2))
+    return out.select("series_key", F.col("id").alias("seq"), "n_events", "level", "price")
