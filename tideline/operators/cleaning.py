@@ -7,6 +7,7 @@ a series has no row bound. Copies collapse in partial aggregates before any shuf
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tideline.functions.nulls import ratio
 from tideline.functions.rolling import from_end, series_window, so_far
 from tideline.operators.bars import PRICES
 from tideline.operators.ordered import running
+from tideline.session import written
 
 KEYS = ("series_key",)
 TIME_COLUMNS = ("ts", "timestamp", "datetime", "date")
@@ -115,28 +117,82 @@ def fill_mode(df: DataFrame, column: str, keys: Sequence[str], default: str = "u
     return d.withColumn(column, F.coalesce(column, "__mode", F.lit(default))).drop("__mode")
 
 
-def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5, reach: int = 15,
-               keys: Sequence[str] = KEYS, order=("ts",)) -> DataFrame:
-    """Mean of the k nearest rows within ``reach`` rows before and after.
+def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5, keys: Sequence[str] = KEYS, order=("ts",)) -> DataFrame:
+    """Missing ``target`` becomes the mean of the k nearest rows of the whole series that have one.
 
-    Distance over the features both rows have, scaled up for missing ones. The neighbourhood
-    is a window frame, so no row is ever compared with more than ``2 * reach`` others.
+    Distance over the features both rows have, scaled up for missing ones; equal distances go by
+    order. Exact, by ``nearest``. Rows without a donor stay NULL.
     """
-    w = series_window(keys, order)
-    numbered = df.withColumn("__i", F.row_number().over(w))
-    donor = F.when(F.col(target).isNotNull(), F.struct("__i", F.col(target).alias("y"), *[F.col(f).alias(f"f_{f}") for f in features]))
-    d = numbered.withColumn("__near", F.when(F.col(target).isNull(), F.collect_list(donor).over(w.rowsBetween(-reach, reach))))
-
-    def far(n: Column) -> Column:
-        squares = [F.pow(F.col(f) - n.getField(f"f_{f}"), F.lit(2.0)) for f in features]
-        present = sum(F.when(s.isNotNull(), 1).otherwise(0) for s in squares)
-        total = sum(F.coalesce(s, F.lit(0.0)) for s in squares)
-        return F.sqrt(ratio(total * len(features), present))
-
-    scored = F.transform("__near", lambda n: F.struct(far(n).alias("far"), n.getField("__i").alias("i"), n.getField("y").alias("y")))
-    nearest = F.slice(F.array_sort(F.filter(scored, lambda s: s.getField("far").isNotNull())), 1, k)
-    mean = ratio(F.aggregate(nearest, F.lit(0.0), lambda a, s: a + s.getField("y")), F.size(nearest).cast("double"))
-    return d.withColumn(target, F.coalesce(F.col(target), mean)).drop("__near", "__i")
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.withColumn("__i", F.row_number().over(series_window(keys, order)))
+    base = written(rows.select(*keys, "__i", F.col(target).cast("double").alias("__y"), x.alias("__x")), "knn")
+    found = nearest(base, k, len(features), keys).groupBy(*keys, "__i").agg(F.avg("y").alias("__mean"))
+    return rows.join(found, [*keys, "__i"], "left").withColumn(target, F.coalesce(F.col(target), F.col("__mean"))).drop("__mean", "__i")
+
+
+#: How much wider the cells of the next round are.
+WIDER = 4.0
+
+
+def nearest(base: DataFrame, k: int, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, __i, far, i, y): the k nearest donors of every row without a value, by cells that widen.
+
+    ``base`` is a written table (keys, __i, __y, __x) with ``n`` features in __x. A row looks at the cells around its own on
+    a grid over two of the features that it shares with a donor. Once it has k donors and the k-th is no
+    farther than one cell, nothing outside can be nearer. Rows that have k donors, but not that close, look once more with cells as wide
+    as the k-th is far; rows with fewer go on with cells WIDER times as wide, at most until one cell spans the series. So a row
+    in a dense part meets the few donors around it, and every join is by equal cells.
+
+    Rows differ in the features they have. A grid stands for one set of donors with the same features and the
+    features of the grid, and only those that some row asks for are made.
+    """
+    keys = list(keys)
+    mask = sum(F.when(F.col("__x")[j].isNotNull(), 1 << j).otherwise(0) for j in range(n))
+    rows = base.withColumn("__mask", mask).where("__mask > 0")
+    donors = rows.where("__y IS NOT NULL")
+    low, high, sd = [[f(F.col("__x")[j]) for j in range(n)] for f in (F.min, F.max, F.stddev_samp)]
+    size = rows.groupBy(*keys).agg(*[(b - a).alias(f"__r{j}") for j, (a, b) in enumerate(zip(low, high, strict=True))])
+    dense = donors.groupBy(*keys).agg(F.count("*").alias("__n"), *[s.alias(f"__s{j}") for j, s in enumerate(sd)])
+    most = lambda c: F.greatest(*[F.coalesce(F.col(f"__{c}{j}"), F.lit(0.0)) for j in range(n)], F.lit(0.0))
+    # cells that hold about k donors each where the donors are spread evenly
+    width = 4 * most("s") / F.pow(F.greatest(F.col("__n") / k, F.lit(1.0)), F.lit(1.0 / min(n, 2)))
+    grid = size.join(dense, keys).select(*keys, F.when(width > 0, width).when(most("r") > 0, most("r")).otherwise(F.lit(1.0)).alias("__w0"), most("r").alias("__range"))
+    level = lambda x: F.greatest(F.ceil(F.log(F.greatest(x / F.col("__w0"), F.lit(1.0))) / F.log(F.lit(WIDER))).cast("int"), F.lit(0))
+    grid = written(grid.withColumn("__top", level(F.col("__range") * 1.0000001) + 1), "grid")
+    kinds = donors.select(*keys, F.col("__mask").alias("__kind")).distinct()
+    bits = lambda shared: F.filter(F.array(*[F.lit(j) for j in range(n)]), lambda j: F.call_function("shiftright", shared, j).bitwiseAND(F.lit(1)) == 1)
+    cell = lambda j, w: F.when(j.isNotNull(), F.floor(F.element_at("__x", j + 1) / w)).otherwise(F.lit(0))
+    first = rows.where("__y IS NULL").join(grid.select(*keys, "__w0", "__top"), keys).withColumn("__level", F.lit(0))
+    open_, done = written(first.select(*keys, "__i", "__x", "__mask", "__w0", "__top", "__level"), "knn-open"), []
+    while open_.limit(1).count():
+        asked = open_.join(kinds, keys).withColumn("__shared", F.col("__mask").bitwiseAND(F.col("__kind"))).where("__shared > 0")
+        asked = asked.withColumn("__bits", bits(F.col("__shared"))).withColumn("__w", F.col("__w0") * F.pow(F.lit(WIDER), F.col("__level")))
+        asked = asked.withColumns({"__a": F.get("__bits", F.lit(0)), "__b": F.get("__bits", F.lit(1))})
+        at = [*keys, "__kind", "__a", "__b", "__level"]
+        wanted = asked.select(*at, "__w").distinct()
+        there = donors.select(*keys, F.col("__mask").alias("__kind"), F.col("__i").alias("i"), F.col("__y").alias("y"), "__x").join(wanted, [*keys, "__kind"])
+        there = there.select(*at, cell(F.col("__a"), F.col("__w")).alias("__ca"), cell(F.col("__b"), F.col("__w")).alias("__cb"), "i", "y", F.col("__x").alias("__d"))
+        around = lambda j: F.when(j.isNotNull(), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        asked = asked.withColumn("__ca", F.explode(F.transform(around(F.col("__a")), lambda s: cell(F.col("__a"), F.col("__w")) + s)))
+        asked = asked.withColumn("__cb", F.explode(F.transform(around(F.col("__b")), lambda s: cell(F.col("__b"), F.col("__w")) + s)))
+        # a missing second feature is one value on both sides
+        both = asked.withColumn("__b", F.coalesce("__b", F.lit(-1))).join(there.withColumn("__b", F.coalesce("__b", F.lit(-1))), [*at, "__ca", "__cb"])
+        gaps = [F.col("__x")[j] - F.col("__d")[j] for j in range(n)]
+        total = sum((F.coalesce(g * g, F.lit(0.0)) for g in gaps[1:]), F.coalesce(gaps[0] * gaps[0], F.lit(0.0)))
+        present = sum(F.when(g.isNotNull(), 1).otherwise(0) for g in gaps)
+        far = F.sqrt(total * F.lit(float(n)) / present)
+        w = Window.partitionBy(*keys, "__i").orderBy("far", "i")
+        best = both.select(*keys, "__i", far.alias("far"), "i", "y").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k)
+        best = written(best.drop("__k"), "knn-best")
+        state = open_.join(best.groupBy(*keys, "__i").agg(F.count("*").alias("__have"), F.max("far").alias("__far")), [*keys, "__i"], "left")
+        state = state.withColumn("__full", F.coalesce(F.col("__have") >= k, F.lit(False)))
+        sure = F.col("__full") & (F.col("__far") <= F.col("__w0") * F.pow(F.lit(WIDER), F.col("__level"))) | (F.col("__level") >= F.col("__top"))
+        state = written(state.withColumn("__sure", sure), "knn-state")
+        done.append(best.join(state.where("__sure").select(*keys, "__i"), [*keys, "__i"], "left_semi"))
+        next_ = F.greatest(F.col("__level") + 1, F.when(F.col("__full"), level(F.col("__far") * 1.0000001)).otherwise(F.lit(0)))
+        open_ = written(state.where("NOT __sure").select(*open_.columns[:-1], F.least(next_, F.col("__top")).alias("__level")), "knn-open")
+    empty = base.limit(0).select(*keys, "__i", F.lit(0.0).alias("far"), F.col("__i").alias("i"), F.col("__y").alias("y"))
+    return reduce(lambda a, b: a.unionByName(b), done, empty)
 
 
 def impute_chain(df: DataFrame, external: Sequence[str] = (), keys: Sequence[str] = KEYS, order=("ts",)) -> DataFrame:

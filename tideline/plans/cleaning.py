@@ -145,16 +145,17 @@ def impute_chain(spark, d):
     return epoch(cl.impute_chain(dirty_bars(spark, d), order=("ts", "seq")))
 
 
-@query("impute_knn", f"""WITH {DIRTY}, n AS (SELECT *, row_number() OVER ({SEQW}) AS i FROM dirty),
-pairs AS (
-  SELECT a.series_key, a.seq, b.i, b.volume AS y,
-    sqrt((coalesce(pow(a.close - b.close, 2), 0) + coalesce(pow(a.open - b.open, 2), 0)) * 2.0
-      / nullif((CASE WHEN a.close - b.close IS NULL THEN 0 ELSE 1 END) + (CASE WHEN a.open - b.open IS NULL THEN 0 ELSE 1 END), 0)) AS far
-  FROM n a JOIN n b ON a.series_key = b.series_key AND b.i BETWEEN a.i - 15 AND a.i + 15
-  WHERE a.volume IS NULL AND b.volume IS NOT NULL),
-near AS (SELECT series_key, seq, avg(y) AS guess FROM (
-  SELECT *, row_number() OVER (PARTITION BY series_key, seq ORDER BY far, i) AS k FROM pairs WHERE far IS NOT NULL) WHERE k <= 5 GROUP BY 1, 2)
-SELECT series_key, {TS}, seq, coalesce(volume, guess) AS volume FROM n LEFT JOIN near USING (series_key, seq)""", "volume")
+# every row without a volume against every row of its series that has one
+KNN = """n AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY ts, seq) AS i FROM dirty),
+blank AS (SELECT * FROM n WHERE volume IS NULL), donor AS (SELECT * FROM n WHERE volume IS NOT NULL),
+gaps AS (SELECT a.series_key, a.i, b.i AS j, b.volume AS y, a.close - b.close AS c, a.open - b.open AS o FROM blank a JOIN donor b USING (series_key)),
+ranked AS (SELECT series_key, i, y, row_number() OVER (PARTITION BY series_key, i
+    ORDER BY sqrt((coalesce(c * c, 0) + coalesce(o * o, 0)) * 2.0::DOUBLE / ((c IS NOT NULL)::INT + (o IS NOT NULL)::INT)), j) AS k FROM gaps WHERE c IS NOT NULL OR o IS NOT NULL),
+near AS (SELECT series_key, i, avg(y) AS guess FROM ranked WHERE k <= 5 GROUP BY 1, 2)"""
+
+
+@query("impute_knn", f"""WITH {DIRTY}, {KNN}
+SELECT series_key, {TS}, seq, coalesce(volume, guess) AS volume FROM n LEFT JOIN near USING (series_key, i)""", "volume")
 def impute_knn(spark, d):
     out = cl.impute_knn(dirty_bars(spark, d), "volume", ["close", "open"], order=("ts", "seq"))
     return epoch(out).select("series_key", "ts", "seq", "volume")
@@ -220,6 +221,48 @@ def enhance(spark, d):
     return epoch(out).select("series_key", "ts", *PV, "avg_price", "missing_data_ratio", "data_quality_score")
 
 
+# the repair step by step; prices go forward, the external column by neighbours, then everything backward, linear and by the median
+ALL = [*PV, "avg_price"]
+_GAP = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in P)
+_BOTH = " + ".join(f"(a.{c} IS NOT NULL AND b.{c} IS NOT NULL)::INT" for c in P)
+_LINE = ("CASE WHEN {c} IS NOT NULL THEN {c} ELSE " + _FF + " + coalesce((" + _BF + " - " + _FF + ") * (i - last_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER (" + SEQW + " ROWS UNBOUNDED PRECEDING)) / "
+         "(first_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER (" + SEQW + " ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - last_value(CASE WHEN {c} IS NOT NULL THEN i END IGNORE NULLS) OVER (" + SEQW + " ROWS UNBOUNDED PRECEDING)), 0) END")
+REPAIR = f"""{DIRTY}, {ORDER_DAYS},
+ext AS (SELECT d.*, row_number() OVER ({SEQW}) AS i, CASE WHEN seq % 7 = 0 THEN NULL ELSE o.avg_price END AS avg_price FROM dirty d LEFT JOIN order_days o USING (ts)),
+fwd AS (SELECT series_key, ts, seq, i, {_each(_FF, P)}, volume, avg_price FROM ext),
+gap AS (SELECT a.series_key, a.i, b.i AS j, b.avg_price AS y, {_GAP} AS total, {_BOTH} AS present FROM fwd a JOIN fwd b USING (series_key) WHERE a.avg_price IS NULL AND b.avg_price IS NOT NULL),
+rank AS (SELECT *, row_number() OVER (PARTITION BY series_key, i ORDER BY sqrt(total * 4.0::DOUBLE / present), j) AS k FROM gap WHERE present > 0),
+guess AS (SELECT series_key, i, avg(y) AS guess FROM rank WHERE k <= 5 GROUP BY 1, 2),
+knn AS (SELECT series_key, ts, seq, i, {COLS}, coalesce(avg_price, guess) AS avg_price FROM fwd LEFT JOIN guess USING (series_key, i)),
+bwd AS (SELECT series_key, ts, seq, i, {_each(_BF, ALL)} FROM knn),
+line AS (SELECT series_key, ts, seq, {_each(_LINE, ALL)} FROM bwd),
+med AS (SELECT series_key, {", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in ALL)} FROM line GROUP BY 1),
+whole AS (SELECT l.series_key, l.ts, l.seq, {", ".join(f"coalesce(l.{c}, m.{c}) AS {c}" for c in ALL)} FROM line l JOIN med m USING (series_key))"""
+
+
+@query("impute_chain_external", f"WITH {REPAIR} SELECT series_key, {TS}, seq, {', '.join(ALL)} FROM whole", " ".join(ALL), digits=4)
+def impute_chain_external(spark, d):
+    """Every step of the chain, with an order figure as external column."""
+    return epoch(cl.impute_chain(external_bars(spark, d), ["avg_price"], order=("ts", "seq"))).select("series_key", "ts", "seq", *ALL)
+
+
+def external_bars(spark, d):
+    gap = F.when(F.col("seq") % 7 != 0, F.col("avg_price")).alias("avg_price")
+    return dirty_bars(spark, d).join(order_days(spark, d).select("ts", "avg_price"), "ts", "left").select("series_key", "ts", "seq", *PV, gap)
+
+
+@query("enhance_flagged", f"""WITH {REPAIR},
+q AS (SELECT series_key, {", ".join(f"quantile_cont({c}, 0.05) AS {c}_lo, quantile_cont({c}, 0.95) AS {c}_hi" for c in PV)} FROM whole GROUP BY 1),
+w AS (SELECT series_key, ts, seq, avg_price, {", ".join(f"CASE WHEN seq % 10 = 0 THEN least(greatest({c}, {c}_lo), {c}_hi) ELSE {c} END AS {c}" for c in PV)} FROM whole JOIN q USING (series_key)),
+f AS (SELECT series_key, ts, seq, avg_price, open, greatest(high, open, close) AS high, least(low, open, close) AS low, close, greatest(volume, 0) AS volume FROM w)
+SELECT series_key, {TS}, {", ".join(ALL)}, 0.0::DOUBLE AS missing_data_ratio, (1.0 + (CASE WHEN volume > 0 THEN 1.0 ELSE 0.0 END) + 1.0)::DOUBLE / 3 AS data_quality_score
+FROM f QUALIFY row_number() OVER (PARTITION BY series_key, ts ORDER BY seq) = 1""", " ".join([*ALL, "missing_data_ratio", "data_quality_score"]), digits=4)
+def enhance_flagged(spark, d):
+    """The whole repair with every tenth row as an outlier."""
+    out = cl.enhance(external_bars(spark, d), "2002-01-01", ["avg_price"], F.col("seq") % 10 == 0)
+    return epoch(out).select("series_key", "ts", *ALL, "missing_data_ratio", "data_quality_score")
+
+
 @query("row_quality", f"""WITH {DIRTY}, m AS (SELECT *,
   ((CASE WHEN open IS NULL THEN 1 ELSE 0 END) + (CASE WHEN high IS NULL THEN 1 ELSE 0 END) + (CASE WHEN low IS NULL THEN 1 ELSE 0 END)
   + (CASE WHEN close IS NULL THEN 1 ELSE 0 END) + (CASE WHEN volume IS NULL THEN 1 ELSE 0 END)) / 5.0::DOUBLE AS missing_data_ratio FROM dirty)
