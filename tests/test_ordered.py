@@ -88,3 +88,32 @@ def test_exact_quantiles(skewed):
             assert got[(k, p)] == pytest.approx(np.quantile(g["x"], p)), (k, p)
     whole = od.exact_quantiles(rounded, [], "x", [0.5]).first()["quantile"]
     assert whole == pytest.approx(np.quantile(pdf["x"], 0.5))
+
+
+@pytest.mark.parametrize("n,accuracy", [(7, 100), (3000, 1000), (30_000, 1000)])
+def test_exact_quantiles_of_few_and_many_values(spark, n, accuracy):
+    """Groups below and above the size from which the sketch cuts rows out; skewed values, ties, nulls and an empty group."""
+    import random
+
+    r = random.Random(n)
+    rows = [("a", r.choice([None, round(r.lognormvariate(0, 3), 1), 5.0])) for _ in range(n)] + [("b", None), ("c", 1.0), ("c", float("-inf"))]
+    probs = [0.0, 0.01, 0.3, 0.5, 0.999, 1.0]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {(q["k"], q["prob"]): q["quantile"] for q in od.exact_quantiles(df, ["k"], "x", probs, accuracy).collect()}
+    a = [x for k, x in rows if k == "a" and x is not None]
+    assert all(got["a", p] == pytest.approx(np.quantile(a, p)) for p in probs)
+    assert got["c", 0.0] == float("-inf") and not any(k == "b" for k, _ in got)
+
+
+def test_exact_quantiles_count_few_rows_by_value(spark):
+    """Of a large group only the rows around the wanted ranks are grouped by value."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(400_000).select(F.lit("a").alias("k"), F.xxhash64("id").cast("double").alias("x"))
+    out = od.exact_quantiles(df, ["k"], "x", [0.25, 0.5], 2000)
+    rows = out._jdf.queryExecution()
+    assert out.count() == 2
+    text = rows.toString()
+    assert "percentile_approx" in text
+    x = np.sort(df.toPandas()["x"].to_numpy())
+    assert {r["prob"]: r["quantile"] for r in out.collect()} == {p: pytest.approx(np.quantile(x, p)) for p in (0.25, 0.5)}

@@ -12,7 +12,7 @@ and one key may hold a third of the table. For those this module splits each key
 * ``ordinal``     exact row numbers, the same way.
 * ``over_chunks`` any operator with a fixed lookback, on equal chunks of rows that bring
   the last rows of the chunk before along.
-* ``exact_quantiles`` linear-interpolated quantiles from counts per distinct value.
+* ``exact_quantiles`` linear-interpolated quantiles: a sketch encloses the ranks, counts decide.
 
 Shuffles go by (key, bucket), never by key alone; only the summaries do.
 """
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,44 +144,45 @@ def over_chunks(
     return out.where("__chunk = __home").drop("__chunk", "__home", "__rn")
 
 
-def value_buckets(df: DataFrame, column: str, buckets: int = 256) -> Callable[[DataFrame], DataFrame]:
-    """Function that adds ``__bucket``, slices of ``column`` with about equal row counts.
+def value_slices(df: DataFrame, keys: Sequence[str], column: str, slices: int = 64, name: str = _B) -> DataFrame:
+    """Add ``name``: slices of ``column`` within each key with about equal row counts, in order.
 
-    The cut points are approximate quantiles: at most ``buckets`` numbers on the driver.
+    The cut points come from a quantile sketch of each key, a partial aggregate inside the plan.
     """
-    cuts = df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.5 / buckets)
-    splits = [-INF, *(sorted(set(cuts)) or [0.0]), INF]
-    model = Bucketizer(splits=splits, inputCol=column, outputCol=_B, handleInvalid="keep")
-    return model.transform
+    at = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(column, at, F.lit(10 * slices)).alias("__cuts"))
+    d = df.join(cuts, list(keys)) if keys else df.crossJoin(F.broadcast(cuts))  # one row
+    return d.withColumn(name, F.size(F.filter(F.coalesce("__cuts", F.array()), lambda c: c < F.col(column)))).drop("__cuts")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], buckets: int = 256
-) -> DataFrame:
-    """Exact quantiles with linear interpolation for groups of any size.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles with linear interpolation for groups of any size: (keys, prob, quantile).
 
-    Values are counted first (copies collapse on the map side), the counts are accumulated
-    over value slices, and the one or two values around each rank are picked. Returns
-    (keys, prob, quantile).
+    A quantile sketch of each key, which is a partial aggregate of bounded size, gives two values that enclose the
+    wanted ranks. Rows below are only counted; rows between, about a share of ``8 / accuracy`` of the
+    group for each probability, are counted by value and the one or two at the ranks picked. Everything
+    stays inside one plan. A sketch that misses its bounds raises an error instead of a wrong value.
     """
+    keys, probs = list(keys), [float(p) for p in probs]
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    counts = d.groupBy(*keys, "__v").agg(F.count("*").alias("__m"))
-    sliced = value_buckets(d, "__v", buckets)(counts).withColumnRenamed(_B, "__slice")
-    c = running(sliced, keys, ["__v"], {"__hi": ("sum", F.col("__m"))}, F.col("__slice"))
-    total = d.groupBy(*keys).agg(F.count("*").alias("__n"))
-    c = c.join(total, list(keys)) if keys else c.crossJoin(F.broadcast(total))
-    p = F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("prob")
-    c = c.select(*keys, "__v", "__m", "__hi", "__n", p)
+    ends = [min(max(p + s * 4 / accuracy, 0.0), 1.0) for s in (-1, 1) for p in probs]
+    sketch = d.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias("__e"))
+    m = len(probs)
+    few = F.col("__n") <= accuracy  # the margin is less than a rank there, and all values are few enough
+    end = lambda i, infinite: F.when(few, F.lit(infinite)).otherwise(F.col("__e")[i])
+    wanted = F.array(*[F.struct(F.lit(p).alias("prob"), end(i, -INF).alias("lo"), end(m + i, INF).alias("hi")) for i, p in enumerate(probs)])
+    sketch = sketch.where("__n > 0").select(*keys, "__n", wanted.alias("__w"))
+    both = d.join(sketch, keys) if keys else d.crossJoin(F.broadcast(sketch))  # one row
+    below = both.groupBy(*keys, "__n").agg(*[F.count(F.when(F.col("__v") < F.col("__w")[i]["lo"], 1)).alias(f"__b{i}") for i in range(m)])
+    below = below.select(*keys, "__n", F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"__b{i}").alias("__below")) for i, p in enumerate(probs)])).alias("s")).select(*keys, "__n", "s.*")
+    near = F.filter("__w", lambda w: (F.col("__v") >= w["lo"]) & (F.col("__v") <= w["hi"]))
+    inside = both.select(*keys, "__v", F.explode(near).alias("w")).groupBy(*keys, F.col("w.prob").alias("prob"), "__v").agg(F.count("*").alias("__m"))
+    c = inside.join(below, [*keys, "prob"])
+    c = c.withColumn("__hi", F.col("__below") + F.sum("__m").over(Window.partitionBy(*keys, "prob").orderBy("__v")))
     at = (F.col("__n") - 1) * F.col("prob")
     lo, up = F.floor(at), F.ceil(at)
     start = F.col("__hi") - F.col("__m")
-    has_lo = (start <= lo) & (lo < F.col("__hi"))
-    has_up = (start <= up) & (up < F.col("__hi"))
-    picked = c.where(has_lo | has_up).groupBy(*keys, "prob").agg(
-        F.max(F.when(has_lo, F.col("__v"))).alias("__a"),
-        F.max(F.when(has_up, F.col("__v"))).alias("__z"),
-        F.max(at - lo).alias("__f"),
-    )
-    return picked.select(
-        *keys, "prob", (F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__f")).alias("quantile")
-    )
+    has = lambda rank: F.max(F.when((start <= rank) & (rank < F.col("__hi")), F.col("__v")))
+    picked = c.groupBy(*keys, "prob").agg(has(lo).alias("__a"), has(up).alias("__z"), F.max(at - lo).alias("__f"))
+    exact = F.when(F.col("__a") == F.col("__z"), F.col("__a")).otherwise(F.col("__a") + (F.col("__z") - F.col("__a")) * F.col("__f"))
+    return picked.select(*keys, "prob", F.coalesce(exact, F.raise_error(F.lit("a quantile lies outside the bounds of its sketch")).cast("double")).alias("quantile"))

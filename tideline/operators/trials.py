@@ -7,12 +7,14 @@ unique trial number (``ordered.running``) and quantiles come from counted values
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.nulls import INF, correlation, ratio, text_hash
-from tideline.operators.ordered import exact_quantiles, id_bucket, running, value_buckets
+from tideline.operators.ordered import exact_quantiles, id_bucket, running, value_slices
+from tideline.session import written
 
 
 def valid(trials: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def pareto_front(points: DataFrame, x: str, y: str, by: Sequence[str] = ("study"
     by = list(by)
     p = points.withColumns({"__x": F.col(x) * (1 if x_low else -1), "__y": F.col(y) * (1 if y_low else -1)})
     at = p.groupBy(*by, "__x").agg(F.min("__y").alias("__best"))
-    sliced = value_buckets(p, "__x")(at).withColumnRenamed("__bucket", "__slice")
+    sliced = value_slices(at, by, "__x", name="__slice")
     edge = running(sliced, by, ["__x"], {"__before": ("min", F.col("__best"))}, F.col("__slice"), before=True)
     kept = edge.where(F.col("__before").isNull() | (F.col("__best") < F.col("__before"))).select(*by, "__x", F.col("__best").alias("__y"))
     front = p.join(kept, [*by, "__x", "__y"])
@@ -145,6 +147,71 @@ def pareto_front(points: DataFrame, x: str, y: str, by: Sequence[str] = ("study"
     return front.drop("__x", "__y")
 
 
+#: Cells of a group's grid, and points that are compared with each other at first, at most.
+CELLS, CHUNK = 256, 2048
+
+
+def skyline(points: DataFrame, metrics: dict[str, str], by: Sequence[str] = ("study",), mode: str = "strict") -> DataFrame:
+    """Points that no other point of their group dominates in any number of metrics, each ``"low"`` or ``"high"`` for better.
+
+    Four steps, each of which only drops points that another one dominates; a point of the front is
+    never dropped, and whatever dominates a point is itself dominated by, or is, a point of the front.
+    1. A few strong points of each group (the best sum, the best of each metric) drop most of the others.
+    2. Points are compared within chunks of about ``CHUNK``.
+    3. A grid of quantiles over the metrics: a cell that is above another one in every metric goes as a whole.
+    4. A point is compared with those of the cells that are not above its own in any metric.
+    All comparisons are anti joins by equal chunks or cells; the grid has at most ``CELLS`` cells a group.
+
+    Equal points are one point until the end and stay together; ``mode="reference"`` removes them, since
+    equal points eliminate each other there. Points without a value in every metric are left out.
+    """
+    by, names = list(by), list(metrics)
+    n = len(names)
+    sign = {m: 1.0 if better == "low" else -1.0 for m, better in metrics.items()}
+    x = F.array(*[F.col(m).cast("double") * sign[m] + F.lit(0.0) for m in names])  # -0.0 becomes 0.0
+    p = points.withColumn("__x", x).where(F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    classes = p.groupBy(*by, "__x").agg(F.count("*").alias("__m"))
+
+    def dominates(a, b):
+        """Whether array a is at least as good everywhere and better somewhere."""
+        pairs = F.zip_with(a, b, lambda v, w: v <= w)
+        return F.forall(pairs, lambda t: t) & (a != b)
+
+    def better(rows: DataFrame, others: DataFrame, on: list[str], how: str) -> DataFrame:
+        """Semi or anti join of ``rows`` with those of ``others`` that have equal ``on`` and dominate them."""
+        others = others.select(F.col("__x").alias("__o"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)])
+        hit = [F.col(c) == F.col(f"__k{i}") for i, c in enumerate(on)]
+        return rows.join(others, reduce(lambda a, b: a & b, hit, dominates(F.col("__o"), F.col("__x"))), how)
+
+    worth = [F.aggregate("__x", F.lit(0.0), lambda a, v: a + v)] + [F.col("__x")[j] for j in range(n)]
+    strong = classes.groupBy(*by).agg(F.array_distinct(F.array(*[F.min(F.struct(w.alias("w"), F.col("__x").alias("x")))["x"] for w in worth])).alias("__strong"))
+    left = classes.join(strong, by) if by else classes.crossJoin(F.broadcast(strong))
+    left = left.where(~F.exists("__strong", lambda s: dominates(s, F.col("__x")))).drop("__strong")
+    # about CHUNK points a chunk, whatever is left of a group
+    size = left.groupBy(*by).agg(F.ceil(F.count("*") / CHUNK).alias("__chunks"))
+    left = left.join(size, by) if by else left.crossJoin(F.broadcast(size))
+    left = written(left.withColumn("__chunk", F.pmod(F.xxhash64("__x"), F.col("__chunks"))).drop("__chunks"), "skyline")
+    left = written(better(left, left, [*by, "__chunk"], "left_anti").drop("__chunk"), "skyline")
+    steps = max(2, int(CELLS ** (1 / n)))
+    at = F.array(*[F.lit(i / steps) for i in range(1, steps)])
+    cuts = left.groupBy(*by).agg(F.array(*[F.percentile_approx(F.col("__x")[j], at, F.lit(1000)) for j in range(n)]).alias("__cuts"))
+    left = left.join(cuts, by) if by else left.crossJoin(F.broadcast(cuts))
+    left = left.withColumn("__cell", F.zip_with("__x", "__cuts", lambda v, c: F.size(F.filter(c, lambda e: e < v)))).drop("__cuts")
+    cells = left.select(*by, "__cell").distinct()
+    one, two = cells.withColumnRenamed("__cell", "__near"), cells
+    pairs = two.join(one, by) if by else two.crossJoin(F.broadcast(one))  # at most CELLS a group
+    pairs = pairs.where(F.forall(F.zip_with("__near", "__cell", lambda a, b: a <= b), lambda t: t))
+    below = F.forall(F.zip_with("__near", "__cell", lambda a, b: a < b), lambda t: t)
+    near = pairs.groupBy(*by, "__cell").agg(F.collect_list("__near").alias("__nears"), F.max(below).alias("__gone")).where("NOT __gone").drop("__gone")
+    left = written(left.join(near, [*by, "__cell"]), "skyline")
+    asked = left.select(*by, "__x", F.explode("__nears").alias("__cell"))
+    lost = better(asked, left, [*by, "__cell"], "left_semi").select(*by, "__x").distinct()
+    front = left.join(lost, [*by, "__x"], "left_anti")
+    if mode == "reference":
+        front = front.where("__m = 1")
+    return p.join(front.select(*by, "__x"), [*by, "__x"], "left_semi").select(*points.columns)
+
+
 def study_summary(trials: DataFrame, by: Sequence[str] = ("study",)) -> DataFrame:
     """Trials by status, success rate and best value per study."""
     n = lambda s: F.count(F.when(F.col("status") == s, 1))

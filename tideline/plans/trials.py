@@ -98,6 +98,39 @@ def dominance_join(spark, d):
     return t.join(front, ["study", "trial_id"], "left_anti").groupBy("study").agg(F.count("*").alias("n_dominated"))
 
 
+def _metrics(trials):
+    return trials.withColumns({n: F.element_at("params", F.lit(n)).cast("double") for n in ("layers", "rate")})
+
+
+_GOOD = "b.study = a.study AND b.value <= a.value AND b.training_time <= a.training_time AND b.layers >= a.layers"
+_TRIALS3 = f"{TRIALS}, t AS (SELECT study, trial_id, value, training_time, CAST(layers AS DOUBLE) AS layers, rate FROM trials)"
+
+
+@query("pareto_front_metrics", f"""WITH {_TRIALS3} SELECT study, trial_id, value, training_time, layers FROM t a WHERE NOT EXISTS (
+  SELECT 1 FROM t b WHERE {_GOOD} AND (b.value < a.value OR b.training_time < a.training_time OR b.layers > a.layers))""", "value training_time layers")
+def pareto_front_metrics(spark, d):
+    """Front of three metrics, more layers counting as better."""
+    front = tr.skyline(_metrics(trials(spark, d)), {"value": "low", "training_time": "low", "layers": "high"})
+    return front.select("study", "trial_id", "value", "training_time", "layers")
+
+
+@query("pareto_front_metrics_reference", f"""WITH {_TRIALS3} SELECT study, trial_id, value, training_time, layers, rate FROM t a WHERE NOT EXISTS (
+  SELECT 1 FROM t b WHERE {_GOOD} AND b.rate >= a.rate AND b.trial_id <> a.trial_id)""", "value training_time layers rate")
+def pareto_front_metrics_reference(spark, d):
+    """Front of four metrics where equal points eliminate each other."""
+    front = tr.skyline(_metrics(trials(spark, d)), {"value": "low", "training_time": "low", "layers": "high", "rate": "high"}, mode="reference")
+    return front.select("study", "trial_id", "value", "training_time", "layers", "rate")
+
+
+@query("dominance_join_metrics", f"""WITH {_TRIALS3} SELECT study, count(*) AS n_dominated, min(value) AS best_dominated FROM t a WHERE EXISTS (
+  SELECT 1 FROM t b WHERE {_GOOD} AND (b.value < a.value OR b.training_time < a.training_time OR b.layers > a.layers)) GROUP BY 1""", "best_dominated")
+def dominance_join_metrics(spark, d):
+    """Points that some other point dominates in three metrics, as an anti join with the front."""
+    t = _metrics(trials(spark, d))
+    front = tr.skyline(t, {"value": "low", "training_time": "low", "layers": "high"}).select("study", "trial_id")
+    return t.join(front, ["study", "trial_id"], "left_anti").groupBy("study").agg(F.count("*").alias("n_dominated"), F.min("value").alias("best_dominated"))
+
+
 @query("study_summary", f"""WITH {TRIALS} SELECT study, count(*) AS n_trials, count(*) FILTER (status = 'completed') AS successful, count(*) FILTER (status = 'failed') AS failed,
   count(*) FILTER (status = 'pruned') AS pruned, count(*) FILTER (status = 'completed') / count(*) * 100 AS success_rate, min(value) AS best_value FROM trials GROUP BY 1""", "success_rate best_value")
 def study_summary(spark, d):
