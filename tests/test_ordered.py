@@ -117,3 +117,50 @@ def test_exact_quantiles_count_few_rows_by_value(spark):
     assert "percentile_approx" in text
     x = np.sort(df.toPandas()["x"].to_numpy())
     assert {r["prob"]: r["quantile"] for r in out.collect()} == {p: pytest.approx(np.quantile(x, p)) for p in (0.25, 0.5)}
+
+
+def ticks(spark, n, seconds):
+    """A hot series whose rows crowd: half of them in one hour, a quarter of these in one minute; and a calm one."""
+    i = F.col("id")
+    at = F.when(i % 8 == 0, 7200 + (i * 7 % 60_000) / 1000).when(i % 2 == 0, 7200 + (i * 13 % 3_600_000) / 1000).otherwise(i * 31 % (seconds * 1000) / 1000)
+    hot = spark.range(n).select(F.lit("hot").alias("series_key"), F.timestamp_micros((at * 1_000_000).cast("bigint")).alias("ts"), i.alias("seq"), (i % 97).cast("double").alias("x"))
+    calm = spark.range(50).select(F.lit("calm").alias("series_key"), F.timestamp_micros(F.col("id") * 9_000_000_000).alias("ts"), F.col("id").alias("seq"), F.lit(1.0).alias("x"))
+    return hot.unionAll(calm)
+
+
+def largest(df, slices):
+    return slices.add(df, ["series_key"]).groupBy("series_key", "__bucket").count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("factor", [1, 100])
+def test_slices_hold_few_rows_at_any_rate(spark, factor):
+    """A hundred times the ticks in the same month: the largest group stays below the bound."""
+    df, slices = ticks(spark, 3000 * factor, 30 * 86_400), od.Slices(86_400, 2000)
+    assert largest(df, slices) <= 2000
+    fixed = df.groupBy("series_key", F.floor(F.unix_timestamp("ts") / 86_400)).count().agg(F.max("count")).first()[0]
+    assert fixed > 1000 * factor  # what a slice of fixed width would hold
+
+
+def test_slices_follow_the_time_and_calm_stretches_stay_whole(spark):
+    df = ticks(spark, 20_000, 10 * 86_400)
+    cut = od.Slices(86_400, 500).add(df, ["series_key"])
+    w = Window.partitionBy("series_key").orderBy("ts")
+    assert cut.withColumn("__last", F.lag("__bucket").over(w)).where("__last > __bucket").count() == 0
+    assert cut.where("series_key = 'calm'").select("__bucket").distinct().count() == 6
+    assert cut.columns == [*df.columns, "__bucket"]
+
+
+def test_running_over_crowded_slices_equals_a_plain_window(spark):
+    df = ticks(spark, 4000, 5 * 86_400)
+    exprs = {"s": ("sum", F.col("x")), "l": ("last", F.when(F.col("seq") % 3 == 0, F.col("x"))), "n": ("count", F.lit(1), True)}
+    get = lambda d: sorted(tuple(r) for r in d.select("series_key", "seq", *exprs).collect())
+    assert get(od.running(df, ["series_key"], ["ts", "seq"], exprs)) == get(od.running(df, ["series_key"], ["ts", "seq"], exprs, od.Slices(86_400, 100)))
+
+
+def test_asof_over_crowded_slices_equals_a_plain_one(spark):
+    from tideline.operators.joins import asof_join
+
+    df = ticks(spark, 3000, 2 * 86_400)
+    right = df.where("seq % 5 = 0").select("series_key", "ts", "seq", F.col("x").alias("mark"))
+    get = lambda **more: sorted(str(tuple(r)) for r in asof_join(df.withColumnRenamed("seq", "id"), right, **more).collect())
+    assert get() == get(bucket=od.Slices(3600, 64))

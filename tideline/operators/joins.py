@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.ordered import ordinal, running, time_bucket
+from tideline.operators.ordered import Slices, ordinal, running
 
 KEYS = ("series_key",)
 _SHARED_SLICE = 30 * 86_400
@@ -42,14 +42,14 @@ def _names(left: DataFrame, name: str, cols: Sequence[str], taken: set[str]) ->
 
 
 def align_sources(
-    left: DataFrame, sources: dict[str, DataFrame], keys: Sequence[str] = KEYS, bucket: Column | None = None
+    left: DataFrame, sources: dict[str, DataFrame], keys: Sequence[str] = KEYS, bucket: Column | Slices | None = None
 ) -> DataFrame:
     """As-of join of any number of sources: for each left row the latest source row at or
     before its time (of several at the same time, the last by ``seq``).
 
     Sources that have the key columns are merged in one union pass: one shuffle for all.
     Sources without keys are aligned with the distinct left times and joined on the time.
-    A NULL field of a matched source row stays NULL. ``bucket`` (a slice of ``ts``) splits
+    A NULL field of a matched source row stays NULL. ``bucket`` (slices of ``ts``) splits
     series of unbounded length; sources without keys are one series and always sliced.
     """
     taken, renames = set(left.columns), {}
@@ -73,12 +73,12 @@ def align_sources(
         out = rows.select(*keys, "ts", *own, *unpack(keyed))
     if shared:
         times = left.select("ts").distinct()
-        rows = last_rows(_tagged_union(times.withColumn("__t", F.lit(1)), shared, []), shared, [], bucket if bucket is not None else time_bucket(_SHARED_SLICE)).where("__side = 1")
+        rows = last_rows(_tagged_union(times.withColumn("__t", F.lit(1)), shared, []), shared, [], bucket if bucket is not None else Slices(_SHARED_SLICE)).where("__side = 1")
         out = out.join(rows.select("ts", *unpack(shared)), "ts", "left")
     return out
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, name: str = "right", bucket: Column | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS, name: str = "right", bucket: Column | Slices | None = None) -> DataFrame:
     return align_sources(left, {name: right}, keys, bucket)
 
 

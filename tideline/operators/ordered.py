@@ -6,7 +6,8 @@ below a million rows. Raw ticks, trial logs and bars at second cadence have no s
 and one key may hold a third of the table. For those this module splits each key:
 
 * ``bucket`` is any column that never decreases along the order (a time slice, a slice of
-  a unique number). Its width bounds the rows of one (key, bucket) group.
+  a unique number). Its width bounds the rows of one (key, bucket) group. Where the rate of a
+  key has no bound, ``Slices`` makes time slices as narrow as its busiest stretches need.
 * ``running``     cumulative values, by two levels: summary per bucket, prefix over the
   summaries, local window plus carried value.
 * ``ordinal``     exact row numbers, the same way.
@@ -20,6 +21,7 @@ Shuffles go by (key, bucket), never by key alone; only the summaries do.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,51 @@ def id_bucket(column: str, width: int = 65_536) -> Column:
     return F.floor(F.col(column) / width)
 
 
+#: Steps in which a slice gets narrower, by four each time: down to 1 / 65536 of its width.
+_STEPS = 8
+
+
+@dataclass(frozen=True)
+class Slices:
+    """Slices of the time axis that hold at most ``rows`` rows of a key each, wherever its rows crowd.
+
+    A slice is ``seconds`` wide. Slices with more rows are counted in finer cells, and each is cut into
+    equal parts, of a quarter, a sixteenth, ... of its width, until none of them holds more. Rows of the same 1 / 65536 of
+    a slice stay together. The counts are partial aggregates; only crowded slices get a row in what is joined back.
+    """
+
+    seconds: int
+    rows: int = 500_000
+    ts: str = "ts"
+
+    def add(self, df: DataFrame, keys: Sequence[str], name: str = _B) -> DataFrame:
+        """Add ``name``, the slice of each row, which grows along the time."""
+        on, width, cells = [*keys, "__whole"], self.seconds * 1_000_000, 4**_STEPS
+        us = F.unix_micros(F.col(self.ts).cast("timestamp"))
+        whole, cell = F.floor(us / F.lit(width)), F.floor(F.pmod(us, F.lit(width)) * F.lit(cells) / F.lit(width))
+        d = df.withColumn("__whole", whole)
+        slim = d.select(*on, cell.cast("int").alias("__cell"))
+        crowded = slim.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > self.rows).drop("__n")
+        counts = slim.join(crowded, on).groupBy(*on, "__cell").agg(F.count("*").alias("__n"))
+        steps = F.explode(F.sequence(F.lit(1), F.lit(_STEPS))).alias("__step")
+        parts = counts.select("*", steps).groupBy(*on, "__step", self._part(F.col("__cell"), F.col("__step")).alias("__part")).agg(F.sum("__n").alias("__n"))
+        most = parts.groupBy(*on, "__step").agg(F.max("__n").alias("__n"))
+        step = F.coalesce(F.min(F.when(F.col("__n") <= self.rows, F.col("__step"))), F.lit(_STEPS))
+        d = d.join(most.groupBy(*on).agg(step.alias("__step")), on, "left")
+        part = self._part(cell, F.coalesce("__step", F.lit(0)))
+        return d.withColumn(name, (F.col("__whole") * F.lit(cells) + part).cast("bigint")).select(*df.columns, name)
+
+    @staticmethod
+    def _part(cell: Column, step: Column) -> Column:
+        """First cell of the part that holds ``cell`` after so many steps."""
+        size = F.pow(F.lit(4.0), F.lit(_STEPS) - step)
+        return (F.floor(cell / size) * size).cast("bigint")
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], bucket: Column | Slices) -> DataFrame:
+    return bucket.add(df, keys) if isinstance(bucket, Slices) else df.withColumn(_B, bucket)
+
+
 _COMBINE = {
     "sum": lambda a, b: F.when(
         a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
@@ -80,7 +127,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     exprs: dict[str, tuple],
-    bucket: Column | None = None,
+    bucket: Column | Slices | None = None,
     before: bool = False,
 ) -> DataFrame:
     """Add cumulative values ``{name: (kind, expression)}`` along the order of each key.
@@ -97,7 +144,7 @@ def running(
 
     if bucket is None:
         return df.withColumns({n: _over(e[0], e[1], frame(list(keys), n)) for n, e in exprs.items()})
-    d = df.withColumn(_B, bucket)
+    d = _sliced(df, keys, bucket)
     by = [*keys, _B]
     across = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     summary = d.groupBy(*by).agg(*[_summary(e[0], e[1], order).alias(f"__s_{n}") for n, e in exprs.items()])
@@ -111,7 +158,7 @@ def running(
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None, name: str = "rn"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | Slices | None, name: str = "rn"
 ) -> DataFrame:
     """Exact 1-based row number along the order of each key."""
     if bucket is None:
@@ -125,7 +172,7 @@ def over_chunks(
     fn: Callable[[DataFrame, list[str]], DataFrame],
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | Slices,
     lookback: int,
     chunk_rows: int = 200_000,
     lookahead: int = 0,

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tideline.operators import cleaning as cl
 from tideline.operators.isolation import isolation_flag
-from tideline.operators.ordered import ordinal, time_bucket
+from tideline.operators.ordered import Slices, ordinal
 from tideline.plans.inputs import (
-    BARS_D, DIRTY, EVENT_TICKS, ORDER_DAYS, bars_d, dirty_bars, epoch, event_ticks, order_days, table,
+    TICKS, BARS_D, DIRTY, EVENT_TICKS, ORDER_DAYS, bars_d, dirty_bars, epoch, event_ticks, order_days, table,
 )
 from tideline.plans.registry import query
 
@@ -315,7 +315,7 @@ def sort_series(spark, d):
 
 @query("tick_ordinal", f"WITH {EVENT_TICKS} SELECT series_key, seq, row_number() OVER (PARTITION BY series_key ORDER BY seq) AS rn FROM event_ticks")
 def tick_ordinal(spark, d):
-    """Row numbers of hot series, counted per hourly slice and prefix-summed."""
-    return ordinal(event_ticks(spark, d), ["series_key"], ["seq"], time_bucket(3600)).select("series_key", "seq", "rn")
+    """Row numbers of hot series, counted per slice of bounded rows and prefix-summed."""
+    return ordinal(event_ticks(spark, d), ["series_key"], ["seq"], Slices(3600, TICKS)).select("series_key", "seq", "rn")
 
 

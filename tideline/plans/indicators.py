@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions.rolling import add_ema, ema_lookback, rolling, series_window, sma
 from tideline.operators import indicators as ind
-from tideline.operators.ordered import over_chunks, running, time_bucket
-from tideline.plans.inputs import BARS_D, EVENT_TICKS, bars_d, epoch, event_ticks
+from tideline.operators.ordered import Slices, over_chunks, running
+from tideline.plans.inputs import BARS_D, EVENT_TICKS, TICKS, bars_d, epoch, event_ticks
 from tideline.plans.registry import query
 
 W = "PARTITION BY series_key ORDER BY ts"
@@ -231,7 +231,7 @@ def tick_features(spark, d):
             }
         )
 
-    out = over_chunks(event_ticks(spark, d), fn, ["series_key"], ["seq"], time_bucket(HOUR), lookback=20)
+    out = over_chunks(event_ticks(spark, d), fn, ["series_key"], ["seq"], Slices(HOUR, TICKS), lookback=20)
     return out.select("series_key", "seq", "sma_20", "std_10", "lag_5")
 
 
@@ -246,7 +246,7 @@ def tick_running(spark, d):
         event_ticks(spark, d), ["series_key"], ["seq"],
         {"total": ("sum", p), "top": ("max", p), "bottom": ("min", p),
          "filled": ("last", F.when(F.col("seq") % 3 == 0, p))},
-        time_bucket(HOUR),
+        Slices(HOUR, TICKS),
     )
     return out.select("series_key", "seq", "total", "top", "bottom", "filled")
 
@@ -259,5 +259,5 @@ def tick_ema(spark, d):
     def fn(df, keys):
         return add_ema(df, {"ema_20": (F.col("price"), 20)}, keys, ["seq"])
 
-    out = over_chunks(event_ticks(spark, d), fn, ["series_key"], ["seq"], time_bucket(HOUR), ema_lookback([20]))
+    out = over_chunks(event_ticks(spark, d), fn, ["series_key"], ["seq"], Slices(HOUR, TICKS), ema_lookback([20]))
     return out.select("series_key", "seq", "ema_20")

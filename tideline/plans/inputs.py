@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tideline.operators.bars import resample_bars
 
+#: Ticks of one series that a slice of the time axis holds at most.
+TICKS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

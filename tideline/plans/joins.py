@@ -9,9 +9,9 @@ from tideline.operators import rollups as ro
 from tideline.operators import quality as qu
 from tideline.operators import selection as sel
 from tideline.operators.bars import CADENCE_SECONDS, resample_bars
-from tideline.operators.ordered import time_bucket
+from tideline.operators.ordered import Slices
 from tideline.plans.inputs import (
-    BARS_D, BARS_H, EVENT_TICKS, ORDER_DAYS, POSTS, bars_d, bars_h, epoch, event_ticks, order_days, posts, table,
+    TICKS, BARS_D, BARS_H, EVENT_TICKS, ORDER_DAYS, POSTS, bars_d, bars_h, epoch, event_ticks, order_days, posts, table,
 )
 from tideline.plans.registry import query
 
@@ -53,7 +53,7 @@ SELECT b.series_key, epoch(b.ts)::BIGINT AS ts, b.close, w.avg_price, w.n_orders
 FROM bars b ASOF LEFT JOIN weekly w ON b.ts >= w.ts""", "close avg_price filled", digits=4)
 def asof_join(spark, d):
     left = bars_d(spark, d).select("series_key", "ts", "close")
-    return epoch(jn.asof_join(left, _weekly(spark, d), bucket=time_bucket(30 * 86400)))
+    return epoch(jn.asof_join(left, _weekly(spark, d), bucket=Slices(30 * 86400)))
 
 
 @query("asof_join_keyed", f"""WITH {EVENT_TICKS},
@@ -61,11 +61,11 @@ r AS (SELECT series_key, ts + INTERVAL 90 SECOND AS ts, seq, price AS mark FROM
 SELECT l.series_key, l.seq, l.price, r.mark FROM event_ticks l ASOF LEFT JOIN r ON l.series_key = r.series_key AND l.ts >= r.ts""",
        "price mark")
 def asof_join_keyed(spark, d):
-    """Ticks of hot series against all ticks of the same series as marks that come 90 seconds late, in hourly slices."""
+    """Ticks of hot series against all ticks of the same series as marks that come 90 seconds late, in slices of bounded rows."""
     t = event_ticks(spark, d)
     left = t.select("series_key", "ts", F.col("seq").alias("id"), "price")
     right = t.select("series_key", (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ts"), "seq", F.col("price").alias("mark"))
-    return jn.asof_join(left, right, bucket=time_bucket(HOUR)).select("series_key", F.col("id").alias("seq"), "price", "mark")
+    return jn.asof_join(left, right, bucket=Slices(HOUR, TICKS)).select("series_key", F.col("id").alias("seq"), "price", "mark")
 
 
 @query("align_sources", f"""WITH {BARS_D}, {ORDER_DAYS}, {_WEEKLY},
@@ -195,7 +195,7 @@ def sentiment_combine(spark, d):
     news = ro.news_rollup(p.where("forum = 'view'")).select("ts", "news_sentiment", F.col("news_article_count").alias("news_volume"))
     fear = p.groupBy(F.date_trunc("day", "ts").alias("ts")).agg(F.floor(F.avg("polarity") * 50 + 50).alias("fear_greed_index"))
     fear = ro.fear_greed_scale(fear).withColumnRenamed("fear_greed_normalized", "fear_greed_sentiment")
-    aligned = jn.align_sources(spine, {"reddit": reddit, "news": news, "fear_greed": fear}, keys=[], bucket=time_bucket(30 * 86400))
+    aligned = jn.align_sources(spine, {"reddit": reddit, "news": news, "fear_greed": fear}, keys=[], bucket=Slices(30 * 86400))
     return epoch(ro.sentiment_combine(aligned)).select(
         "ts", "sentiment_score", "tweet_volume", "reddit_posts", "news_articles", "fear_greed_index", "bullish_ratio",
         "bearish_ratio", "social_dominance", "engagement_rate",

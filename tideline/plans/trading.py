@@ -8,8 +8,8 @@ from tideline.operators import backtest as bt
 from tideline.operators import forecasting as fc
 from tideline.operators import indicators as ind
 from tideline.operators import splits as sp
-from tideline.operators.ordered import time_bucket
-from tideline.plans.inputs import CALM, EVENT_TICKS, FORECASTS, calm_bars, epoch, event_ticks, forecasts
+from tideline.operators.ordered import Slices
+from tideline.plans.inputs import CALM, EVENT_TICKS, FORECASTS, TICKS, calm_bars, epoch, event_ticks, forecasts
 from tideline.plans.registry import query
 from tideline.plans.splits import _WLK as WALK_SQL
 
@@ -114,7 +114,7 @@ def tick_backtest(spark, d):
     t = event_ticks(spark, d).select(
         "series_key", "ts", "seq", (F.col("price") + 10000).alias("close"), F.when(seq % 7 == 0, 1).when(seq % 5 == 0, -1).otherwise(0).alias("signal")
     )
-    out = bt.backtest(t, ["series_key"], fee=0.001, order=["seq"], bucket=time_bucket(6 * 3600))
+    out = bt.backtest(t, ["series_key"], fee=0.001, order=["seq"], bucket=Slices(6 * 3600, TICKS))
     return out.select("series_key", "seq", "state", "side", "equity", "peak")
 
 
