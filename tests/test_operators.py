@@ -97,9 +97,24 @@ def test_corr_matrix_is_pairwise_complete(spark):
     assert all(r["abs_r"] is None or r["abs_r"] <= 1 for r in sel.target_corr(df, list("abce"), "d").collect())
 
 
-def test_greedy_selection_drops_the_weaker_twin():
-    m = {("a", "b"): 0.95, ("a", "c"): 0.1, ("b", "c"): 0.2}
-    assert sel.drop_collinear(["a", "b", "c"], m, 0.9) == ["a", "c"]
+def _greedy(strength, matrix, threshold):
+    kept = []
+    for f in sorted(strength, key=lambda n: (-(strength[n] or 0.0), n)):
+        if not any(abs(matrix.get((f, k), matrix.get((k, f))) or 0.0) > threshold for k in kept):
+            kept.append(f)
+    return set(kept)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_selection_equals_its_loop(spark, seed):
+    """Chains of correlated features, equal strengths, pairs without a figure; one plan without a job of its own."""
+    rng = np.random.RandomState(seed)
+    names = [f"f{i}" for i in range(3 + 4 * seed)]
+    strength = {n: None if rng.rand() < 0.1 else float(rng.choice([0.2, 0.5, rng.rand()])) for n in names}
+    matrix = {(a, b): None if rng.rand() < 0.1 else float(rng.uniform(-1, 1)) for i, a in enumerate(names) for b in names[i + 1 :]}
+    s = spark.createDataFrame(list(strength.items()), "feature string, abs_r double")
+    m = spark.createDataFrame([(a, b, r) for (a, b), r in matrix.items()], "left_column string, right_column string, r double")
+    assert {r["feature"] for r in sel.drop_collinear(s, m, 0.5).collect()} == _greedy(strength, matrix, 0.5)
 
 
 @pytest.mark.parametrize("mode,y_low", [("strict", True), ("strict", False), ("reference", True)])

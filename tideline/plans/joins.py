@@ -358,15 +358,8 @@ kept AS (SELECT unnest(kept) AS feature FROM greedy WHERE k = {len(_FEATURES)})"
 @query("drop_collinear", f"WITH RECURSIVE {_ROWS}, {_COMPLETE}, {_greedy_sql(0.5)} SELECT feature, abs_r FROM strength JOIN kept USING (feature)", "abs_r")
 def drop_collinear(spark, d):
     """Names kept by the greedy rule, with their strength."""
-    s = sel.target_corr(_feature_rows(spark, d).na.drop(), _FEATURES, "close")
-    return s.where(F.col("feature").isin(_kept(spark, d)))
-
-
-def _kept(spark, d):
     r = _feature_rows(spark, d).na.drop()
-    strength = {x["feature"]: x["abs_r"] for x in sel.target_corr(r, _FEATURES, "close").collect()}  # one row per column
-    matrix = {(x["left_column"], x["right_column"]): x["r"] for x in sel.corr_matrix(r, _FEATURES).collect()}
-    return sel.drop_collinear(sorted(_FEATURES, key=lambda c: (-strength[c], c)), matrix, 0.5)
+    return sel.drop_collinear(sel.target_corr(r, _FEATURES, "close"), sel.corr_matrix(r, _FEATURES), 0.5)
 
 
 _F2 = " UNION ALL ".join(f"SELECT '{c}' AS feature, pow(corr({c}, close), 2) / (1 - pow(corr({c}, close), 2)) * (count({c}) - 2) AS f FROM rows2" for c in _FEATURES)
