@@ -13,6 +13,8 @@ from tideline.functions.nulls import ratio
 from tideline.functions.rolling import add_ema, series_window
 
 KEYS = ("series_key",)
+#: Rows of a stretch of ``walk_forward``, at least.
+STRETCH = 4096
 BASELINES = ("naive", "seasonal_naive", "mean", "linear_trend", "decomposed_linear")
 
 
@@ -91,24 +93,40 @@ def walk_forward(df: DataFrame, windows: DataFrame, predict: Callable[[pd.DataFr
                  keys: Sequence[str] = KEYS, order: str = "ts") -> DataFrame:
     """User model ``predict(train, validation) -> values`` on every validation window.
 
-    ``df`` carries ``rn``; ``windows`` is a fold table with roles train and val. A task holds
-    one window of one series (train plus validation rows), however long the series is.
+    ``df`` carries ``rn``; ``windows`` is a fold table with roles train and val. A task holds a stretch of
+    one series and all windows that start in it, however many overlap: stretches are as long as the
+    longest window, at least ``STRETCH`` rows, so every row is sent to two of them at most. The rows of a task
+    follow the windows' length and not that of the series.
     """
-    from tideline.operators.joins import rows_in_ranges
-
-    rows = rows_in_ranges(df, windows, "rn", keys).select(*keys, "fold", "role", order, "rn", column)
+    on = [*keys, "fold"]
+    folds = windows.where("hi > lo").groupBy(*on).agg(
+        *[F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{c}") for r in ("train", "val") for c in ("lo", "hi")],
+        F.min("lo").alias("__lo"), F.max("hi").alias("__hi"),
+    ).where("train_lo IS NOT NULL AND val_lo IS NOT NULL")
+    size = folds.agg(F.greatest(F.max(F.col("__hi") - F.col("__lo")), F.lit(STRETCH)).cast("bigint").alias("__size"))  # one row
+    folds = folds.crossJoin(F.broadcast(size)).withColumn("__stretch", F.floor(F.col("__lo") / F.col("__size"))).drop("__lo", "__hi", "__size")
+    own = F.floor(F.col("rn") / F.col("__size"))
+    rows = df.select(*keys, order, "rn", F.col(column).cast("double").alias(column)).crossJoin(F.broadcast(size))
+    # a window that starts in the stretch before may reach here
+    rows = rows.withColumn("__stretch", F.explode(F.sequence(F.greatest(own - 1, F.lit(0)), own))).drop("__size")
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType([*key_fields, T.StructField("fold", T.IntegerType()), df.schema[order], T.StructField("actual", T.DoubleType()), T.StructField("predicted", T.DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        train, val = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "val"]
-        out = val[[*keys, "fold", order]].copy()
-        out["actual"] = val[column].to_numpy()
-        out["predicted"] = list(predict(train, val.drop(columns=[column])))
-        return out
-
-    return rows.groupBy(*keys, "fold").applyInPandas(run, schema)
+    def run(rows: pd.DataFrame, folds: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rn").drop(columns="__stretch").reset_index(drop=True)
+        at, parts = rows["rn"].to_numpy(), []
+        for f in folds.sort_values("fold").itertuples(index=False):
+            ends = [at.searchsorted(int(v)) for v in (f.train_lo, f.train_hi, f.val_lo, f.val_hi)]
+            train, val = rows.iloc[ends[0] : ends[1]], rows.iloc[ends[2] : ends[3]]
+            if len(train) and len(val):
+                out = val[[*keys, order]].assign(fold=f.fold, actual=val[column])
+                parts.append(out.assign(predicted=list(predict(train, val.drop(columns=[column])))))
+        names = [c.name for c in schema]
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+
+    by = [*keys, "__stretch"]
+    folds = folds.withColumnsRenamed({c: f"__fold_{c}" for c in by})  # the windows may come from the same table
+    return rows.groupBy(*by).cogroup(folds.groupBy(*[f"__fold_{c}" for c in by])).applyInPandas(run, schema)
 
 
 # --- ensembles -----------------------------------------------------------------------------
