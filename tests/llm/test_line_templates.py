@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -17,18 +18,27 @@ def brute(rows, least):
                 leaves[leaf].add(i)
                 weights[leaf][tokens] += 1
     template = {}
-    for leaf, ws in weights.items():
-        total = sum(ws.values())
-        constant = []
-        for k in range(leaf[0]):
+    groups = {(leaf,): dict(ws) for leaf, ws in weights.items() if len(leaves[leaf]) >= least}
+    while groups:
+        deeper = defaultdict(dict)
+        for name, ws in groups.items():
+            total = sum(ws.values())
+            if len(ws) == 1 or total < least:
+                continue
             c = Counter()
             for tokens, n in ws.items():
-                c[tokens[k]] += n
-            w, n = c.most_common(1)[0]
-            constant.append(w if 2 * n > total else None)
+                for k in range(3, len(tokens)):
+                    c[k, tokens[k]] += n
+            for tokens, n in ws.items():
+                own = [(k, tokens[k]) for k in range(3, len(tokens))]
+                if 2 * sum(2 * c[p] > total for p in own) >= len(own):
+                    template[tokens] = name
+                elif split := [p for p in own if least <= c[p] <= total / 2]:
+                    deeper[(*name, max(split, key=lambda p: (c[p], -p[0])))][tokens] = n
+        groups = deeper
+    for ws in weights.values():
         for tokens in ws:
-            same = len(ws) > 1 and sum(a == b for a, b in zip(tokens, constant)) >= 0.8 * len(tokens)
-            template[tokens] = leaf if same else tokens
+            template.setdefault(tokens, tokens)
     docs = defaultdict(set)
     for _, _, i, _, tokens in lines:
         docs[template[tokens]].add(i)
@@ -75,6 +85,52 @@ def test_close_lines_in_one_leaf_join_and_distant_ones_do_not(frame):
     assert [bool(got[i]) for i in range(8)] == [True] + [False] * 7 and all(got[20 + i] for i in range(8))
 
 
+def word(k):
+    return "".join(chr(97 + (k * 7 + j * k * k) % 26) for j in range(5)) + chr(97 + k % 26) + chr(97 + k // 26)
+
+
+def test_two_word_fields(frame):
+    got = check(frame, [(i, f"the job of {word(i)} was started by {word(500 + i)}", "en", "a") for i in range(60)], 5)
+    assert [i for i in range(60) if got[i]] == [0]
+
+
+def test_several_templates_share_a_leaf(frame):
+    """Three templates of equal size, and one of few lines that differ from the many others by two tokens."""
+    kinds = ["the job of {} was done without any fault", "the job of {} has come to some end", "the job of {} will wait for more room"]
+    rows = [(i, kinds[i % 3].format(word(i)), "en", "a") for i in range(60)]
+    got = check(frame, rows, 5)
+    assert [i for i in range(60) if got[i]] == [0, 1, 2]
+    noise = [(100 + i, f"the job of {word(i)} {word(90 + i)} {word(190 + i)} {word(290 + i)} {word(390 + i)} {word(490 + i)}", "en", "a") for i in range(80)]
+    got = check(frame, [*rows, *noise], 5)
+    assert [i for i in range(60) if got[i]] == [0, 1, 2] and all(got[100 + i] for i in range(80))
+    small = [(200 + i, f"the job of {word(i)} was {word(90 + i)} under heavy load", "en", "a") for i in range(7)]
+    got = check(frame, [*rows, *noise, *small], 5)
+    assert sum(bool(got[200 + i]) for i in range(7)) == 1 and all(got[100 + i] for i in range(80))
+
+
+def test_random_leaves_equal_brute_force(frame):
+    rng = random.Random(5)
+    for size in (2, 3, 6):
+        rows = [(i, "\n".join(" ".join(["a", rng.choice("ab"), "c", *(rng.choice("defghi"[:size]) * 2 for _ in range(rng.choice((1, 4, 7))))]) for _ in range(6)), "en", "a") for i in range(60)]
+        check(frame, rows, 4)
+
+
+def test_a_hot_token_is_dealt_out(frame, monkeypatch):
+    from tideline.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 5)
+    test_several_templates_share_a_leaf(frame)
+
+
+def test_columns_named_like_the_counts(spark):
+    df = spark.createDataFrame([(i, "same line of words", 7, i) for i in range(6)], "doc_id bigint, text string, n_lines int, n_dropped int")
+    out = lt.drop_recurring(df)
+    assert out.columns == df.columns and {(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in out.collect()} == {(0, 1, 0), *((i, 1, 1) for i in range(1, 6))}
+    for f in (lt.drop_recurring, lt.drop_passages):
+        out = f(df, counts=False)
+        assert out.columns == df.columns and {(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in out.collect()} == {(i, 7, i) for i in range(6)}
+
+
 def test_odd_rows(frame, odd):
     more = [(i, "x\n\n \n", "en", "a") for i in (40, 41, 42, None)] + [(50, "same\nsame\nsame", "en", "a"), (51, "same", "en", "a"), (52, " same\t", "en", "a")]
     check(frame, [*odd, *more])

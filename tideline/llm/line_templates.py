@@ -1,18 +1,22 @@
 """Line deduplication by a template tree of fixed depth, with DataFrame functions only.
 
 A line's tokens are parsed down a tree: by the number of tokens, then by the leading ``DEPTH`` tokens.
-Tokens with a digit are variable fields and become ``<*>`` first. In a leaf, positions where one token
-prevails (over half of the leaf's lines) are constant, the others are variable fields as well. A line
-belongs to its leaf's template if it has the constant token at ``SIMILAR`` of all positions at
-least; otherwise it is a template of its own. Templates that recur in ``least`` documents or more are
-dropped from all but the document with the smallest id, which keeps its lines.
+Tokens with a digit are variable fields and become ``<*>`` first. Of the lines in a leaf, positions where one
+token prevails (over half of the lines) are constant, the others are variable fields as well. A line
+belongs to that template if it has the constant token at ``SIMILAR`` of its positions after the leading
+ones at least. The leaf's other lines part into groups by the token, at a position of its own, that most of
+the leaf's lines have, and each group is treated as the leaf was, until every line belongs to a template
+or stands in a group of fewer than ``least`` lines. So a leaf has any number of templates, whatever
+else shares it. Lines without such a template are templates of their own. Templates that recur in ``least``
+documents or more are dropped from all but the document with the smallest id, which keeps its lines.
 
 ``drop_passages`` is for lines long enough that no two documents have them by chance: a masked line of over
 ``tokens`` tokens is dropped word for word from two documents on. The pipeline runs it once near
 copies are gone; before, it would leave rests of copies that are no longer near any document.
 
 Digests of lines are shuffled, not texts; equal lines are counted before the shuffle, so a hot line
-or leaf is a few rows. Only leaves with ``least`` documents get their lines' tokens looked at. Texts
+or leaf is a few rows. Only leaves with ``least`` documents get their lines' tokens looked at; tokens
+that a whole leaf shares are looked up in salted parts. Texts
 move once, to meet the places of their dropped lines; documents that lose nothing meet none.
 
 Defined results: lines end at LF; a null text stays null, an empty one empty; blank lines are never
@@ -26,10 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import salted_lookup
 from tideline.session import written
 
 DEPTH = 3
-SIMILAR = 0.8
+SIMILAR = 0.5
 SPACE = r"[\x20\x09-\x0D]+"
 VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
@@ -58,59 +63,86 @@ def lines_of(docs: DataFrame, over: int = 0) -> DataFrame:
     return rows.withColumns({"leaf": F.xxhash64(leaf), "line": F.unhex(F.md5("masked"))})
 
 
-def _leaf_templates(variants: DataFrame) -> DataFrame:
-    """(leaf, constants): of leaves with several lines, the token that prevails at each position, or null."""
-    several = variants.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1")
-    at = variants.join(several, "leaf").select("leaf", "all", "n", F.posexplode(tokens_of(F.col("masked"))).alias("at", "token"))
-    counts = at.groupBy("leaf", "all", "at", "token").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("leaf", "all", "at").agg(F.max(F.struct("n", "token")).alias("top"))
-    constant = F.struct("at", F.when(2 * F.col("top.n") > F.col("all"), F.col("top.token")).alias("token"))
-    return top.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(constant)), lambda c: c["token"]).alias("constants"))  # of one line's length
+def _places(masked: Column) -> Column:
+    """Hashes of the tokens after the leading ones, each with its position."""
+    tokens = tokens_of(masked)
+    rest = F.slice(tokens, DEPTH + 1, F.greatest(F.size(tokens) - DEPTH, F.lit(0)))
+    return F.transform(rest, lambda token, at: F.xxhash64(at, token))
 
 
-def templates(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+def _grown(variants: DataFrame, least: int) -> DataFrame:
+    """(line, template) of the ``variants`` (leaf, line, masked, n) that belong to a template with variable fields.
+
+    Each round works on all groups at once; a group's lines share one more token in each, which is then
+    constant, so a line is settled after half as many rounds as it has positions at the latest.
+    """
+    found, state, level = None, variants.withColumnRenamed("leaf", "grp"), 0
+    while True:
+        sizes = state.groupBy("grp").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
+        live = state.join(sizes.where((F.col("k") > 1) & (F.col("all") >= least)).drop("k"), "grp")
+        at = live.select("grp", "all", "n", F.explode(_places(F.col("masked"))).alias("place"))
+        counts = at.groupBy("grp", "place").agg(F.sum("n").alias("c"), F.count("*").alias("k"), F.max("all").alias("all"))
+        counts = written(counts.where((F.col("c") >= least) | (2 * F.col("c") > F.col("all"))), "counts")
+        constants = counts.where(2 * F.col("c") > F.col("all")).groupBy("grp").agg(F.collect_list("place").alias("constants"))  # of one line's length
+        places = _places(F.col("masked"))
+        agree = F.coalesce(F.size(F.array_intersect(places, "constants")), F.lit(0))
+        judged = live.join(constants, "grp", "left").select("grp", "line", "masked", "n", (agree >= SIMILAR * F.size(places)).alias("same"))
+        judged = written(judged, "judged")
+        settled = judged.where("same").select("line", F.concat(F.lit(f"{level} "), F.col("grp").cast("string")).alias("template"))
+        found = settled if found is None else found.unionAll(settled)
+        rest = judged.where("NOT same")
+        own = rest.select("line", F.col("grp").alias("of"), F.posexplode(_places(F.col("masked"))).alias("at", "place"))
+        own = own.select("line", "at", F.xxhash64("of", "place").alias("grp"))
+        facts = counts.where((2 * F.col("c") <= F.col("all")) & (F.col("c") >= least)).select(F.xxhash64("grp", "place").alias("grp"), "c", "k")
+        strongest = salted_lookup(own, facts, "grp", "k", F.xxhash64("line")).groupBy("line").agg(F.max(F.struct("c", (-F.col("at")).alias("back"), "grp")).alias("top"))
+        state = written(rest.select("line", "masked", "n").join(strongest.select("line", "top.grp"), "line"), "open")
+        if not state.limit(1).count():
+            return found
+        level += 1
+
+
+def templates(lines: DataFrame, least: int) -> DataFrame:
     """(line, template, docs, first): of the masked lines whose template recurs in ``least`` documents.
 
-    ``lines`` is the table of digests of ``lines_of(docs)``. ``first`` is the smallest doc_id.
+    ``lines`` is the written table of ``lines_of``. ``first`` is the smallest doc_id.
     """
     leaves = lines.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
     leaves = written(leaves.select("leaf"), "leaves")  # as a table its size is known, and Spark broadcasts it only if small
-    variants = written(lines_of(docs).join(leaves, "leaf", "left_semi").groupBy("leaf", "line", "masked").agg(F.count("*").alias("n")), "variants")
-    constants = _leaf_templates(variants)
-    tokens = tokens_of(F.col("masked"))
-    agree = F.size(F.filter(F.zip_with(tokens, "constants", lambda t, c: t == c), lambda hit: hit))
-    same = F.coalesce(agree >= SIMILAR * F.size(tokens), F.lit(False))
-    template = F.when(same, F.concat(F.lit("leaf "), F.col("leaf").cast("string"))).otherwise(F.hex("line"))
-    named = written(variants.join(constants, "leaf", "left").select("line", template.alias("template")), "templates")
+    variants = written(lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line", "masked").agg(F.count("*").alias("n")), "variants")
+    grown = _grown(variants, least).select(F.col("line").alias("grown"), "template")
+    template = F.coalesce("template", F.hex("line"))
+    named = written(variants.join(grown, F.col("line") == F.col("grown"), "left").select("line", template.alias("template")), "templates")
     seen = lines.select("line", "doc_id").distinct().join(named, "line").select("template", "doc_id").distinct()
     often = seen.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least)
     return named.join(often, "template").select("line", "template", "docs", "first")
 
 
-def _without(docs: DataFrame, lines: DataFrame, often: DataFrame) -> DataFrame:
-    """``docs`` without the ``lines`` that are in ``often`` (line, first), but for the first document, and n_lines and n_dropped."""
+def _without(docs: DataFrame, lines: DataFrame, often: DataFrame, counts: bool) -> DataFrame:
+    """``docs`` without the ``lines`` that are in ``often`` (line, first), but for the first document; with ``counts`` n_lines and n_dropped."""
     lost = lines.select("doc_id", "row", "at", "line").join(often, "line").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    lost = lost.groupBy(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row")).agg(F.collect_set("at").alias("__lost"))  # of one document
-    kept = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__row")), "left")
+    lost = lost.groupBy("doc_id", "row").agg(F.collect_set("at").alias("lost"))  # of one document
+    kept = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(lost["doc_id"]) & (F.xxhash64(docs["text"]) == lost["row"]), "left")
     parts = F.split(docs["text"], "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lost"))
-    text = F.when(F.col("__lost").isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost["lost"])
+    text = F.when(lost["lost"].isNull(), docs["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
+    own = {"n_lines": F.size(parts), "n_dropped": F.size(lost["lost"])} if counts else {}
     return kept.select(
-        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("__lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        *[text.alias(c) if c == "text" else docs[c] for c in docs.columns if c.lower() not in own],
+        *[F.coalesce(n, F.lit(0)).cast("bigint").alias(c) for c, n in own.items()],
     )
 
 
-def drop_recurring(docs: DataFrame, least: int = 5) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with ``text`` lacking recurring lines, and n_lines and n_dropped."""
-    texts = docs.select("doc_id", "text")
-    lines = written(lines_of(texts).drop("masked"), "lines")
-    return _without(docs, lines, templates(texts, lines, least).select("line", "first"))
+def drop_recurring(docs: DataFrame, least: int = 5, counts: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with ``text`` lacking recurring lines.
+
+    With ``counts`` also n_lines and n_dropped, which replace columns of these names.
+    """
+    lines = written(lines_of(docs.select("doc_id", "text")), "lines")
+    return _without(docs, lines, templates(lines, least).select("line", "first"), counts)
 
 
-def drop_passages(docs: DataFrame, tokens: int = 50) -> DataFrame:
+def drop_passages(docs: DataFrame, tokens: int = 50, counts: bool = True) -> DataFrame:
     """As ``drop_recurring``, of the lines with over ``tokens`` tokens that two documents have, variable fields masked."""
     lines = written(lines_of(docs.select("doc_id", "text"), tokens).select("doc_id", "row", "at", "line"), "passages")
     seen = lines.select("line", "doc_id").distinct().groupBy("line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    return _without(docs, lines, seen.where("docs > 1").select("line", "first"))
+    return _without(docs, lines, seen.where("docs > 1").select("line", "first"), counts)

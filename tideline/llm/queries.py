@@ -72,18 +72,24 @@ NOT_SPACE = "[^\\x20\\x09-\\x0D]*"
 
 
 @query("op5_line_templates", f"""
-WITH l AS (
+WITH RECURSIVE l AS (
   SELECT doc_id, pos, string_split(text, chr(10))[pos] AS raw FROM documents, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(pos)),
 m AS (SELECT *, trim(regexp_replace(CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_replace(raw, '{NOT_SPACE}[0-9]{NOT_SPACE}', '<*>', 'g') ELSE raw END, '{SPACE}', ' ', 'g')) AS masked FROM l),
 t AS (SELECT doc_id, pos, masked, string_split(masked, ' ') AS tokens FROM m WHERE masked <> ''),
 v AS (SELECT *, CAST(len(tokens) AS VARCHAR) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM t),
 cand AS (SELECT leaf FROM v GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
-w AS (SELECT leaf, masked, any_value(tokens) AS tokens, count(*) AS n FROM v SEMI JOIN cand USING (leaf) GROUP BY ALL),
-sev AS (SELECT leaf, sum(n) AS total FROM w GROUP BY leaf HAVING count(*) > 1),
-tok AS (SELECT leaf, total, i, tokens[i] AS token, sum(n) AS n FROM w JOIN sev USING (leaf), unnest(generate_series(1, len(tokens))) AS u(i) GROUP BY ALL),
-con AS (SELECT leaf, i, token FROM tok WHERE 2 * n > total),
-agree AS (SELECT x.leaf, x.masked, count(*) AS hits FROM (SELECT leaf, masked, i, tokens[i] AS token FROM w, unnest(generate_series(1, len(tokens))) AS u(i)) x JOIN con USING (leaf, i, token) GROUP BY ALL),
-named AS (SELECT w.leaf, w.masked, CASE WHEN coalesce(hits, 0) >= 0.8 * len(tokens) THEN w.leaf || '*' ELSE w.leaf || '=' || w.masked END AS template FROM w LEFT JOIN agree USING (leaf, masked)),
+w AS (SELECT leaf, masked, any_value(tokens)[4:] AS rest, CAST(count(*) AS BIGINT) AS n FROM v SEMI JOIN cand USING (leaf) GROUP BY leaf, masked),
+r AS (
+  SELECT leaf AS grp, leaf, masked, rest, n, false AS same FROM w
+  UNION ALL SELECT * FROM (
+    WITH s AS (SELECT grp, sum(n) AS total FROM r WHERE NOT same GROUP BY grp HAVING count(*) > 1 AND sum(n) >= 5),
+    o AS (SELECT r.*, total FROM r JOIN s USING (grp) WHERE NOT same),
+    x AS (SELECT grp, leaf, masked, n, total, unnest(rest) AS token, generate_subscripts(rest, 1) AS i FROM o),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY grp, i, token) AS c FROM x),
+    j AS (SELECT grp, leaf, masked, count(*) FILTER (2 * c > total) AS hits, max(struct_pack(c := c, back := -i, token := token)) FILTER (2 * c <= total AND c >= 5) AS top FROM c GROUP BY grp, leaf, masked),
+    k AS (SELECT o.*, 2 * hits >= len(o.rest) AS fits, top FROM o JOIN j USING (grp, leaf, masked))
+    SELECT CASE WHEN fits THEN grp ELSE grp || ' | ' || CAST(-top.back AS VARCHAR) || ' ' || top.token END, leaf, masked, rest, n, fits FROM k WHERE fits OR top IS NOT NULL)),
+named AS (SELECT w.leaf, w.masked, CASE WHEN r.grp IS NOT NULL THEN '* ' || r.grp ELSE '= ' || w.masked END AS template FROM w LEFT JOIN (SELECT * FROM r WHERE same) r USING (leaf, masked)),
 often AS (SELECT template, min(doc_id) AS first FROM v JOIN named USING (leaf, masked) GROUP BY template HAVING count(DISTINCT doc_id) >= 5),
 lost AS (SELECT doc_id, pos FROM v JOIN named USING (leaf, masked) JOIN often USING (template) WHERE doc_id <> first),
 kept AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.pos) FILTER (lost.pos IS NULL) AS text, count(*) AS n_lines, count(lost.pos) AS n_dropped FROM l LEFT JOIN lost USING (doc_id, pos) GROUP BY l.doc_id)
