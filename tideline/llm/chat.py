@@ -122,9 +122,9 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 def as_tree(turns: DataFrame) -> DataFrame:
     """Flat conversations (conv_id, turn, role, text) as trees: every turn answers the one before it.
 
-    Turns of a conversation that share a number are ordered by role and text; exact repeats count once.
+    Turns of a conversation that share a number are ordered by role and text; rows that repeat are turns of their own.
     """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("at", F.row_number().over(order).cast("bigint"))
     key = lambda at: F.struct(F.col("conv_id").alias("conv_id"), at.alias("at"))
