@@ -161,7 +161,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with all their columns and ``copies``.
+    """The rows of ``docs`` that the mix takes, with all their columns and ``copies``, which replaces a column of that name.
 
     Rows that repeat an id, source and size all get the most copies drawn among them.
     """

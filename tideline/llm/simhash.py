@@ -41,6 +41,8 @@ from tideline.session import written
 BITS = 64
 #: Fingerprints of one block value that are compared as one tile, and the most of a tile elsewhere.
 TILE = 2048
+#: Values of all blocks up to which their counts are broadcast.
+BROADCAST = 1 << 17
 #: What a hash is multiplied by for each further word of a fingerprint.
 MIX = 0x9E3779B97F4A7C15
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -127,7 +129,9 @@ def _tiled(fps: DataFrame, radius: int, words: int, blocks: int) -> DataFrame:
     counts = rows.groupBy("block", "value", "band").agg(F.count("*").alias("n"))
     cuts = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / TILE).cast("int"))))  # a few bands
     counts = counts.groupBy("block", "value").agg(F.sum("n").alias("total"), cuts.alias("tiles"))
-    rows = rows.join(counts.where("total > 1"), ["block", "value"])
+    counts = counts.where("total > 1")
+    most = len(parts) * sum(1 << (b - a) for a, b in zip(edges, edges[1:], strict=False))  # values of all blocks, whatever the rows
+    rows = rows.join(F.broadcast(counts) if most <= BROADCAST else counts, ["block", "value"])
     small = rows.where(F.col("total") <= TILE).select(F.xxhash64("block", "value").alias("pair"), F.lit(0).alias("part"), "fp")
     own = F.struct(F.col("band"), F.pmod(F.xxhash64("fp"), F.element_at("tiles", F.col("band"))).cast("int").alias("cut"))
     near = F.filter(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda p: F.map_contains_key("tiles", p))
@@ -305,5 +309,5 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     their group has one.
     """
     groups = similar_groups(docs, width, similarity, words, seed)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__doc_id")), "left_semi")
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
