@@ -29,18 +29,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_sample(labelled: DataFrame, label: str, per_label: int) -> DataFrame:
-    """(doc_id, label) of at most ``per_label`` rows of each label, chosen by a hash of the id.
+    """At most ``per_label`` different rows of each label, chosen by a hash of the other columns, with ``label`` for the label's name.
 
     A threshold on the hash first brings each label down to about the bound, so that no label's
     rows are gathered; the exact bound is then applied to what is left.
     """
     from pyspark.sql import Window as W
 
-    rows = labelled.select("doc_id", F.col(label).alias("label")).withColumn("u", uniform(F.lit(7), "doc_id"))
-    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    keys = [c for c in labelled.columns if c != label]
+    rows = labelled.select(*keys, F.col(label).alias("label")).distinct().withColumn("u", uniform(F.lit(7), *keys))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))  # one row a label
     near = rows.join(F.broadcast(counts), "label").where(F.col("u") * F.col("n") <= 1.1 * per_label + 50)
-    order = F.row_number().over(W.partitionBy("label").orderBy("u", "doc_id"))
-    return near.withColumn("at", order).where(F.col("at") <= per_label).select("doc_id", "label")
+    order = F.row_number().over(W.partitionBy("label").orderBy("u", *keys))
+    return near.withColumn("at", order).where(F.col("at") <= per_label).select(*keys, "label")
 
 
 #: Rows of one key from which a lookup deals them out, and over how many parts.

@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.llm.common import bounded_sample, held_out
+from tideline.session import written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -130,9 +131,10 @@ class Scorer:
 
 def fit(docs: DataFrame, per_label: int = 2000, most_words: int = 20_000, most_grams: int = 10_000) -> Model:
     """Learn from ``docs`` (doc_id, text, lang), from rows with a language that are not held out."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = bounded_sample(rows, "lang", per_label)
-    words = _word_counts(rows.join(F.broadcast(chosen), "doc_id").where("label = lang"))
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("row")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = bounded_sample(rows.select("doc_id", "row", "lang"), "lang", per_label)
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "row"]).where("label = lang").dropDuplicates(["doc_id", "row", "label"])
+    words = _word_counts(written(sample.select("label", "text"), "sample"))  # ``per_label`` rows a language
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
     grams = words.select("label", "n", F.explode(F.concat(*[cut(n) for n in range(1, LONGEST + 1)])).alias("gram"))

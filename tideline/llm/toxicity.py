@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import bounded_sample, held_out
 from tideline.llm.langid import LETTERS, words_of
+from tideline.session import written
 
 STEMS = (4, 5, 6, 7, 8)
 WINDOW = 6
@@ -175,10 +176,12 @@ class Scorer:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
-    """(label, text) of the sample."""
+    """(label, text) of the sample; of rows that repeat an id the text with the smallest digest."""
     rows = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = bounded_sample(rows, "toxic", per_label)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("row"), "text")).alias("one"))
+    return written(one.select("label", "one.text"), "sample")  # ``per_label`` rows a label
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
