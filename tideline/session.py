@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +27,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Paths of the tables written inside the innermost ``written_alone``.
+_on_the_way: ContextVar[list[str] | None] = ContextVar("on_the_way", default=None)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete the tables that this application wrote into its shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
@@ -39,9 +49,28 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _on_the_way.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_alone(spark: SparkSession, build: Callable[[], DataFrame], name: str = "step") -> DataFrame:
+    """``written(build())``; the tables that ``build`` wrote on its way are deleted once that is done.
+
+    So ``build`` must not hand them to anyone else.
+    """
+    paths: list[str] = []
+    token = _on_the_way.set(paths)
+    try:
+        df = build()
+    finally:
+        _on_the_way.reset(token)
+    out = written(df, name)
+    for path in paths:
+        _delete(spark, path)
+    return out
+
+
 def local_session(cores: str = "8", app: str = "tideline", folder: str = "/tmp/tideline-work") -> SparkSession:
     """Single-machine session for tests and the benchmark; ``folder`` takes its intermediate tables."""
     spark = (
