@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import salted_lookup
-from tideline.session import written
+from tideline.session import written, written_alone
 
 DEPTH = 3
 SIMILAR = 0.5
@@ -117,10 +117,14 @@ def templates(lines: DataFrame, least: int) -> DataFrame:
     return named.join(often, "template").select("line", "template", "docs", "first")
 
 
-def _without(docs: DataFrame, lines: DataFrame, often: DataFrame, counts: bool) -> DataFrame:
-    """``docs`` without the ``lines`` that are in ``often`` (line, first), but for the first document; with ``counts`` n_lines and n_dropped."""
+def _lost(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """(doc_id, row, lost): places of the ``lines`` that are in ``often`` (line, first), but for the first document's."""
     lost = lines.select("doc_id", "row", "at", "line").join(often, "line").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    lost = lost.groupBy("doc_id", "row").agg(F.collect_set("at").alias("lost"))  # of one document
+    return lost.groupBy("doc_id", "row").agg(F.collect_set("at").alias("lost"))  # of one document
+
+
+def _without(docs: DataFrame, lost: DataFrame, counts: bool) -> DataFrame:
+    """``docs`` without the lines of ``_lost``; with ``counts`` n_lines and n_dropped."""
     kept = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(lost["doc_id"]) & (F.xxhash64(docs["text"]) == lost["row"]), "left")
     parts = F.split(docs["text"], "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost["lost"])
@@ -137,12 +141,20 @@ def drop_recurring(docs: DataFrame, least: int = 5, counts: bool = True) -> Data
 
     With ``counts`` also n_lines and n_dropped, which replace columns of these names.
     """
-    lines = written(lines_of(docs.select("doc_id", "text")), "lines")
-    return _without(docs, lines, templates(lines, least).select("line", "first"), counts)
+
+    def lost() -> DataFrame:
+        lines = written(lines_of(docs.select("doc_id", "text")), "lines")
+        return _lost(lines, templates(lines, least).select("line", "first"))
+
+    return _without(docs, written_alone(docs.sparkSession, lost, "lost"), counts)
 
 
 def drop_passages(docs: DataFrame, tokens: int = 50, counts: bool = True) -> DataFrame:
     """As ``drop_recurring``, of the lines with over ``tokens`` tokens that two documents have, variable fields masked."""
-    lines = written(lines_of(docs.select("doc_id", "text"), tokens).select("doc_id", "row", "at", "line"), "passages")
-    seen = lines.select("line", "doc_id").distinct().groupBy("line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
-    return _without(docs, lines, seen.where("docs > 1").select("line", "first"), counts)
+
+    def lost() -> DataFrame:
+        lines = written(lines_of(docs.select("doc_id", "text"), tokens).select("doc_id", "row", "at", "line"), "passages")
+        seen = lines.select("line", "doc_id").distinct().groupBy("line").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+        return _lost(lines, seen.where("docs > 1").select("line", "first"))
+
+    return _without(docs, written_alone(docs.sparkSession, lost, "lost"), counts)

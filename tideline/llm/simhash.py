@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import WORD, tasks
 from tideline.llm.components import components
-from tideline.session import written
+from tideline.session import written, written_alone
 
 BITS = 64
 #: Fingerprints of one block value that are compared as one tile, and the most of a tile elsewhere.
@@ -308,6 +308,10 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     group stays, with all rows that repeat its id; rows without an id stay only if no member of
     their group has one.
     """
-    groups = similar_groups(docs, width, similarity, words, seed)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+
+    def first() -> DataFrame:
+        groups = similar_groups(docs, width, similarity, words, seed)
+        return groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+
+    keep = written_alone(docs.sparkSession, first, "first-of-group")
     return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
