@@ -20,13 +20,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines whose template recurs in five documents or more, but for the first document; no document goes."""
-    return line_templates.drop_recurring(docs).select(*docs.columns)
+    return line_templates.drop_recurring(docs, counts=False)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group whose five-word shingles are similar to 0.8 or more; of these drop passages that an earlier one has."""
     kept = written(simhash.one_of_each_group(docs), "near-dedup-kept")
-    return line_templates.drop_passages(kept).select(*docs.columns)
+    return line_templates.drop_passages(kept, counts=False)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
