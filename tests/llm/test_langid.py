@@ -70,3 +70,14 @@ def test_rejecting_keeps_clean_rows_and_all_columns(spark, frame, learned):
     out = langid.reject_unknown(learned.unionAll(extra))
     assert out.schema == learned.schema and out.count() == learned.count()
     assert langid.reject_unknown(frame([])).count() == 0
+
+
+def test_one_id_on_many_rows(frame):
+    """Repeats of an id neither empty the sample nor multiply it."""
+    from tideline.llm.common import bounded_sample
+
+    rows = [(i, f"text {k}", "en", "a") for i in (1, 11) for k in range(2000)] + [(11, "text 0", "en", "a")] * 500
+    df = frame(rows).selectExpr("doc_id", "xxhash64(text) AS row", "lang")
+    got = [tuple(r) for r in bounded_sample(df, "lang", 300).collect()]
+    assert len(got) == 300 == len(set(got)) and {r[2] for r in got} == {"en"} and {r[0] for r in got} == {1, 11}
+    assert bounded_sample(df, "lang", 9000).count() == 4000
