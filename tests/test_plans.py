@@ -28,6 +28,11 @@ def test_all_features_share_one_exchange(spark):
     assert len(ind.all_features(bars_d(spark, SF)).columns) == 69  # key, ts, 5 base and 62 derived columns
 
 
+def test_wide_feature_rows_are_never_sorted(spark):
+    sorts = re.findall(r"Sort \[([^\]]*)\]", plan(ind.all_features(bars_d(spark, SF))))
+    assert "__block" not in sorts[0] and "__block" in sorts[1]  # the order by blocks is below the features
+
+
 def test_unused_features_are_pruned(spark):
     p = plan(ind.all_features(bars_d(spark, SF), drop_incomplete=False).select("series_key", "ts", "sma_5"))
     assert "stddev" not in p and p.count("Window [") == 1

@@ -342,9 +342,11 @@ FEATURE_LOOKBACK = 2 * 520 + 101
 def all_features(df: DataFrame, keys: Sequence[str] = KEYS, drop_incomplete: bool = True) -> DataFrame:
     """The full feature table: 6 bar columns and 62 derived ones, incomplete rows dropped.
 
-    Unused features cost nothing: a later ``select`` prunes their window expressions.
+    Unused features cost nothing: a later ``select`` prunes their window expressions. Exponential means need an
+    order by blocks of their own, so they come first, while the rows that are sorted for them are narrow.
     """
-    d = df.withColumn("__row", F.row_number().over(series_window(keys)) - 1)
+    d = macd(df, keys, emas={f"ema_{n}": n for n in (5, 10, 20)})
+    smooth = [n for n in d.columns if n not in df.columns]
     d = add_features(
         d,
         [
@@ -355,7 +357,7 @@ def all_features(df: DataFrame, keys: Sequence[str] = KEYS, drop_incomplete: boo
         ],
         keys,
     )
-    d = macd(d, keys, emas={f"ema_{n}": n for n in (5, 10, 20)})
+    d = d.select(*[n for n in d.columns if n not in smooth], *smooth)
     return d.na.drop() if drop_incomplete else d
 
 
