@@ -200,3 +200,31 @@ def test_more_windows_than_fifty(spark):
     out = sp.walk_forward_windows(lengths, 200, 60, 24).toPandas()
     assert (out[out.series_key == "long"].fold.nunique(), out[out.series_key == "exact"].fold.nunique()) == (90, 1) and "short" not in set(out.series_key)
     assert sp.walk_forward_windows(lengths, 200, 60, 24, most=3).toPandas().fold.max() == 2
+
+
+def test_signals_side_by_side_equal_one_backtest_each(spark):
+    rows = [("m", k, i, 100.0 + (i * 37 + k * 11) % 23, (i * (k + 3)) % 5 - 2, (i * 7) % 3 - 1) for k in range(3) for i in range(40)]
+    d = spark.createDataFrame(rows, "model string, series_key int, ts int, close double, a int, b int")
+    both = bt.backtests(d, {"a": F.col("a"), "b": F.col("b")}, [0.0, 0.002])
+    got = {(r["strategy"], r["fee"], r["series_key"]): r.asDict() for r in both.collect()}
+    assert len(got) == 12
+    for s in ("a", "b"):
+        for fee in (0.0, 0.002):
+            for r in bt.backtest_metrics(bt.backtest(d.withColumn("signal", F.col(s)), fee=fee)).collect():
+                other = got[s, fee, r["series_key"]]
+                assert all(other[c] == pytest.approx(x, rel=1e-9, abs=1e-12) for c, x in r.asDict().items() if c != "model")
+
+
+def test_rankings_of_a_sweep_read_it_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        runs.add(1)
+        return x
+
+    d = spark.createDataFrame([("m", k, 0.0, 0.0, 0.0, k / 7, -0.5, k % 3 / 2) for k in range(20)], "model string, series_key int, confidence double, fee double, change double, total_return double, max_drawdown double, sharpe double")
+    top = bt.top_k_sweep(d.withColumn("sharpe", counted("sharpe")), k=3).collect()
+    assert len(top) == 9 and runs.value == 20
+    assert [r["series_key"] for r in top if r["ranking"] == "return"] == [19, 18, 17]
+    assert [r["series_key"] for r in top if r["ranking"] == "sharpe"] == [2, 5, 8]

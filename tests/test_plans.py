@@ -38,6 +38,16 @@ def test_unused_features_are_pruned(spark):
     assert "stddev" not in p and p.count("Window [") == 1
 
 
+def test_sweeps_and_strategies_sort_rows_once_and_copy_none(spark):
+    from tideline.plans import trading
+
+    for df in (trading.swept(spark, SF), trading.results(spark, SF)):
+        p = plan(df)
+        rows = p[p.index("Window ["):]  # below the aggregate of a group
+        assert rows.count("Generate") == 0 and "confidence" not in rows and "strategy" not in rows
+        assert len(re.findall(r"Sort \[", rows)) == 2  # series, then models of a series
+
+
 def test_sources_align_in_one_pass(spark):
     b = bars_d(spark, SF).select("series_key", "ts", "close")
     a = b.where("close > 100").withColumnRenamed("close", "c1")

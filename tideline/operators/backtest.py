@@ -163,50 +163,78 @@ def buy_hold_benchmark(df: DataFrame, by: Sequence[str] = BY, price="close", cap
     ).drop("__n", "__a", "__z", "__m", "__s")
 
 
+def backtests(df: DataFrame, signals: dict[str, Column], fees: Sequence[float], by: Sequence[str] = BY, price="close", capital: float = 1000.0, name="strategy") -> DataFrame:
+    """``backtest_metrics`` of several signals on the same rows: one result row per group, signal (``name``) and ``fee``.
+
+    Signals are columns side by side, and so are fees, until the figures are finished: rows are sorted once, as narrow as
+    they come, and never copied. A fee changes no signal: the equity is the growth of the held position times (1 - fee)
+    to the number of trades so far.
+    """
+    w, ids = series_window(by), range(len(signals))
+    here, col = so_far(w), F.col
+    d = df.select(*by, "ts", col(price).alias("__price"), *[F.when(s != 0, s).alias(f"__s{i}") for i, s in enumerate(signals.values())])
+    first = {"__before": ("last", col("__price"), True)}
+    for i in ids:
+        first |= {f"__state{i}": ("last", col(f"__s{i}")), f"__held{i}": ("last", col(f"__s{i}"), True)}
+    d = running(d, by, ["ts"], first).drop(*[f"__s{i}" for i in ids])
+    moves = {}
+    for i in ids:
+        state, held = F.coalesce(f"__state{i}", F.lit(-1)), F.coalesce(f"__held{i}", F.lit(-1))
+        moves |= {
+            f"__growth{i}": F.when(held == 1, col("__price") / col("__before")).otherwise(F.lit(1.0)),
+            f"__trade{i}": (state != held).cast("int"), f"__sells{i}": (state != held) & (state != 1),
+        }
+    d = d.withColumns(moves).drop(*[f"__{x}{i}" for x in ("state", "held") for i in ids])
+    second = {}
+    for i in ids:
+        second |= {f"__entry{i}": ("last", F.when(col(f"__trade{i}") == 1, col("__price")), True), f"__trades{i}": ("sum", col(f"__trade{i}"))}
+    d = running(d, by, ["ts"], second).withColumns({f"__grown{i}": F.product(f"__growth{i}").over(here) for i in ids})
+    pairs = [(i, j, float(f)) for i in ids for j, f in enumerate(fees)]
+    d = d.withColumns({f"__e{i}_{j}": capital * col(f"__grown{i}") * F.pow(F.lit(1.0 - f), col(f"__trades{i}").cast("double")) for i, j, f in pairs})
+    d = d.drop(*[f"__{x}{i}" for x in ("grown", "trades") for i in ids])
+    d = d.withColumns({f"__peak{i}_{j}": F.max(f"__e{i}_{j}").over(here) for i, j, _ in pairs})
+    won = lambda i: F.when(col(f"__sells{i}"), (col("__price") > col(f"__entry{i}")).cast("double"))
+    ret = lambda i, f: F.when(col("__before").isNull(), 0.0).otherwise(col(f"__growth{i}") * F.when(col(f"__trade{i}") == 1, 1.0 - f).otherwise(1.0) - 1)
+    aggs = []
+    for i in ids:
+        aggs += [F.coalesce(F.avg(won(i)), F.lit(0.0)).alias(f"__w{i}"), F.sum(f"__trade{i}").cast("bigint").alias(f"__t{i}")]
+    for i, j, f in pairs:
+        aggs.append(F.struct(
+            F.max_by(f"__e{i}_{j}", "ts").alias("final_equity"), F.avg(ret(i, f)).alias("__m"), F.stddev_samp(ret(i, f)).alias("__s"),
+            F.min(col(f"__e{i}_{j}") / col(f"__peak{i}_{j}") - 1).alias("max_drawdown"),
+        ).alias(f"__f{i}_{j}"))
+    g = d.groupBy(*by).agg(F.count("*").alias("__n"), *aggs)
+    rows = [F.struct(F.lit(n).alias(name), F.lit(f).alias("fee"), col(f"__w{i}").alias("win_rate"), col(f"__t{i}").alias("num_trades"), col(f"__f{i}_{j}").alias("__f"))
+            for (i, j, f) in pairs for n in [list(signals)[i]]]
+    g = g.select(*by, "__n", F.explode(F.array(*rows)).alias("__r")).select(*by, "__n", "__r.*").select("*", "__f.*").drop("__f")
+    return figures(g, capital)
+
+
 def sweep(df: DataFrame, confidences: Sequence[float], fees: Sequence[float], changes: Sequence[float], by: Sequence[str] = BY, price="close", capital: float = 1000.0) -> DataFrame:
     """Directional strategy over all parameter combinations, one result row each.
 
-    Only confidences multiply rows. A fee changes no signal: the equity is the growth of the held
-    position times (1 - fee) to the number of trades so far, so fees are columns side by side until the
-    figures are finished. ``change`` does not enter this signal; its values copy finished rows.
+    All are run side by side (``backtests``). ``change`` does not enter this signal; its values copy finished rows.
     """
-    w, keys = series_window(by), [*by, "confidence"]
+    w = series_window(by)
     d = df.withColumn("__p", _filled("predicted", w))
     d = d.withColumns({"__move": pct_change(F.col("__p"), w)}).drop("__p")
-    d = d.withColumn("confidence", F.explode(F.array(*[F.lit(float(c)) for c in confidences])))
-    d = d.withColumn("signal", F.coalesce(_sign_beyond(F.col("__move"), F.col("confidence")), F.lit(0)))
-    d = d.select(*keys, "ts", F.col(price).alias("__price"), F.when(F.col("signal") != 0, F.col("signal")).alias("__signal"))
-    d = running(d, keys, ["ts"], {"__state": ("last", F.col("__signal")), "__held": ("last", F.col("__signal"), True), "__before": ("last", F.col("__price"), True)})
-    state, held = F.coalesce("__state", F.lit(-1)), F.coalesce("__held", F.lit(-1))
-    d = d.withColumns({"__growth": F.when(held == 1, F.col("__price") / F.col("__before")).otherwise(F.lit(1.0)), "__trade": (state != held).cast("int"), "__sells": (state != held) & (state != 1)})
-    entry = F.when(F.col("__trade") == 1, F.col("__price"))
-    here = so_far(series_window(keys, ["ts"]))
-    d = running(d, keys, ["ts"], {"__entry": ("last", entry, True), "__trades": ("sum", F.col("__trade"))}).withColumn("__grown", F.product("__growth").over(here))
-    equity = {f"__e{i}": capital * F.col("__grown") * F.pow(F.lit(1.0 - f), F.col("__trades").cast("double")) for i, f in enumerate(fees)}
-    d = d.withColumns(equity)
-    d = d.withColumns({f"__peak{i}": F.max(f"__e{i}").over(here) for i in range(len(fees))})
-    ret = {f"__r{i}": F.when(F.col("__before").isNull(), 0.0).otherwise(F.col("__growth") * F.when(F.col("__trade") == 1, 1.0 - f).otherwise(1.0) - 1) for i, f in enumerate(fees)}
-    won = F.when(F.col("__sells"), (F.col("__price") > F.col("__entry")).cast("double"))
-    g = d.withColumns(ret).groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.coalesce(F.avg(won), F.lit(0.0)).alias("win_rate"), F.sum("__trade").cast("bigint").alias("num_trades"),
-        *[F.struct(
-            F.lit(float(f)).alias("fee"), F.max_by(f"__e{i}", "ts").alias("final_equity"), F.avg(f"__r{i}").alias("__m"), F.stddev_samp(f"__r{i}").alias("__s"),
-            F.min(F.col(f"__e{i}") / F.col(f"__peak{i}") - 1).alias("max_drawdown"),
-        ).alias(f"__f{i}") for i, f in enumerate(fees)],
-    )
-    g = g.withColumn("__f", F.explode(F.array(*[F.col(f"__f{i}") for i in range(len(fees))]))).select(*keys, "__n", "win_rate", "num_trades", "__f.*")
-    return figures(g, capital).withColumn("change", F.explode(F.array(*[F.lit(float(c)) for c in changes])))
+    signals = {float(c): F.coalesce(_sign_beyond(F.col("__move"), float(c)), F.lit(0)) for c in confidences}
+    g = backtests(d, signals, fees, by, price, capital, "confidence")
+    return g.withColumn("change", F.explode(F.array(*[F.lit(float(c)) for c in changes])))
 
 
 def top_k_sweep(results: DataFrame, k: int = 10, ties: Sequence[str] = ("model", "series_key", "confidence", "fee", "change"), digits: int = 9) -> DataFrame:
     """Best k by return, by Sharpe and by (return / |drawdown|) * Sharpe; ties by parameters.
 
-    Scores are rounded first: equal combinations differ in the last bits.
+    Scores are rounded first: equal combinations differ in the last bits. Three rankings read them, so they are
+    written once instead of running the sweep for each.
     """
     combined = ratio(F.col("total_return"), F.abs("max_drawdown")) * F.col("sharpe")
+    by = {"return": F.col("total_return"), "sharpe": F.col("sharpe"), "combined": combined}
+    scores = written(results.select("*", *[F.round(x, digits).alias(f"__{n}") for n, x in by.items()]), "sweep")
     out = None
-    for ranking, x in (("return", F.col("total_return")), ("sharpe", F.col("sharpe")), ("combined", combined)):
-        top = results.withColumns({"score": F.round(x, digits), "ranking": F.lit(ranking)}).orderBy(F.desc_nulls_last("score"), *ties).limit(k)
+    for ranking in by:
+        top = scores.withColumns({"score": F.col(f"__{ranking}"), "ranking": F.lit(ranking)}).drop(*[f"__{n}" for n in by]).orderBy(F.desc_nulls_last("score"), *ties).limit(k)
         out = top if out is None else out.unionByName(top)
     return out
 

@@ -128,10 +128,7 @@ def results(spark, d):
     f = fcast(spark, d)
     for s, name in _STRATS.items():
         f = _SIGNALS[name][0](f).withColumnRenamed("signal", f"s_{s}")
-    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(f"s_{s}").alias("signal")) for s in _STRATS]))
-    long = f.select("model", "series_key", "ts", "close", rows.alias("r")).select("model", "series_key", "ts", "close", "r.*")
-    by = ["model", "strategy", "series_key"]
-    return bt.backtest_metrics(bt.backtest(long, by, fee=0.001), by)
+    return bt.backtests(f, {s: F.col(f"s_{s}") for s in _STRATS}, [0.001]).drop("fee")
 
 
 _RES = FC + ", sx AS (" + " UNION ALL ".join(f"SELECT model, series_key, ts, close, '{s}' AS strategy, {_SIGNALS[n][1]} AS signal FROM fc" for s, n in _STRATS.items()) + "), " + _test("model, strategy, series_key", "sx")
