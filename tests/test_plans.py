@@ -33,6 +33,15 @@ def test_wide_feature_rows_are_never_sorted(spark):
     assert "__block" not in sorts[0] and "__block" in sorts[1]  # the order by blocks is below the features
 
 
+def test_medians_and_limits_of_a_series_read_rows_once(spark):
+    from tideline.operators import cleaning as cl
+
+    b = bars_d(spark, SF)
+    for d in (cl.fill_median(b, ["close"]), cl.winsorise(b, ["close"], F.col("volume") > 10)):
+        p = plan(d)
+        assert "Join" not in p and p.count("FileScan") == 1
+
+
 def test_unused_features_are_pruned(spark):
     p = plan(ind.all_features(bars_d(spark, SF), drop_incomplete=False).select("series_key", "ts", "sma_5"))
     assert "stddev" not in p and p.count("Window [") == 1

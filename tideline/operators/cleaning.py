@@ -103,9 +103,8 @@ def interpolate_linear(df: DataFrame, columns: Sequence[str], keys: Sequence[str
 
 def fill_median(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Remaining NULLs become the exact median of the series (bars: bounded rows per key)."""
-    m = df.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in columns])
-    d = df.join(m, list(keys), "left")
-    return d.withColumns({c: F.coalesce(c, f"__m_{c}") for c in columns}).drop(*[f"__m_{c}" for c in columns])
+    whole = Window.partitionBy(*keys)  # a join with the medians would make the rows twice
+    return df.withColumns({c: F.coalesce(c, F.percentile(c, F.lit(0.5)).over(whole)) for c in columns})
 
 
 def fill_mode(df: DataFrame, column: str, keys: Sequence[str], default: str = "unknown") -> DataFrame:
@@ -124,8 +123,8 @@ def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5,
     order. Exact, by ``nearest``. Rows without a donor stay NULL.
     """
     x = F.array(*[F.col(f).cast("double") for f in features])
-    rows = df.withColumn("__i", F.row_number().over(series_window(keys, order)))
-    base = written(rows.select(*keys, "__i", F.col(target).cast("double").alias("__y"), x.alias("__x")), "knn")
+    rows = written(df.withColumn("__i", F.row_number().over(series_window(keys, order))), "knn")
+    base = rows.select(*keys, "__i", F.col(target).cast("double").alias("__y"), x.alias("__x"))
     found = nearest(base, k, len(features), keys).groupBy(*keys, "__i").agg(F.avg("y").alias("__mean"))
     return rows.join(found, [*keys, "__i"], "left").withColumn(target, F.coalesce(F.col(target), F.col("__mean"))).drop("__mean", "__i")
 
@@ -243,10 +242,8 @@ def clean_bars(df: DataFrame, mode: str = "by_sign", keys: Sequence[str] = KEYS)
 
 def winsorise(df: DataFrame, columns: Sequence[str], flagged: Column, keys: Sequence[str] = KEYS, lo=0.05, hi=0.95) -> DataFrame:
     """Flagged rows only: limit each column to its exact quantiles within the series."""
-    q = df.groupBy(*keys).agg(
-        *[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"__q_{c}") for c in columns]
-    )
-    d = df.withColumn("__flag", flagged).join(q, list(keys), "left")
+    whole = Window.partitionBy(*keys)  # bars: bounded rows per key; a join with the quantiles would make the rows twice
+    d = df.withColumn("__flag", flagged).withColumns({f"__q_{c}": F.percentile(c, F.array(F.lit(lo), F.lit(hi))).over(whole) for c in columns})
     out = {
         c: F.when(F.col("__flag") & F.col(c).isNotNull(),
                   F.least(F.greatest(F.col(c), F.col(f"__q_{c}")[0]), F.col(f"__q_{c}")[1])).otherwise(F.col(c))
