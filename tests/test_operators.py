@@ -228,3 +228,11 @@ def test_rankings_of_a_sweep_read_it_once(spark):
     assert len(top) == 9 and runs.value == 20
     assert [r["series_key"] for r in top if r["ranking"] == "return"] == [19, 18, 17]
     assert [r["series_key"] for r in top if r["ranking"] == "sharpe"] == [2, 5, 8]
+
+
+def test_equal_lags_rank_by_lag_whatever_their_last_bits(spark):
+    from tideline.operators.regimes import autocorr_top_lags
+
+    x = np.floor(np.random.default_rng(574).uniform(1e4, 1e7, 96)) / 100
+    d = spark.createDataFrame([(x.tolist(),)], "x array<double>")
+    assert [t["lag"] for t in autocorr_top_lags(d, "x", digits=2).first()["top_lags"]] == [0, 8, 88, 34, 62]

@@ -148,7 +148,9 @@ def autocorr_top_lags(df: DataFrame, column: str, k: int = 5, digits: int = 6) -
         for x in arrays:
             x = np.asarray(x, dtype=float)
             f = np.fft.rfft(x)
-            r = np.round(np.fft.irfft(f * np.conj(f), n=len(x)), digits)
+            r = np.fft.irfft(f * np.conj(f), n=len(x))
+            r[1:] = (r[1:] + r[:0:-1]) / 2  # lags j and T - j are equal, but not in their last bits
+            r = np.round(r, digits)
             order = np.lexsort((np.arange(len(r)), -r))[:k]
             out.append([{"lag": int(i), "value": float(r[i])} for i in order])
         return pd.Series(out)
