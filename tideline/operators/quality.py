@@ -47,6 +47,16 @@ def adjusted_kurtosis(x: Column) -> Column:
     return F.when(F.count(x) > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
+def _quantile(ordered: Column, p: float) -> Column:
+    """Quantile of an ordered array, as ``low + (high - low) * share``.
+
+    ``percentile`` weighs both neighbours instead, whose last bits can put a value that lies on a fence beyond it.
+    """
+    at = (F.size(ordered) - 1) * F.lit(p)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+
+
 def _padded_change(x: str, w) -> Column:
     return F.last(x, ignorenulls=True).over(so_far(w))
 
@@ -59,9 +69,10 @@ def measure(df: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", externa
     rows = rows.withColumns(
         {f"_chg_{c}": F.abs(ratio(F.col(f"_pad_{c}"), F.lag(f"_pad_{c}").over(w)) - 1) for c in NUMERIC}
     )
-    quartiles = df.groupBy(*keys).agg(
-        *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in PRICES],
-        F.percentile("volume", F.lit(0.5)).alias("_median"),
+    ordered = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"_v_{c}") for c in NUMERIC])
+    quartiles = ordered.select(
+        *keys, *[F.array(*[_quantile(F.col(f"_v_{c}"), p) for p in (0.25, 0.75)]).alias(f"_q_{c}") for c in PRICES],
+        _quantile(F.col("_v_volume"), 0.5).alias("_median"),
     )
     # distinct times by grouping: a distinct count beside other aggregates would expand every row
     times = df.groupBy(*keys, "ts").agg(F.count("*").alias("_m")).groupBy(*keys).agg(F.count("*").alias("_times"))
@@ -255,7 +266,8 @@ def column_profile(df: DataFrame, columns: Sequence[str] = tuple(NUMERIC), keys:
     keys = list(keys)
     long = df.unpivot(keys, list(columns), "column", "x")
     by = [*keys, "column"]
-    q = long.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    ordered = long.groupBy(*by).agg(F.sort_array(F.collect_list(F.col("x").cast("double"))).alias("v"))
+    q = ordered.select(*by, F.array(*[_quantile(F.col("v"), p) for p in (0.25, 0.5, 0.75)]).alias("q"))
     x, q1, q3 = F.col("x"), F.col("q")[0], F.col("q")[2]
     outlier = (x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))
     return long.join(q, by).groupBy(*by).agg(
