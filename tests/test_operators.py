@@ -236,3 +236,54 @@ def test_equal_lags_rank_by_lag_whatever_their_last_bits(spark):
     x = np.floor(np.random.default_rng(574).uniform(1e4, 1e7, 96)) / 100
     d = spark.createDataFrame([(x.tolist(),)], "x array<double>")
     assert [t["lag"] for t in autocorr_top_lags(d, "x", digits=2).first()["top_lags"]] == [0, 8, 88, 34, 62]
+
+
+def test_quantile_bins_count_the_cut_points_reached(spark):
+    """Ties, NULLs, a column of one value and one without any; rows are binned without a function on arrays."""
+    import numpy as np
+
+    from tideline.operators.selection import quantile_bins
+
+    x = [float(i % 7) if i % 5 else None for i in range(60)]
+    df = spark.createDataFrame([(i, v, 3.0, None) for i, v in enumerate(x)], "id int, a double, one double, none double")
+    out = quantile_bins(df, ["a", "one", "none"], 4)
+    cuts = np.unique(np.quantile([v for v in x if v is not None], [0.25, 0.5, 0.75]))
+    want = [(i, None if v is None else int((cuts <= v).sum()), 1, None) for i, v in enumerate(x)]
+    assert sorted(map(tuple, out.collect())) == want
+    assert "filter(" not in out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forest_walks_as_node_by_node():
+    import numpy as np
+    import pandas as pd
+
+    from tideline.operators import isolation
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.lognormal(size=(5000, 3)), np.zeros((4, 3))])
+    trees = []
+    for _ in range(7):
+        nodes = []
+        isolation._grow(x[rng.choice(len(x), 64)], 0, 6, rng, nodes)
+        trees.append(pd.DataFrame(nodes, columns=["col", "cut", "left", "right", "depth"]))
+
+    def depth(t, row):
+        node = t.iloc[0]
+        while node.col >= 0:
+            node = t.iloc[int(node.left if row[int(node.col)] < node.cut else node.right)]
+        return node.depth
+
+    got = isolation._Forest(trees).mean_depths(x)
+    assert np.allclose([got[i] for i in (0, 4097, 5003)], [np.mean([depth(t, x[i]) for t in trees]) for i in (0, 4097, 5003)])
+
+
+def test_quantiles_of_few_keys_move_no_rows(spark):
+    """Ten columns are ten keys: their rows must not meet in ten tasks."""
+    from tideline.operators.ordered import exact_quantiles
+
+    df = spark.range(20_000).selectExpr("id % 2 AS k", "CAST(id * 7919 % 20011 AS DOUBLE) AS x")
+    few, many = (exact_quantiles(df, ["k"], "x", [0.1, 0.5], accuracy=1000, few_keys=f) for f in (True, False))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    text = few._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,13 +203,14 @@ def value_slices(df: DataFrame, keys: Sequence[str], column: str, slices: int =
     return d.withColumn(name, F.size(F.filter(F.coalesce("__cuts", F.array()), lambda c: c < F.col(column)))).drop("__cuts")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10_000, few_keys: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation for groups of any size: (keys, prob, quantile).
 
     A quantile sketch of each key, which is a partial aggregate of bounded size, gives two values that enclose the
     wanted ranks. Rows below are only counted; rows between, about a share of ``8 / accuracy`` of the
     group for each probability, are counted by value and the one or two at the ranks picked. Everything
     stays inside one plan. A sketch that misses its bounds raises an error instead of a wrong value.
+    ``few_keys`` (thousands at most) broadcasts the sketches and counts, so that rows of a large key are not moved to one task.
     """
     keys, probs = list(keys), [float(p) for p in probs]
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
@@ -219,12 +221,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     end = lambda i, infinite: F.when(few, F.lit(infinite)).otherwise(F.col("__e")[i])
     wanted = F.array(*[F.struct(F.lit(p).alias("prob"), end(i, -INF).alias("lo"), end(m + i, INF).alias("hi")) for i, p in enumerate(probs)])
     sketch = sketch.where("__n > 0").select(*keys, "__n", wanted.alias("__w"))
-    both = d.join(sketch, keys) if keys else d.crossJoin(F.broadcast(sketch))  # one row
+    small = F.broadcast if few_keys else (lambda x: x)
+    both = d.join(small(sketch), keys) if keys else d.crossJoin(F.broadcast(sketch))  # one row
     below = both.groupBy(*keys, "__n").agg(*[F.count(F.when(F.col("__v") < F.col("__w")[i]["lo"], 1)).alias(f"__b{i}") for i in range(m)])
     below = below.select(*keys, "__n", F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.col(f"__b{i}").alias("__below")) for i, p in enumerate(probs)])).alias("s")).select(*keys, "__n", "s.*")
     near = F.filter("__w", lambda w: (F.col("__v") >= w["lo"]) & (F.col("__v") <= w["hi"]))
-    inside = both.select(*keys, "__v", F.explode(near).alias("w")).groupBy(*keys, F.col("w.prob").alias("prob"), "__v").agg(F.count("*").alias("__m"))
-    c = inside.join(below, [*keys, "prob"])
+    between = [(F.col("__v") >= F.col("__w")[i]["lo"]) & (F.col("__v") <= F.col("__w")[i]["hi"]) for i in range(m)]
+    some = reduce(lambda a, b: a | b, between)  # compiled, unlike the filter of an array, which only the few rows left need
+    inside = both.where(some).select(*keys, "__v", F.explode(near).alias("w")).groupBy(*keys, F.col("w.prob").alias("prob"), "__v").agg(F.count("*").alias("__m"))
+    c = inside.join(small(below), [*keys, "prob"])
     c = c.withColumn("__hi", F.col("__below") + F.sum("__m").over(Window.partitionBy(*keys, "prob").orderBy("__v")))
     at = (F.col("__n") - 1) * F.col("prob")
     lo, up = F.floor(at), F.ceil(at)

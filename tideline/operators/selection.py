@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions.nulls import INF, correlation, ratio
 from tideline.session import written
@@ -101,11 +103,12 @@ def binned_mutual_info(df: DataFrame, columns: Sequence[str], target: str) -> Da
     """Mutual information in nats between the binned target and each binned column.
 
     Columns hold bin numbers (see ``quantile_bins``). One contingency count over all columns,
-    combined on the map side: at most features * bins^2 rows are shuffled per partition.
+    combined on the map side: at most features * bins^2 rows are shuffled per partition. The counts are written once.
     """
     cols = [c for c in columns if c != target]
     long = df.unpivot([target], cols, "feature", "x").where(F.col("x").isNotNull() & F.col(target).isNotNull())
     joint = long.groupBy("feature", "x", F.col(target).alias("y")).agg(F.count("*").cast("double").alias("n"))
+    joint = written(joint, "contingency")  # read four times
     nx = joint.groupBy("feature", "x").agg(F.sum("n").alias("nx"))
     ny = joint.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
     tot = joint.groupBy("feature").agg(F.sum("n").alias("t"))
@@ -115,16 +118,32 @@ def binned_mutual_info(df: DataFrame, columns: Sequence[str], target: str) -> Da
 
 
 def quantile_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Bin numbers by exact quantiles: how many of the different cut points a value reaches; NULL stays NULL."""
+    """Bin numbers by exact quantiles: how many of the different cut points a value reaches; NULL stays NULL.
+
+    The cut points, ``bins - 1`` numbers a column, are collected; rows are binned in Arrow batches, where a search among
+    sorted numbers takes a fraction of what a function on arrays takes row by row.
+    """
     from tideline.operators.ordered import exact_quantiles
 
     long = df.unpivot([], list(columns), "__column", "__value")
-    cuts = exact_quantiles(long, ["__column"], "__value", [i / bins for i in range(1, bins)])
-    cuts = cuts.groupBy("__column").agg(F.array_sort(F.collect_set("quantile")).alias("__cuts"))  # bins - 1 numbers a column
-    wide = cuts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("__column", "__cuts"))).alias("__all"))
-    d = df.crossJoin(F.broadcast(wide))  # one row
-    reached = lambda c: F.size(F.filter(F.element_at("__all", F.lit(c)), lambda q: q <= F.col(c)))
-    return d.withColumns({c: F.when(F.col(c).isNotNull(), reached(c)) for c in columns}).drop("__all")
+    cuts: dict[str, list[float]] = {c: [] for c in columns}
+    for r in exact_quantiles(long, ["__column"], "__value", [i / bins for i in range(1, bins)], few_keys=True).collect():
+        cuts[r["__column"]].append(r["quantile"])
+    sorted_cuts = {c: np.unique(q) for c, q in cuts.items()}
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for name, x in zip(b.schema.names, b.columns, strict=True):
+                if name in sorted_cuts:
+                    missing = x.is_null().to_numpy(zero_copy_only=False)
+                    reached = np.searchsorted(sorted_cuts[name], x.cast(pa.float64()).to_numpy(zero_copy_only=False), side="right")
+                    x = pa.array(reached.astype(np.int32), mask=missing)
+                out.append(x)
+            yield pa.RecordBatch.from_arrays(out, names=b.schema.names)
+
+    fields = [T.StructField(f.name, T.IntegerType()) if f.name in sorted_cuts else f for f in df.schema.fields]
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def combined_score(scores: DataFrame, mi: DataFrame) -> DataFrame:

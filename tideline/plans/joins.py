@@ -14,6 +14,7 @@ from tideline.plans.inputs import (
     TICKS, BARS_D, BARS_H, EVENT_TICKS, ORDER_DAYS, POSTS, bars_d, bars_h, epoch, event_ticks, order_days, posts, table,
 )
 from tideline.plans.registry import query
+from tideline.session import written
 
 W = "PARTITION BY series_key ORDER BY ts"
 TS = "epoch(ts)::BIGINT AS ts"
@@ -325,7 +326,7 @@ def _mi_sql(columns: list[str], source: str) -> str:
 
 @query("mutual_info_quantile_bins", f"WITH {_ROWS}, {_quantile_bins_sql([*_FEATURES, 'close'], 'rows')} {_mi_sql(_FEATURES, 'qb')}", "mi", digits=5)
 def mutual_info_quantile_bins(spark, d):
-    r = _feature_rows(spark, d).select(*_FEATURES, "close")
+    r = written(_feature_rows(spark, d).select(*_FEATURES, "close"), "feature-rows")  # three passes read them
     return sel.binned_mutual_info(sel.quantile_bins(r, [*_FEATURES, "close"]), _FEATURES, "close")
 
 
