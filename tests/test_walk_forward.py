@@ -63,3 +63,10 @@ def test_rows_are_sent_to_two_stretches_at_most(spark, monkeypatch):
 def test_no_windows(spark):
     df = sp.positioned(series(spark, {"a": 5}))
     assert fc.walk_forward(df, sp.walk_forward_windows(sp.series_lengths(df), 50, 10, 1), model()).count() == 0
+
+
+def test_a_model_gives_a_value_for_every_row(spark):
+    df = series(spark, {"a": 80})
+    windows = sp.walk_forward_windows(sp.series_lengths(df), 50, 10, 5)
+    with pytest.raises(Exception, match="gave 1 values for 10 rows"):
+        fc.walk_forward(sp.positioned(df), windows, lambda train, val: [0.0]).count()

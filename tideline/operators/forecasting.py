@@ -114,15 +114,20 @@ def walk_forward(df: DataFrame, windows: DataFrame, predict: Callable[[pd.DataFr
 
     def run(rows: pd.DataFrame, folds: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rn").drop(columns="__stretch").reset_index(drop=True)
-        at, parts = rows["rn"].to_numpy(), []
-        for f in folds.sort_values("fold").itertuples(index=False):
-            ends = [at.searchsorted(int(v)) for v in (f.train_lo, f.train_hi, f.val_lo, f.val_hi)]
-            train, val = rows.iloc[ends[0] : ends[1]], rows.iloc[ends[2] : ends[3]]
-            if len(train) and len(val):
-                out = val[[*keys, order]].assign(fold=f.fold, actual=val[column])
-                parts.append(out.assign(predicted=list(predict(train, val.drop(columns=[column])))))
-        names = [c.name for c in schema]
-        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+        folds, hidden = folds.sort_values("fold"), rows.drop(columns=[column])
+        ends = rows["rn"].to_numpy().searchsorted(folds[["train_lo", "train_hi", "val_lo", "val_hi"]].to_numpy().astype("int64"))
+        picked, names, values = [], [], []
+        # a window costs two slices and the model's call; its rows are put together once for all windows
+        for fold, (train_lo, train_hi, lo, hi) in zip(folds["fold"], ends.tolist(), strict=True):
+            if train_hi > train_lo and hi > lo:
+                predicted = list(predict(rows.iloc[train_lo:train_hi], hidden.iloc[lo:hi]))
+                if len(predicted) != hi - lo:
+                    raise ValueError(f"the model gave {len(predicted)} values for {hi - lo} rows")
+                picked += range(lo, hi)
+                names += [fold] * (hi - lo)
+                values += predicted
+        out = rows.take(picked).assign(fold=names, predicted=values).rename(columns={column: "actual"})
+        return out[[c.name for c in schema]]
 
     by = [*keys, "__stretch"]
     folds = folds.withColumnsRenamed({c: f"__fold_{c}" for c in by})  # the windows may come from the same table
