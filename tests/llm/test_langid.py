@@ -81,3 +81,24 @@ def test_one_id_on_many_rows(frame):
     got = [tuple(r) for r in bounded_sample(df, "lang", 300).collect()]
     assert len(got) == 300 == len(set(got)) and {r[2] for r in got} == {"en"} and {r[0] for r in got} == {1, 11}
     assert bounded_sample(df, "lang", 9000).count() == 4000
+
+
+def test_counts_come_from_all_labelled_rows(frame, monkeypatch):
+    """A word that only one of more than 2,000 texts has is counted, wherever it stands, and so is every repeat."""
+    monkeypatch.setattr(langid, "COUNTED", 50)
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"common own{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}", "en", "a") for k, i in enumerate(ids)]
+    words = {r["word"]: r["n"] for r in langid._word_counts(frame(rows).selectExpr("lang AS label", "text")).collect()}
+    assert words["common"] == len(ids) > 4000 and len(words) == len(ids) + 1
+    twice = langid.fit(frame([*rows, *rows]))
+    assert len(twice.word_at) == len(ids) + 1 and langid.fit(frame(rows)).word_at == {"common": 0}
+
+
+def test_grams_are_counted_once_a_place(frame):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    model, n = langid.fit(frame([(i, *x, "a") for i in ids for x in (("ab c ab", "en"), ("zz", "xx"))])), len(ids)
+    en = {"a": 2, "b": 2, "c": 1, " ": 6, " a": 2, "ab": 2, "b ": 2, " c": 1, "c ": 1, " ab": 2, "ab ": 2, " c ": 1, " ab ": 2}
+    xx = {"z": 2, " ": 2, " z": 1, "zz": 1, "z ": 1, " zz": 1, "zz ": 1, " zz ": 1}
+    only = langid.Model(["en", "xx"], [], [(lang, g, k * n) for lang, grams in (("en", en), ("xx", xx)) for g, k in grams.items()])
+    assert set(model.gram_at) == set(only.gram_at) == en.keys() | xx.keys()
+    assert all((model.gram_rows[model.gram_at[g]] == only.gram_rows[only.gram_at[g]]).all() for g in only.gram_at)

@@ -6,8 +6,8 @@ by the n-grams at each of its places, the longest known one: four characters, el
 A text's language has the highest mean over all of its words; ``score`` is the share of that
 language once the means are weighed by the number of words (up to ``CERTAIN``).
 
-The model is fitted on a bounded sample of labelled rows (``per_label`` of each language, at most
-``most_words`` words and ``most_grams`` n-grams of each length and language), which also bounds its
+The model counts the words of all labelled rows that are not held out, and holds the ``most_words`` most
+frequent words and ``most_grams`` most frequent n-grams of each length of each language, which bounds its
 size in every worker. All texts are scored whole.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and for all texts if
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import bounded_sample, held_out
+from tideline.llm.common import held_out
 from tideline.session import written
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -34,25 +34,32 @@ LONGEST = 4
 CERTAIN = 20
 #: Vectors of unseen words that a worker keeps.
 KEPT = 100_000
+#: Different words that a task counts before it hands their counts on.
+COUNTED = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
-def _word_counts(sample: DataFrame) -> DataFrame:
-    """(label, word, n) over all words of the sampled texts."""
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """(label, word, n) over all words of all ``rows`` (label, text)."""
+
+    def handed_on(counts):
+        for label, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["label", "word", "n"])
 
     def run(batches):
+        counts: dict[str, Counter] = {}
         for b in batches:
-            counts = Counter()
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                counts.update((label, w) for w in words_of(text.as_py()))
-            if counts:
-                labels, words = zip(*counts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["label", "word", "n"])
+                counts.setdefault(label, Counter()).update(words_of(text.as_py()))
+                if sum(map(len, counts.values())) > COUNTED:
+                    yield from handed_on(counts)
+                    counts = {}
+        yield from handed_on(counts)
 
-    return sample.select("label", "text").mapInArrow(run, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n"))
+    return rows.select("label", "text").mapInArrow(run, "label string, word string, n bigint").groupBy("label", "word").agg(F.sum("n").alias("n"))
 
 
 def _most(counts: DataFrame, keys: list[str], what: str, most: int) -> DataFrame:
@@ -135,18 +142,18 @@ class Scorer:
         return self.model.langs[best], float(1 / np.exp((mean - mean[best]) * min(n.sum(), CERTAIN)).sum())
 
 
-def fit(docs: DataFrame, per_label: int = 2000, most_words: int = 20_000, most_grams: int = 10_000) -> Model:
-    """Learn from ``docs`` (doc_id, text, lang), from rows with a language that are not held out."""
-    rows = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("row")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = bounded_sample(rows.select("doc_id", "row", "lang"), "lang", per_label)
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "row"]).where("label = lang").dropDuplicates(["doc_id", "row", "label"])
-    words = _word_counts(written(sample.select("label", "text"), "sample"))  # ``per_label`` rows a language
+def fit(docs: DataFrame, most_words: int = 20_000, most_grams: int = 10_000) -> Model:
+    """Learn from all rows of ``docs`` (doc_id, text, lang) with an id and a language that are not held out."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").alias("label"), "text")
+    words = written(_word_counts(rows), "words")
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-    grams = words.select("label", "n", F.explode(F.concat(*[cut(n) for n in range(1, LONGEST + 1)])).alias("gram"))
-    grams = grams.groupBy("label", F.length("gram").alias("size"), "gram").agg(F.sum("n").alias("n"))
+    # the n-grams at a place are the beginnings of its longest one, so words are cut into those alone
+    longest = F.transform(F.sequence(F.lit(1), F.length(padded)), lambda i: F.substring(padded, i, F.lit(LONGEST)))
+    pieces = words.select("label", "n", F.explode(longest).alias("piece")).groupBy("label", "piece").agg(F.sum("n").alias("n"))
+    begin = F.transform(F.sequence(F.lit(1), F.length("piece")), lambda n: F.substring(F.col("piece"), F.lit(1), n))
+    grams = pieces.select("label", "n", F.explode(begin).alias("gram")).groupBy("label", F.length("gram").alias("size"), "gram").agg(F.sum("n").alias("n"))
     kept = _most(words.where("n > 1"), ["label"], "word", most_words)  # at most most_words rows a language
-    langs = [r["label"] for r in chosen.select("label").distinct().collect()]
+    langs = [r["label"] for r in rows.select("label").distinct().collect()]
     return Model(langs, _triples(kept, "word", langs), _triples(_most(grams, ["label", "size"], "gram", most_grams), "gram", langs))
 
 
