@@ -77,3 +77,12 @@ def test_tick_queries_never_window_by_key_alone(spark):
 
     p = plan(running(event_ticks(spark, SF), ["series_key"], ["seq"], {"s": ("sum", F.col("price"))}, time_bucket(3600)))
     assert re.search(r"Exchange hashpartitioning\(series_key#\d+, __bucket", p)
+
+
+def test_models_of_a_series_stay_with_it(spark):
+    """Bars and series are shuffled once each; strategies of three models shuffle nothing by model and series."""
+    from tideline.plans import trading
+
+    for df in (trading.swept(spark, SF), trading.results(spark, SF)):
+        p = plan(df)
+        assert "hashpartitioning(model" not in p and p.count("Exchange hashpartitioning") == 2

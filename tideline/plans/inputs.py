@@ -165,7 +165,10 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
             "trend5": F.lag("actual").over(w) + (F.lag("actual").over(w) - F.lag("actual", 6).over(w)) / 5,
         }
     ).where("t > 10")
-    return b.unpivot(["series_key", "ts", "t", "actual"], ["naive", "mean10", "trend5"], "model", "predicted")
+    # a broadcast of the names keeps the rows of a series where they are, so windows by model and series need no exchange; an unpivot does not
+    models = spark.sql("SELECT * FROM VALUES ('naive'), ('mean10'), ('trend5') AS m(model)")
+    predicted = F.when(F.col("model") == "naive", F.col("naive")).when(F.col("model") == "mean10", F.col("mean10")).otherwise(F.col("trend5"))
+    return b.crossJoin(F.broadcast(models)).select("series_key", "ts", "t", "actual", "model", predicted.alias("predicted"))
 
 
 FORECASTS = CALM + """,
