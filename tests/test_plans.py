@@ -86,3 +86,8 @@ def test_models_of_a_series_stay_with_it(spark):
     for df in (trading.swept(spark, SF), trading.results(spark, SF)):
         p = plan(df)
         assert "hashpartitioning(model" not in p and p.count("Exchange hashpartitioning") == 2
+
+
+def test_bars_are_dealt_by_their_start_alone(spark):
+    p = plan(bars_d(spark, SF))
+    assert not re.search(r"hashpartitioning\(series_key#\w+, window#", p)
