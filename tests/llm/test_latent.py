@@ -169,3 +169,44 @@ def test_recall_in_real_documents_is_that_of_brute_force(spark):
     want = {p for p in planted if held(*p)}
     assert len(want) > 800
     assert len(want - found) == 0
+
+
+def test_space_is_fitted_on_the_passages_of_all_documents(spark, frame, monkeypatch):
+    """The leading singular vectors of thousands of documents are those of the whole matrix, not of a sample of it."""
+    import numpy as np
+
+    monkeypatch.setattr(latent, "RANK", 6)
+    monkeypatch.setattr(latent, "SPARE", 200)  # all dimensions, so that nothing is left to chance
+    rng = random.Random(11)
+    topics = [[f"{c}{k}" for k in range(12)] for c in "abcdefghij"]
+    every = [w for t in topics for w in t]
+    texts = []
+    for _ in range(5000):
+        own = rng.choices(topics, [0.6**k for k in range(10)])[0]
+        texts.append(" ".join(rng.choice(own) if rng.random() < 0.3 else rng.choice(every) if rng.random() < 0.1 else "other" for _ in range(rng.randint(0, 120))))
+    bench = spark.createDataFrame([(k, " ".join(rng.choices(every, k=40))) for k in range(20)], "item_id bigint, text string")
+    one = latent.prepare(frame([(i, t, "en", "a") for i, t in enumerate(texts)]), bench)[0]
+    assert len(one.terms) > 100
+    passages = [ws[s : s + latent.WINDOW] for ws in map(latent.words_of, texts) for s in range(0, len(ws), latent.WINDOW)]
+    passages += [ws[s : s + latent.PASSAGE] for _, ws, _ in one.items for s in (0, latent.PASSAGE) if s < len(ws) - latent.PASSAGE // 2 or s == 0]
+    rows = np.array([np.bincount(one.rows(p), minlength=len(one.terms)) for p in passages]) * one.idf
+    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    want = one.idf[:, None] * np.linalg.eigh(rows.T @ rows)[1][:, -6:]
+    want = want @ want.T
+    assert np.abs(one.space @ one.space.T - want).max() < 0.02 * np.abs(want).max()
+
+
+def test_numbers_of_all_documents_are_kept(spark, frame, monkeypatch):
+    """Rows of few terms, documents of any length and without words: every word of the benchmark is there, passage by passage."""
+    import numpy as np
+
+    monkeypatch.setattr(latent, "ROW", 50)
+    one = latent.Block([(1, " ".join(f"w{k}" for k in range(20)))])
+    texts = [None, "", *[" ".join(f"w{(i * k) % 30}" for k in range(i)) for i in range(0, 300, 7)]]
+    rows = latent._numbered(frame([(i, t, "en", "a") for i, t in enumerate(texts)]).coalesce(1), one).collect()
+    sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint8) for r in rows])
+    terms = np.concatenate([np.frombuffer(r["terms"], np.uint16) for r in rows])
+    want = [[one.terms[w] for w in ws[s : s + latent.WINDOW] if w in one.terms] for ws in map(latent.words_of, texts) for s in range(0, len(ws), latent.WINDOW)]
+    assert len(rows) > 1 and sizes.tolist() == [len(p) for p in want] and terms.tolist() == [t for p in want for t in p]
+    df, n = latent._frequencies(spark.createDataFrame(rows, "n bigint, df binary, terms binary, sizes binary"), one)
+    assert n == len(texts) and df == {w: c for w in one.terms if (c := sum(w in latent.words_of(t) for t in texts))}
