@@ -49,3 +49,20 @@ def test_passage_of_two_documents_stays_in_one(spark, frame):
     for stage in (corpus_pipeline.line_dedup, corpus_pipeline.simhash_near_dedup):
         docs = stage(spark, docs, "")
     assert sorted((r["doc_id"], passage in r["text"]) for r in docs.collect()) == [(0, True), (1, False)]
+
+
+def test_decontamination_learns_from_all_documents(spark, frame, monkeypatch):
+    """The latent space is fitted on every document that reaches the stage, however many there are."""
+    from pyspark.sql import functions as F
+
+    from tideline.llm import latent
+
+    tables = {}
+    monkeypatch.setattr(latent, "written", lambda df, name="step", plain=latent.written: tables.setdefault(name, plain(df, name)))
+    rng = random.Random(4)
+    words = ["".join(rng.choice("bcdfgklmnprstaeiou") for _ in range(6)) for _ in range(60)]
+    docs, sf_dir = frame([(i, " ".join(rng.choices(words, k=50)), "en", "a") for i in range(3000)]), f"{shared_folder(spark)}/pipeline-all-test"
+    spark.createDataFrame([(1, " ".join(words[:30]))], "item_id bigint, text string").write.mode("overwrite").parquet(f"{sf_dir}/benchmark.parquet")
+    assert corpus_pipeline.benchmark_decontamination(spark, docs, sf_dir).count() == 3000
+    got = tables["numbered"].agg(F.sum("n"), F.sum(F.octet_length("sizes"))).first()
+    assert tuple(got) == (3000, 6000)  # two passages a document
