@@ -72,3 +72,38 @@ def test_a_dense_series_gets_all_its_neighbours(spark):
 
     found = cl.nearest(written(rows, "dense"), 5, 2)
     assert found.groupBy("__i").count().where("count = 5").count() == n // 10
+
+
+def test_bounds_lose_no_donor(monkeypatch):
+    """Few donors for the bound, few pairs at once, missing, infinite and undefined features: the same rows as from all distances."""
+    import numpy as np
+
+    for name, value in (("AROUND", 4), ("LOOKERS", 7), ("PAIRS", 20)):
+        monkeypatch.setattr(cl, name, value)
+    rng = np.random.default_rng(8)
+    for n, k in ((1, 1), (2, 3), (4, 5), (4, 40)):
+        x = np.round(rng.normal(0, (1.0, 8.0, 0.1, 3.0)[:n], (300, n)), 1)
+        x[rng.random((300, n)) < 0.01], x[rng.random((300, n)) < 0.01] = np.inf, np.nan
+        mask = rng.integers(0, 1 << n, 300) | (rng.random(300) < 0.6) * ((1 << n) - 1)
+        blank, i = rng.random(300) < 0.3, rng.permutation(300)
+        got = {}
+        for row, far, donor in zip(*cl._nearest_rows(x, mask, blank, i, k), strict=True):
+            got.setdefault(int(row), []).append((far, int(i[donor])))
+        for row in np.flatnonzero(blank):
+            want = []
+            for d in np.flatnonzero(~blank):
+                if shared := [j for j in range(n) if (mask[row] & mask[d]) >> j & 1]:
+                    with np.errstate(all="ignore"):
+                        gaps = [(x[row, j] - x[d, j]) ** 2 for j in shared]
+                    far = math.sqrt(sum(gaps) * n / len(shared))
+                    want.append((math.isnan(far), 0.0 if math.isnan(far) else far, int(i[d])))
+            assert [(math.isnan(f), 0.0 if math.isnan(f) else f, t) for f, t in got.get(int(row), [])] == sorted(want)[:k]
+
+
+def test_neighbours_take_one_pass_over_the_series(spark, monkeypatch):
+    """Rows are written once, whatever the distances; no round after round of joins, tables and counts."""
+    names, plain = [], cl.written
+    monkeypatch.setattr(cl, "written", lambda df, name="step": names.append(name) or plain(df, name))
+    rows = [("u", t, None if t % 5 == 0 else float(t), float(t * t % 97) * (1000 if t % 50 == 0 else 1), float(t % 13), None) for t in range(400)]
+    agrees(spark, rows, 2)
+    assert names == ["knn"]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,69 +131,105 @@ def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5,
     return rows.join(found, [*keys, "__i"], "left").withColumn(target, F.coalesce(F.col(target), F.col("__mean"))).drop("__mean", "__i")
 
 
-#: How much wider the cells of the next round are.
-WIDER = 4.0
+#: Donors around a row that bound how far its nearest ones can be, rows that look for them at once, and pairs that are measured at once.
+AROUND, LOOKERS, PAIRS = 64, 4096, 1 << 20
 
 
 def nearest(base: DataFrame, k: int, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, __i, far, i, y): the k nearest donors of every row without a value, by cells that widen.
+    """(keys, __i, far, i, y): the k nearest donors of every row without a value, among all rows of its series.
 
-    ``base`` is a written table (keys, __i, __y, __x) with ``n`` features in __x. A row looks at the cells around its own on
-    a grid over two of the features that it shares with a donor. Once it has k donors and the k-th is no
-    farther than one cell, nothing outside can be nearer. Rows that have k donors, but not that close, look once more with cells as wide
-    as the k-th is far; rows with fewer go on with cells WIDER times as wide, at most until one cell spans the series. So a row
-    in a dense part meets the few donors around it, and every join is by equal cells.
-
-    Rows differ in the features they have. A grid stands for one set of donors with the same features and the
-    features of the grid, and only those that some row asks for are made.
+    ``base`` has (keys, __i, __y, __x) with ``n`` features in __x, and each series is one group of bounded rows (bars). Its donors are
+    sorted by one feature. The k-th distance to the AROUND donors next to a row there is a bound; a donor whose one feature is
+    farther off than that can't be nearer, so only those within are measured. Exact, with equal distances by __i. Rows without a key have no series.
     """
     keys = list(keys)
-    mask = sum(F.when(F.col("__x")[j].isNotNull(), 1 << j).otherwise(0) for j in range(n))
-    rows = base.withColumn("__mask", mask).where("__mask > 0")
-    donors = rows.where("__y IS NOT NULL")
-    low, high, sd = [[f(F.col("__x")[j]) for j in range(n)] for f in (F.min, F.max, F.stddev_samp)]
-    size = rows.groupBy(*keys).agg(*[(b - a).alias(f"__r{j}") for j, (a, b) in enumerate(zip(low, high, strict=True))])
-    dense = donors.groupBy(*keys).agg(F.count("*").alias("__n"), *[s.alias(f"__s{j}") for j, s in enumerate(sd)])
-    most = lambda c: F.greatest(*[F.coalesce(F.col(f"__{c}{j}"), F.lit(0.0)) for j in range(n)], F.lit(0.0))
-    # cells that hold about k donors each where the donors are spread evenly
-    width = 4 * most("s") / F.pow(F.greatest(F.col("__n") / k, F.lit(1.0)), F.lit(1.0 / min(n, 2)))
-    grid = size.join(dense, keys).select(*keys, F.when(width > 0, width).when(most("r") > 0, most("r")).otherwise(F.lit(1.0)).alias("__w0"), most("r").alias("__range"))
-    level = lambda x: F.greatest(F.ceil(F.log(F.greatest(x / F.col("__w0"), F.lit(1.0))) / F.log(F.lit(WIDER))).cast("int"), F.lit(0))
-    grid = written(grid.withColumn("__top", level(F.col("__range") * 1.0000001) + 1), "grid")
-    kinds = donors.select(*keys, F.col("__mask").alias("__kind")).distinct()
-    bits = lambda shared: F.filter(F.array(*[F.lit(j) for j in range(n)]), lambda j: F.call_function("shiftright", shared, j).bitwiseAND(F.lit(1)) == 1)
-    cell = lambda j, w: F.when(j.isNotNull(), F.floor(F.element_at("__x", j + 1) / w)).otherwise(F.lit(0))
-    first = rows.where("__y IS NULL").join(grid.select(*keys, "__w0", "__top"), keys).withColumn("__level", F.lit(0))
-    open_, done = written(first.select(*keys, "__i", "__x", "__mask", "__w0", "__top", "__level"), "knn-open"), []
-    while open_.limit(1).count():
-        asked = open_.join(kinds, keys).withColumn("__shared", F.col("__mask").bitwiseAND(F.col("__kind"))).where("__shared > 0")
-        asked = asked.withColumn("__bits", bits(F.col("__shared"))).withColumn("__w", F.col("__w0") * F.pow(F.lit(WIDER), F.col("__level")))
-        asked = asked.withColumns({"__a": F.get("__bits", F.lit(0)), "__b": F.get("__bits", F.lit(1))})
-        at = [*keys, "__kind", "__a", "__b", "__level"]
-        wanted = asked.select(*at, "__w").distinct()
-        there = donors.select(*keys, F.col("__mask").alias("__kind"), F.col("__i").alias("i"), F.col("__y").alias("y"), "__x").join(wanted, [*keys, "__kind"])
-        there = there.select(*at, cell(F.col("__a"), F.col("__w")).alias("__ca"), cell(F.col("__b"), F.col("__w")).alias("__cb"), "i", "y", F.col("__x").alias("__d"))
-        around = lambda j: F.when(j.isNotNull(), F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        asked = asked.withColumn("__ca", F.explode(F.transform(around(F.col("__a")), lambda s: cell(F.col("__a"), F.col("__w")) + s)))
-        asked = asked.withColumn("__cb", F.explode(F.transform(around(F.col("__b")), lambda s: cell(F.col("__b"), F.col("__w")) + s)))
-        # a missing second feature is one value on both sides
-        both = asked.withColumn("__b", F.coalesce("__b", F.lit(-1))).join(there.withColumn("__b", F.coalesce("__b", F.lit(-1))), [*at, "__ca", "__cb"])
-        gaps = [F.col("__x")[j] - F.col("__d")[j] for j in range(n)]
-        total = sum((F.coalesce(g * g, F.lit(0.0)) for g in gaps[1:]), F.coalesce(gaps[0] * gaps[0], F.lit(0.0)))
-        present = sum(F.when(g.isNotNull(), 1).otherwise(0) for g in gaps)
-        far = F.sqrt(total * F.lit(float(n)) / present)
-        w = Window.partitionBy(*keys, "__i").orderBy("far", "i")
-        best = both.select(*keys, "__i", far.alias("far"), "i", "y").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k)
-        best = written(best.drop("__k"), "knn-best")
-        state = open_.join(best.groupBy(*keys, "__i").agg(F.count("*").alias("__have"), F.max("far").alias("__far")), [*keys, "__i"], "left")
-        state = state.withColumn("__full", F.coalesce(F.col("__have") >= k, F.lit(False)))
-        sure = F.col("__full") & (F.col("__far") <= F.col("__w0") * F.pow(F.lit(WIDER), F.col("__level"))) | (F.col("__level") >= F.col("__top"))
-        state = written(state.withColumn("__sure", sure), "knn-state")
-        done.append(best.join(state.where("__sure").select(*keys, "__i"), [*keys, "__i"], "left_semi"))
-        next_ = F.greatest(F.col("__level") + 1, F.when(F.col("__full"), level(F.col("__far") * 1.0000001)).otherwise(F.lit(0)))
-        open_ = written(state.where("NOT __sure").select(*open_.columns[:-1], F.least(next_, F.col("__top")).alias("__level")), "knn-open")
-    empty = base.limit(0).select(*keys, "__i", F.lit(0.0).alias("far"), F.col("__i").alias("i"), F.col("__y").alias("y"))
-    return reduce(lambda a, b: a.unionByName(b), done, empty)
+    named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+    mine = base.where(named).select(*keys, F.col("__i").cast("bigint").alias("__i"), F.col("__y").cast("double").alias("__y"), *[F.col("__x")[j].cast("double").alias(f"__x{j}") for j in range(n)])
+    schema = T.StructType([*[T.StructField(c, base.schema[c].dataType) for c in keys], *[T.StructField(c, t) for c, t in (("__i", T.LongType()), ("far", T.DoubleType()), ("i", T.LongType()), ("y", T.DoubleType()))]])
+
+    def search(table: pa.Table) -> pa.Table:
+        i, blank = table["__i"].to_numpy(), table["__y"].is_null().to_numpy()
+        y = table["__y"].fill_null(0.0).to_numpy()
+        x = np.column_stack([table[f"__x{j}"].fill_null(0.0).to_numpy() for j in range(n)])
+        mask = sum((table[f"__x{j}"].is_valid().to_numpy().astype(np.int64) << j) for j in range(n))
+        row, far, donor = _nearest_rows(x, mask, blank, i, k)
+        own = {c: table[c].take(pa.array(row)) for c in keys}
+        return pa.table([*own.values(), pa.array(i[row], pa.int64()), pa.array(far, pa.float64()), pa.array(i[donor], pa.int64()), pa.array(y[donor], pa.float64())], names=schema.names)
+
+    return mine.groupBy(*keys).applyInArrow(search, schema)
+
+
+def _nearest_rows(x: np.ndarray, mask: np.ndarray, blank: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, distance, donor) of the ``k`` nearest donors of all ``blank`` rows of one series; ``mask`` has a bit for each feature that a row has."""
+    width, out = x.shape[1], []
+    kinds = {int(m): np.flatnonzero(~blank & (mask == m)) for m in np.unique(mask[~blank])}
+    for own in np.unique(mask[blank]):
+        grids = [_Line(x, donors, [j for j in range(width) if (int(own) & m) >> j & 1], width) for m, donors in kinds.items() if int(own) & m]
+        looking = np.flatnonzero(blank & (mask == own))
+        for low in range(0, len(looking) if grids else 0, LOOKERS):
+            rows = looking[low : low + LOOKERS]
+            around = np.concatenate([g.around(x[rows]) for g in grids], axis=1)
+            bound = np.partition(around, k - 1, axis=1)[:, k - 1] if around.shape[1] >= k else np.full(len(rows), np.inf)
+            bound = np.where(np.isfinite(bound), bound, np.inf)
+            spans = [g.span(x[rows], bound) for g in grids]
+            ends = np.cumsum(sum(high - first for first, high in spans))
+            a = 0
+            while a < len(rows):  # rows whose donors within the bound are about PAIRS, one row at least
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, side="right")))
+                found = [g.within(x[rows[a:z]], first[a:z], high[a:z], bound[a:z]) for g, (first, high) in zip(grids, spans, strict=True)]
+                of, far, donor = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((i[donor], far, of))
+                of, far, donor = of[order], far[order], donor[order]
+                starts = np.searchsorted(of, np.arange(z - a))
+                best = np.arange(len(of)) - starts[of] < k
+                out.append((rows[a:z][of[best]], far[best], donor[best]))
+                a = z
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+
+
+class _Line:
+    """Donors with the same features, sorted by that of the ``shared`` ones in which they differ most."""
+
+    def __init__(self, x: np.ndarray, donors: np.ndarray, shared: list[int], width: int):
+        self.shared, self.scale = shared, float(width)
+        with np.errstate(all="ignore"):
+            spread = np.nan_to_num(x[donors][:, shared].std(axis=0), nan=0.0, posinf=0.0)
+        self.by = shared[int(np.argmax(spread))]
+        self.donors = donors[np.argsort(x[donors, self.by], kind="stable")]
+        self.at = x[self.donors]
+        self.line = np.ascontiguousarray(self.at[:, self.by])
+
+    def _far(self, x: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Distances between rows ``x`` and the donors at ``places``, which has a row or a number for each of them."""
+        total = 0.0
+        with np.errstate(all="ignore"):
+            for j in self.shared:
+                gap = (x[:, j, None] if places.ndim == 2 else x[:, j]) - self.at[places, j]
+                total = total + gap * gap
+            return np.sqrt(total * self.scale / len(self.shared))
+
+    def around(self, x: np.ndarray) -> np.ndarray:
+        """Distances to the AROUND donors, or all where they are fewer, next to each row of ``x`` on the line."""
+        n = min(AROUND, len(self.line))
+        first = np.clip(np.searchsorted(self.line, x[:, self.by]) - n // 2, 0, len(self.line) - n)
+        return self._far(x, first[:, None] + np.arange(n))
+
+    def span(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place (exclusive) of the donors on the line that may be as near as ``bound``."""
+        v, reach = x[:, self.by], bound * np.sqrt(len(self.shared) / self.scale) * (1 + 1e-9)
+        all_ = ~np.isfinite(v) | ~np.isfinite(reach)
+        v, reach = np.where(all_, 0.0, v), np.where(all_, 0.0, reach)
+        first, last = np.searchsorted(self.line, v - reach), np.searchsorted(self.line, v + reach, side="right")
+        return np.where(all_, 0, first), np.where(all_, len(self.line), last)
+
+    def within(self, x: np.ndarray, first: np.ndarray, last: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the row in ``x``, distance, donor) of all donors of each span that are within the bound."""
+        n = last - first
+        of = np.repeat(np.arange(len(x)), n)
+        places = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+        far = self._far(x[of], places)
+        near = ~(far > bound[of]) & (np.isfinite(far) | ~np.isfinite(bound[of]))
+        return of[near], far[near], self.donors[places[near]]
 
 
 def impute_chain(df: DataFrame, external: Sequence[str] = (), keys: Sequence[str] = KEYS, order=("ts",)) -> DataFrame:
